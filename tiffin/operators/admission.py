@@ -2,45 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiffin.functions import rules
 from tiffin.operators.cross_rules import check_discount_cap
-from tiffin.operators.quality import exists_in
-from tiffin.operators.skew import distributed_rank, first_per_key, spread_join
+from tiffin.operators.quality import exists_in, find_duplicates
+from tiffin.operators.skew import distributed_rank
 
 
 def admit_applications(applications: DataFrame, discounts: DataFrame, orders: DataFrame,
-                       totals: DataFrame, existing: DataFrame | None = None,
-                       seq: str = "seq") -> DataFrame:
+                       totals: DataFrame, existing: DataFrame | None = None, seq: str = "seq",
+                       stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Applications ``(DFRcode, FOID, seq)`` with ``error``, NULL where admitted.
 
     Rows are taken in ``seq`` order, one after another: first the discount cap,
     then the key, then the references, then the limit.  A refused row uses no
     quota, so the limit is tested against the rank among the rows still standing.
+    The cap depends on code and order alone, so the first row of a pair stands
+    for all of them.  Ranking reads the judged rows twice; ``stage=durable``
+    writes them once instead of judging them twice.
     """
     pair = ["DFRcode", "FOID"]
-    capped = check_discount_cap(applications, discounts, totals).withColumnRenamed("error", "_cap")
-    first = first_per_key(capped, pair, seq, "_first", F.col("_cap").isNull())
-    marked = (spread_join(capped, first.drop("n"), pair, "left", [seq], counts=first)
-              .withColumn("_repeat", F.coalesce(F.col(seq) > F.col("_first"), F.lit(False))))
-    if existing is not None:
-        marked = exists_in(marked, existing, {c: c for c in pair}, "_stored", [seq])
-        marked = marked.withColumn("_repeat", F.col("_repeat") | F.col("_stored"))
-
+    stored = applications.select(*pair).limit(0) if existing is None else existing
+    marked = find_duplicates(applications, stored, pair, seq)
+    capped = check_discount_cap(marked, discounts, totals, base=applications).withColumnRenamed("error", "_cap")
     limits = discounts.select(F.col("code").alias("DFRcode"), "usageLimit", "used_Count",
                               F.lit(True).alias("_code"))
-    known = orders.select(F.col("ID").alias("FOID"), F.lit(True).alias("_order"))
     early = rules.first_error(
         (F.col("_cap").isNotNull(), rules.MSG_DISCOUNT_CAP),
-        (F.col("_repeat"), rules.MSG_KEY),
-        (F.col("_code").isNull() | F.col("_order").isNull(), rules.MSG_REFERENCE))
-    judged = (marked.join(limits, "DFRcode", "left")
-              .join(known, "FOID", "left")
-              .withColumn("_early", early)
-              .withColumn("_quota", F.coalesce(F.col("DFRcode"), F.lit(""))))
-
+        (F.col("stored") | F.col("repeated"), rules.MSG_KEY),
+        (F.col("_code").isNull() | ~F.col("_order"), rules.MSG_REFERENCE))
+    judged = stage(exists_in(capped.join(limits, "DFRcode", "left"), orders, {"FOID": "ID"}, "_order", unique=True)
+                   .select(*applications.columns, "usageLimit", "used_Count", early.alias("_early"),
+                           F.coalesce(F.col("DFRcode"), F.lit("")).alias("_quota")))
     over = F.col("used_Count") + F.col("rank") > F.col("usageLimit")
     return (distributed_rank(judged, seq, ["_quota"], counting=F.col("_early").isNull())
             .withColumn("error", F.coalesce(F.col("_early"), F.when(over, F.lit(rules.MSG_QUOTA))))

@@ -31,17 +31,18 @@ def check_line_restaurant(lines: DataFrame, orders: DataFrame, items: DataFrame,
 
 
 def check_discount_cap(applications: DataFrame, discounts: DataFrame, totals: DataFrame,
-                       percent: int = CAP_PERCENT) -> DataFrame:
+                       percent: int = CAP_PERCENT, base: DataFrame | None = None) -> DataFrame:
     """Applications with ``error`` set where the discount is over ``percent`` of the goods total.
 
     Whole numbers only: ``value * 100 > total * percent``.  An order without
     lines has no total and an unknown code has no value; both pass here.
+    ``base`` holds the same rows as stored, if ``applications`` come from joins.
     """
     value = discounts.select(F.col("code").alias("DFRcode"), F.col("value").cast("long").alias("_value"))
     with_value = applications.join(value, "DFRcode", "left")
     total = totals.select("FOID", F.col("total").alias("_total"))
     over = F.col("_value") * 100 > F.col("_total") * percent
-    return (spread_join(with_value, total, ["FOID"], "left")
+    return (spread_join(with_value, total, ["FOID"], "left", ["DFRcode"], counts=_rows_by_order(applications if base is None else base))
             .withColumn("error", F.when(over, F.lit(rules.MSG_DISCOUNT_CAP)))
             .select(*applications.columns, "error"))
 
@@ -60,7 +61,8 @@ def check_combined_cap(point_applications: DataFrame, point_discounts: DataFrame
     total = totals.select("FOID", F.col("total").alias("_total"))
     sides = restaurant.join(total, "FOID")
     over = (F.col("_points") + F.col("restaurant_value")) * 100 > F.col("_total") * percent
-    return (spread_join(point_applications.join(value, "DFEPcode", "left"), sides, ["FOID"], "left")
+    return (spread_join(point_applications.join(value, "DFEPcode", "left"), sides, ["FOID"], "left",
+                        ["DFEPcode"], counts=_rows_by_order(point_applications))
             .withColumn("error", F.when(over, F.lit(rules.MSG_COMBINED_CAP)))
             .select(*point_applications.columns, "error"))
 
@@ -69,3 +71,7 @@ def restaurant_discount_by_order(applications: DataFrame, discounts: DataFrame)
     value = discounts.select(F.col("code").alias("DFRcode"), F.col("value").cast("long").alias("_v"))
     return (applications.join(value, "DFRcode")
             .groupBy("FOID").agg(F.sum("_v").alias("restaurant_value")))
+
+
+def _rows_by_order(applications: DataFrame) -> DataFrame:
+    return applications.groupBy("FOID").agg(F.count(F.lit(1)).alias("n"))

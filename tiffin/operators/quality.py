@@ -139,22 +139,25 @@ def split_valid(df: DataFrame, table: str,
     return judged.filter(F.col("error").isNull()).drop("error"), judged.filter(F.col("error").isNotNull())
 
 
-def exists_in(requests: DataFrame, entity: DataFrame, keys: Mapping[str, str],
-              found: str = "found", spread_by: Sequence[str] = (), collation: str | None = None) -> DataFrame:
+def exists_in(requests: DataFrame, entity: DataFrame, keys: Mapping[str, str], found: str = "found",
+              unique: bool = False, spread_by: Sequence[str] = (), collation: str | None = None) -> DataFrame:
     """``requests`` with a flag: is there a row of ``entity`` under these keys?
 
-    ``keys`` maps request columns to entity columns.  ``collation`` (for example
-    ``UNICODE_CI_AI``) compares text without case and accents.
+    ``keys`` maps request columns to entity columns.  With ``unique`` the entity
+    holds each key once and is joined as it is stored; otherwise its keys are
+    made distinct first.  ``collation`` (for example ``UNICODE_CI_AI``) compares
+    text without case and accents.
     """
     temp = [f"_k{i}" for i in range(len(keys))]
     left = requests.withColumns(
         {t: _collated(requests, c, collation) for t, c in zip(temp, keys)})
-    right = (entity.select(*[_collated(entity, c, collation).alias(t)
-                             for t, c in zip(temp, keys.values())])
-             .distinct().withColumn(found, F.lit(True)))
-    return (spread_join(left, right, temp, "left", spread_by or requests.columns)
-            .drop(*temp)
-            .withColumn(found, F.coalesce(F.col(found), F.lit(False))))
+    right = entity.select(*[_collated(entity, c, collation).alias(t) for t, c in zip(temp, keys.values())])
+    if unique and not collation:
+        joined = left.join(right.withColumn(found, F.lit(True)), temp, "left")
+    else:
+        joined = spread_join(left, right.distinct().withColumn(found, F.lit(True)), temp, "left",
+                             spread_by or requests.columns)
+    return joined.drop(*temp).withColumn(found, F.coalesce(F.col(found), F.lit(False)))
 
 
 def _collated(df: DataFrame, column: str, collation: str | None) -> Column:
@@ -163,15 +166,16 @@ def _collated(df: DataFrame, column: str, collation: str | None) -> Column:
 
 
 def find_duplicates(requests: DataFrame, table: DataFrame, columns: Sequence[str], seq: str = "seq",
-                    accepted: Column | None = None) -> DataFrame:
-    """``requests`` with ``duplicate``: already in ``table``, or asked for by an earlier row.
+                    counting: Column | None = None) -> DataFrame:
+    """``requests`` with ``stored`` (its key is in ``table``) and ``repeated`` (an earlier row has its key).
 
-    ``accepted`` limits which earlier rows count (a refused row adds nothing); it
-    may depend on ``columns`` only, so that equal rows share its value.
+    ``counting`` limits which earlier rows count.  Everything is decided per
+    distinct key, which is joined back to the requests once.
     """
-    known = exists_in(requests, table, {c: c for c in columns}, "_known")
-    counting = ~F.col("_known") if accepted is None else ~F.col("_known") & accepted
-    first = first_per_key(known, columns, seq, "_first", counting)
-    return (spread_join(known, first.drop("n"), columns, "left", [seq], counts=first)
-            .withColumn("duplicate", F.col("_known") | F.coalesce(F.col(seq) > F.col("_first"), F.lit(False)))
-            .drop("_known", "_first"))
+    first = first_per_key(requests, columns, seq, "_first", counting)
+    known = table.select(*columns).distinct().withColumn("_stored", F.lit(True))
+    facts = first.drop("n").join(known, list(columns), "left")
+    return (spread_join(requests, facts, columns, "left", [seq], counts=first)
+            .withColumn("stored", F.coalesce(F.col("_stored"), F.lit(False)))
+            .withColumn("repeated", F.coalesce(F.col(seq) > F.col("_first"), F.lit(False)))
+            .drop("_stored", "_first"))

@@ -27,19 +27,19 @@ def first_come(requests: DataFrame, stored: DataFrame, keysets: Sequence[Sequenc
     with it is refused, the rest go on.  Each round settles at least the first
     open row of every group of rows linked by shared keys, and batches without
     conflicts need one round; a round is a few shuffles and two small writes to
-    the shared folder.
+    the shared folder.  ``stored`` holds each key once.
     """
     if len(keysets) == 1:
         judged = find_duplicates(requests, stored, keysets[0], seq)
-        name = F.when(F.col("duplicate"), F.lit(key_name(keysets[0])))
-        return judged.withColumn("conflict", name).drop("duplicate")
+        name = F.when(F.col("stored") | F.col("repeated"), F.lit(key_name(keysets[0])))
+        return judged.withColumn("conflict", name).drop("stored", "repeated")
 
     flags = [f"_stored{i}" for i in range(len(keysets))]
     judged = requests
     for flag, columns in zip(flags, keysets):
-        judged = exists_in(judged, stored, {c: c for c in columns}, flag, [seq])
+        judged = exists_in(judged, stored, {c: c for c in columns}, flag, unique=True)
     held = first_error(*[(F.col(f), key_name(c)) for f, c in zip(flags, keysets)])
-    judged = judged.withColumn("_held", held).drop(*flags)
+    judged = durable(judged.withColumn("_held", held).drop(*flags))
 
     claims = F.array_compact(F.array(*[
         F.when(~reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns]),

@@ -32,7 +32,9 @@ def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
 
     The hot keys are broadcast: there are at most ``rows(left) / rows_per_slice``
     of them, a million for 10^12 rows.  ``counts`` (columns ``on`` plus ``n``)
-    spares the counting pass where an aggregate of ``left`` already holds it.
+    spares the counting pass where an aggregate already holds it; pass one made
+    of the stored rows behind ``left`` rather than of ``left``, whose own joins
+    would otherwise run twice.
     ``left`` rows with a NULL key match nothing and are dealt out evenly.
     """
     on = list(on)

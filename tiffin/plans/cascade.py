@@ -18,7 +18,7 @@ Stage = Callable[[DataFrame], DataFrame]
 
 @dataclass(frozen=True)
 class CascadeResult:
-    """``tables``: the changed tables; ``deleted``: removed rows per table; ``blocked``: refused root keys."""
+    """``tables``: the changed tables; ``deleted``: removed keys per table; ``blocked``: refused root keys."""
 
     tables: dict[str, DataFrame]
     deleted: dict[str, DataFrame]
@@ -58,10 +58,10 @@ def reach(root: str) -> list[str]:
 
 
 def _any_edge(rows: DataFrame, edges: list[tuple[ForeignKey, DataFrame]], key: list[str]) -> DataFrame:
-    """Rows that refer to a deleted parent through any edge, each once."""
+    """Keys of the rows that refer to a deleted parent through any edge, each once."""
     hits = [rows.join(gone.select(F.col(fk.parent_column).alias(fk.column)), fk.column, "left_semi")
-            .select(*rows.columns) for fk, gone in edges]
-    return hits[0] if len(hits) == 1 else reduce(DataFrame.unionByName, hits).dropDuplicates(key)
+            .select(*key) for fk, gone in edges]
+    return hits[0] if len(hits) == 1 else reduce(DataFrame.unionByName, hits).distinct()
 
 
 def _blocked_roots(tables: Tables, root: str, keys: DataFrame, root_key: str) -> DataFrame:
@@ -106,18 +106,18 @@ def cascade_delete(tables: Tables, root: str, keys: DataFrame,
     each set of removed rows is computed once.
     """
     root_key = TABLES[root].key[0]
-    wanted = keys.select(root_key).distinct()
+    wanted = stage(keys.select(root_key).distinct())
     blocked = stage(_blocked_roots(tables, root, wanted, root_key))
     allowed = wanted.join(blocked, root_key, "left_anti")
 
-    deleted = {root: stage(tables[root].join(allowed, root_key, "left_semi"))}
-    kept = {root: tables[root].join(allowed, root_key, "left_anti")}
+    deleted = {root: stage(tables[root].join(allowed, root_key, "left_semi").select(root_key))}
+    kept = {root: tables[root].join(deleted[root], root_key, "left_anti").select(*tables[root].columns)}
     for name in reach(root)[1:]:
         if name not in tables:
             continue
+        rows = tables[name]
         edges = [(fk, deleted[fk.parent]) for fk in TABLES[name].foreign
                  if fk.cascade and fk.parent in deleted]
-        rows = tables[name]
         deleted[name] = stage(_any_edge(rows, edges, list(TABLES[name].key)))
         for fk, gone in edges:
             rows = rows.join(gone.select(F.col(fk.parent_column).alias(fk.column)), fk.column, "left_anti")

@@ -20,6 +20,7 @@ from tiffin.operators.sequential import first_come
 from tiffin.operators.skew import first_per_key, spread_join
 from tiffin.plans.cascade import CascadeResult, Stage, cascade_delete
 from tiffin.plans.reports import resolve_category
+from tiffin.session import durable
 from tiffin.sources.loading import apply_defaults, assign_ids, next_id
 
 Tables = Mapping[str, DataFrame]
@@ -51,54 +52,60 @@ def _missing(*columns: str) -> Column:
 
 def judge_new_items(requests: DataFrame, items: DataFrame, categories: DataFrame,
                     refuse_duplicates: bool = False) -> DataFrame:
-    """``requests`` with ``error``: blank name, price, category, and before them duplicates if asked."""
-    known = exists_in(requests, categories, {"categoryID": "ID"}, "_category", ["seq"])
+    """``requests`` with ``error``: blank name, price, category, and before them duplicates if asked.
+
+    These rules depend on name, price and category alone, so all requests for one
+    item pass or fail them together and its first request is the one added.
+    """
     ladder = rules.first_error(
         (rules.empty(F.col("name")), rules.MSG_ITEM_BLANK),
         (rules.not_positive(F.col("price")), rules.MSG_PRICE),
         (~F.col("_category"), rules.MSG_NEW_CATEGORY),
         (_missing("name", "price", "categoryID"), rules.MSG_REQUIRED))
-    if not refuse_duplicates:
-        return known.withColumn("error", ladder).drop("_category")
-    judged = find_duplicates(known, items, ["name", "price", "categoryID"], "seq", ladder.isNull())
-    return (judged.withColumn("error", F.coalesce(
-        F.when(F.col("duplicate"), F.lit(rules.MSG_DUPLICATE_ITEM)), ladder)).drop("_category", "duplicate"))
+    if refuse_duplicates:
+        again = F.lit(rules.MSG_DUPLICATE_ITEM)
+        ladder = F.coalesce(F.when(F.col("stored"), again), ladder, F.when(F.col("repeated"), again))
+        requests = find_duplicates(requests, items, ["name", "price", "categoryID"])
+    return (exists_in(requests, categories, {"categoryID": "ID"}, "_category", unique=True)
+            .withColumn("error", ladder)
+            .drop("_category", "stored", "repeated"))
 
 
 def add_items(items: DataFrame, categories: DataFrame, requests: DataFrame,
-              refuse_duplicates: bool = False) -> Change:
+              refuse_duplicates: bool = False, stage: Stage = lambda df: df) -> Change:
     """Add ``requests (seq, name, price, image, categoryID)`` under new ids in ``seq`` order."""
-    judged = judge_new_items(requests, items, categories, refuse_duplicates)
+    judged = stage(judge_new_items(requests, items, categories, refuse_duplicates))
     accepted, rejects = _split(judged, requests.columns)
     added = assign_ids(accepted, next_id(items), "seq")
     return Change(items.unionByName(added.select(*items.columns)), rejects)
 
 
 def add_items_by_name(items: DataFrame, categories: DataFrame, restaurants: DataFrame,
-                      requests: DataFrame) -> Change:
+                      requests: DataFrame, stage: Stage = lambda df: df) -> Change:
     """Add ``requests (seq, name, price, restaurant, category)``: names are resolved, duplicates
     refused, and the image is empty."""
-    resolved = resolve_category(requests, categories, restaurants).withColumn("image", F.lit(""))
+    resolved = stage(resolve_category(requests, categories, restaurants).withColumn("image", F.lit("")))
     unknown = resolved.filter(F.col("categoryID").isNull())
-    change = add_items(items, categories, resolved.filter(F.col("categoryID").isNotNull()), True)
+    change = add_items(items, categories, resolved.filter(F.col("categoryID").isNotNull()), True, stage)
     lost = unknown.select(*requests.columns, F.lit(rules.MSG_CATEGORY_NAME).alias("error"))
     return Change(change.table, change.rejects.select(*requests.columns, "error").unionByName(lost))
 
 
-def update_items(items: DataFrame, categories: DataFrame, requests: DataFrame) -> Change:
+def update_items(items: DataFrame, categories: DataFrame, requests: DataFrame,
+                 stage: Stage = lambda df: df) -> Change:
     """Replace the items named by ``requests (seq, ID, name, price, image, categoryID)``.
 
     Only existence and price are tested: a blank name and a move to another
     restaurant's category are allowed.  Of several accepted requests for one
     item the last one stands.
     """
-    known = exists_in(requests, items, {"ID": "ID"}, "_item", ["seq"])
-    known = exists_in(known, categories, {"categoryID": "ID"}, "_category", ["seq"])
-    judged = known.withColumn("error", rules.first_error(
+    known = exists_in(requests, items, {"ID": "ID"}, "_item", unique=True)
+    known = exists_in(known, categories, {"categoryID": "ID"}, "_category", unique=True)
+    judged = stage(known.withColumn("error", rules.first_error(
         (~F.col("_item"), rules.MSG_UPDATE_ITEM),
         (rules.not_positive(F.col("price")), rules.MSG_PRICE),
         (~F.col("_category"), rules.MSG_CATEGORY),
-        (_missing("name", "price"), rules.MSG_REQUIRED)))
+        (_missing("name", "price"), rules.MSG_REQUIRED))).drop("_item", "_category"))
     accepted, rejects = _split(judged, requests.columns)
     values = [c for c in items.columns if c != "ID"]
     last = accepted.groupBy("ID").agg(F.max_by(F.struct(*values), "seq").alias("_new"))
@@ -110,20 +117,20 @@ def update_items(items: DataFrame, categories: DataFrame, requests: DataFrame) -
 
 
 def update_items_by_name(items: DataFrame, categories: DataFrame, restaurants: DataFrame,
-                         requests: DataFrame) -> Change:
+                         requests: DataFrame, stage: Stage = lambda df: df) -> Change:
     """As ``update_items`` with restaurant and category given by name; the image is emptied."""
-    resolved = resolve_category(requests, categories, restaurants).withColumn("image", F.lit(""))
+    resolved = stage(resolve_category(requests, categories, restaurants).withColumn("image", F.lit("")))
     unknown = resolved.filter(F.col("categoryID").isNull())
-    change = update_items(items, categories, resolved.filter(F.col("categoryID").isNotNull()))
+    change = update_items(items, categories, resolved.filter(F.col("categoryID").isNotNull()), stage)
     lost = unknown.select(*requests.columns, F.lit(rules.MSG_CATEGORY_NAME).alias("error"))
     return Change(change.table, change.rejects.select(*requests.columns, "error").unionByName(lost))
 
 
-def _judge_deletes(requests: DataFrame, table: DataFrame, message: str, key: str = "ID") -> DataFrame:
+def _judge_deletes(requests: DataFrame, table: DataFrame, message: str) -> DataFrame:
     """A row that is not there, or was deleted by an earlier request, cannot be deleted."""
-    known = exists_in(requests, table, {key: key}, "_there", ["seq"])
-    first = first_per_key(known, [key], "seq", "_first")
-    return (spread_join(known, first.drop("n"), [key], "left", ["seq"], counts=first)
+    first = first_per_key(requests, ["ID"], "seq", "_first")
+    known = exists_in(requests, table, {"ID": "ID"}, "_there", unique=True)
+    return (spread_join(known, first.drop("n"), ["ID"], "left", ["seq"], counts=first)
             .withColumn("error", F.when(
                 ~F.col("_there") | F.coalesce(F.col("seq") > F.col("_first"), F.lit(False)), F.lit(message)))
             .drop("_there", "_first"))
@@ -131,13 +138,15 @@ def _judge_deletes(requests: DataFrame, table: DataFrame, message: str, key: str
 
 def delete_items(t: Tables, requests: DataFrame, stage: Stage = lambda df: df) -> Deletion:
     """Delete items ``(seq, ID)`` and the order lines that hold them; order costs stay as they are."""
-    accepted, rejects = _split(_judge_deletes(requests, t["food_item"], rules.MSG_DELETE_ITEM), requests.columns)
+    judged = stage(_judge_deletes(requests, t["food_item"], rules.MSG_DELETE_ITEM))
+    accepted, rejects = _split(judged, requests.columns)
     return Deletion(cascade_delete(t, "food_item", accepted.select("ID"), stage), rejects)
 
 
 def delete_orders(t: Tables, requests: DataFrame, stage: Stage = lambda df: df) -> Deletion:
     """Delete orders ``(seq, ID)`` with lines and applications; usage counts stay as they are."""
-    accepted, rejects = _split(_judge_deletes(requests, t["food_order"], rules.MSG_ORDER), requests.columns)
+    judged = stage(_judge_deletes(requests, t["food_order"], rules.MSG_ORDER))
+    accepted, rejects = _split(judged, requests.columns)
     return Deletion(cascade_delete(t, "food_order", accepted.select("ID"), stage), rejects)
 
 
@@ -149,16 +158,16 @@ def judge_new_accounts(requests: DataFrame, accounts: DataFrame) -> DataFrame:
     short = rules.short_password(F.col("password"))
     absent = _missing("username", "password")
     sound = ~F.coalesce(short, F.lit(False)) & ~absent
-    judged = find_duplicates(requests, accounts, ["username"], "seq", sound)
+    judged = find_duplicates(requests, accounts, ["username"], counting=sound)
     return judged.withColumn("error", rules.first_error(
-        (F.col("duplicate"), rules.MSG_USERNAME_TAKEN),
+        (F.col("stored") | F.col("repeated"), rules.MSG_USERNAME_TAKEN),
         (short, rules.MSG_PASSWORD),
-        (absent, rules.MSG_REQUIRED))).drop("duplicate")
+        (absent, rules.MSG_REQUIRED))).drop("stored", "repeated")
 
 
-def add_accounts(accounts: DataFrame, requests: DataFrame) -> Change:
+def add_accounts(accounts: DataFrame, requests: DataFrame, stage: Stage = lambda df: df) -> Change:
     """Register accounts under new ids in ``seq`` order."""
-    accepted, rejects = _split(judge_new_accounts(requests, accounts), requests.columns)
+    accepted, rejects = _split(stage(judge_new_accounts(requests, accounts)), requests.columns)
     added = assign_ids(accepted, next_id(accounts), "seq")
     return Change(accounts.unionByName(added.select(*accounts.columns)), rejects)
 
@@ -173,13 +182,12 @@ def judge_new_customers(requests: DataFrame, customers: DataFrame, accounts: Dat
     are given out first come, first served: a customer per account, a phone
     number and a card number each once.
     """
-    ids = accounts.select("username", "ID")
-    found = spread_join(requests, ids, ["username"], "left", ["seq"])
-    judged = found.withColumn("error", rules.first_error(
+    found = requests.join(accounts.select("username", "ID"), "username", "left")
+    judged = durable(found.withColumn("error", rules.first_error(
         (F.col("ID").isNull(), rules.MSG_NO_USERNAME),
         (rules.bad_email(F.col("email")), rules.MSG_EMAIL),
         (rules.bad_phone(F.col("phone_number")), rules.MSG_PHONE),
-        (_missing("name", "phone_number", "address", "birthdate", "card_number"), rules.MSG_REQUIRED)))
+        (_missing("name", "phone_number", "address", "birthdate", "card_number"), rules.MSG_REQUIRED))))
     sound = judged.filter(F.col("error").isNull()).drop("error")
     settled = first_come(sound, customers, [["ID"], ["phone_number"], ["card_number"]])
     refused = F.when(F.col("conflict").isNotNull(), F.lit(rules.MSG_KEY))
@@ -202,10 +210,11 @@ def delete_accounts(t: Tables, requests: DataFrame, stage: Stage = lambda df: df
     """
     accounts = t["account"]
     pair = ["username", "password"]
-    found = spread_join(requests, accounts.select("ID", *pair), pair, "left", ["seq"])
-    first = first_per_key(found, ["ID"], "seq", "_first")
-    judged = spread_join(found, first.drop("n"), ["ID"], "left", ["seq"], counts=first).withColumn(
-        "error", F.when(F.col("ID").isNull() | (F.col("seq") > F.col("_first")), F.lit(rules.MSG_LOGIN)))
+    found = requests.join(accounts.select("ID", *pair), pair, "left")
+    # usernames are unique, so a matching pair stands for one account
+    first = first_per_key(requests, pair, "seq", "_first")
+    judged = stage(spread_join(found, first.drop("n"), pair, "left", ["seq"], counts=first).withColumn(
+        "error", F.when(F.col("ID").isNull() | (F.col("seq") > F.col("_first")), F.lit(rules.MSG_LOGIN))))
     accepted, rejects = _split(judged, requests.columns)
     result = cascade_delete(t, "account", accepted.select("ID"), stage)
     blocked = (judged.join(result.blocked, "ID", "left_semi")

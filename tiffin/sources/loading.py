@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiffin.contracts import TABLES
-from tiffin.operators.quality import exists_in, split_valid
+from tiffin.functions.rules import first_error
+from tiffin.operators.quality import exists_in, row_rules
 from tiffin.operators.sequential import first_come
 from tiffin.operators.skew import distributed_rank
 from tiffin.sources.tables import Tables
 
+Stage = Callable[[DataFrame], DataFrame]
+
 
 def read_csv_rows(spark: SparkSession, path: str, table: str, columns: list[str] | None = None) -> DataFrame:
     """Rows of ``table`` from headed CSV files; ``columns`` lists the file's columns when some are left out."""
@@ -43,30 +48,36 @@ def assign_ids(df: DataFrame, base: Column | int, order_by: str, key: str = "ID"
 
 
 def load_rows(tables: Tables, table: str, rows: DataFrame, order_by: str = "seq",
-              strict: bool = False) -> tuple[DataFrame, DataFrame]:
+              strict: bool = False, stage: Stage = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """``(table with the accepted rows, rejects)`` for a bulk insert into one table.
 
     ``rows`` carry ``order_by``, a unique integer.  Row rules, key, unique columns
     and foreign keys decide row by row; the source system would undo a whole
     multi-row statement, so ``strict`` fails the job at the first reject instead.
+    ``stage=durable`` judges the rows once where both results are written.
     """
     contract = TABLES[table]
     stored = tables[table]
     filled = apply_defaults(rows, table)
+    keysets = [contract.key, *contract.unique]
     if contract.generated_key and contract.key[0] not in rows.columns:
         # numbered before validation: a refused row leaves a gap, as auto-increment does
         filled = assign_ids(filled, next_id(stored, contract.key[0]), order_by, contract.key[0])
-    valid, invalid = split_valid(filled, table)
-    for fk in contract.foreign:
-        found = exists_in(valid, tables[fk.parent], {fk.column: fk.parent_column}, spread_by=[order_by])
-        missing = F.col(fk.column).isNotNull() & ~F.col("found")
-        judged = found.withColumn("error", F.when(missing, F.lit(f"foreign_key_{fk.column}"))).drop("found")
-        valid = judged.filter(F.col("error").isNull()).drop("error")
-        invalid = invalid.unionByName(judged.filter(F.col("error").isNotNull()))
-    judged = first_come(valid, stored, [contract.key, *contract.unique], order_by)
-    valid = judged.filter(F.col("conflict").isNull()).drop("conflict")
-    invalid = invalid.unionByName(
-        judged.filter(F.col("conflict").isNotNull()).withColumnRenamed("conflict", "error"))
+        keysets = keysets[1:]
+    judged = filled
+    ladder = [(violated, name) for name, violated, _ in row_rules(contract)]
+    for i, fk in enumerate(contract.foreign):
+        judged = exists_in(judged, tables[fk.parent], {fk.column: fk.parent_column}, f"_fk{i}", unique=True)
+        ladder.append((F.col(fk.column).isNotNull() & ~F.col(f"_fk{i}"), f"foreign_key_{fk.column}"))
+    judged = stage(judged.withColumn("error", first_error(*ladder)).drop(
+        *[f"_fk{i}" for i in range(len(contract.foreign))]))
+    valid = judged.filter(F.col("error").isNull()).drop("error")
+    invalid = judged.filter(F.col("error").isNotNull())
+    if keysets:
+        settled = first_come(valid, stored, keysets, order_by)
+        valid = settled.filter(F.col("conflict").isNull()).drop("conflict")
+        invalid = invalid.unionByName(
+            settled.filter(F.col("conflict").isNotNull()).withColumnRenamed("conflict", "error"))
     names = contract.schema.names
     if strict:
         refuse = F.raise_error(F.concat(F.lit(f"{table}: "), F.col("error")))

@@ -35,7 +35,7 @@ def _brand() -> Column:
     return F.substring("p_brand", 7, 10).cast("long")
 
 
-def _category_id() -> Column:
+def category_id() -> Column:
     return _brand() * 10 + F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("p_type"))
 
 
@@ -48,7 +48,7 @@ def _customer_id(column: str) -> Column:
     return F.col(column) + CUSTOMER_SHIFT
 
 
-def _discount_code() -> Column:
+def discount_code() -> Column:
     # sixteen neighbouring customers share one restaurant discount
     return F.concat(F.lit("DIS_"), F.shiftright("o_custkey", 4).cast("string"))
 
@@ -60,7 +60,7 @@ def contain_raw(lineitem: DataFrame) -> DataFrame:
 
 def applications(orders: DataFrame) -> DataFrame:
     return (orders.filter(F.col("o_orderpriority").isin(*RESTAURANT_DISCOUNT_PRIORITIES))
-            .select(_discount_code().alias("DFRcode"), F.col("o_orderkey").alias("FOID")))
+            .select(discount_code().alias("DFRcode"), F.col("o_orderkey").alias("FOID")))
 
 
 def status_snapshots(events: DataFrame) -> DataFrame:
@@ -73,6 +73,17 @@ def status_snapshots(events: DataFrame) -> DataFrame:
         F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"))
 
 
+def status_changes(events: DataFrame) -> DataFrame:
+    """Events as status changes: a purchase is confirmed -> delivered, others earn nothing."""
+    return events.select(
+        F.col("event_id").alias("change_id"), F.col("ts").cast("timestamp").alias("at"),
+        _customer_id("user_id").alias("CID"),
+        F.when(F.col("event_type").isin("view", "click"), "pending").otherwise("confirmed")
+        .alias("old_status"),
+        F.when(F.col("event_type").isin("purchase", "click"), "delivered").otherwise("confirmed")
+        .alias("new_status"))
+
+
 def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All thirteen marketplace tables."""
     part, customer, orders, lineitem, supplier = (
@@ -120,11 +131,11 @@ def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             (F.col("o_custkey") % 90 * 1000 + 10000).cast("int").alias("value"),
             _customer_id("o_custkey").alias("CID")),
         "category": part.select("p_brand", "p_type").distinct().select(
-            _category_id().alias("ID"), F.col("p_type").alias("name"), _brand().alias("RID")),
+            category_id().alias("ID"), F.col("p_type").alias("name"), _brand().alias("RID")),
         "food_item": part.select(
             F.col("p_partkey").alias("ID"), F.col("p_name").alias("name"),
             F.round(F.col("p_retailprice") * 100).cast("int").alias("price"),
-            F.lit("").alias("image"), _category_id().alias("categoryID")),
+            F.lit("").alias("image"), category_id().alias("categoryID")),
         "food_deliver": supplier.select(
             (F.col("s_suppkey") + 1).alias("ID"),
             F.concat(F.lit("03"), F.lpad(F.col("s_suppkey").cast("string"), 8, "0")).alias("phone_number"),
@@ -144,7 +155,7 @@ def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             _customer_id("o_custkey").alias("CID"), (key % 25 + 1).alias("RID"),
             (F.shiftright("o_custkey", 4) + 1).alias("FDID")),
         "use": orders.filter(F.col("o_orderpriority").isin(*RESTAURANT_DISCOUNT_PRIORITIES)).select(
-            _customer_id("o_custkey").alias("CID"), _discount_code().alias("DFRcode")).distinct(),
+            _customer_id("o_custkey").alias("CID"), discount_code().alias("DFRcode")).distinct(),
         "contain": contain_raw(lineitem).groupBy("FOID", "FIID").agg(
             F.sum("quantity").cast("int").alias("quantity")),
         "apply_for": applications(orders),
