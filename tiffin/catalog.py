@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tiffin.functions import rules, text
 from tiffin.operators import admission, cross_rules, quality, rollups
 from tiffin.plans import cascade, changes, reports
-from tiffin.session import shared_dir
+from tiffin.session import durable, shared_dir
 from tiffin.sources import loading, tables, testdata
 from tiffin.streaming import guards, maintenance, sinks
 
@@ -127,7 +127,7 @@ def admit_applications(spark: SparkSession, sf: str) -> DataFrame:
     t = testdata.load(spark, sf)
     return admission.admit_applications(
         application_requests(testdata.raw(spark, sf, "orders")), t["discount_from_restaurant"],
-        t["food_order"], rollups.order_totals(t["contain"], t["food_item"]))
+        t["food_order"], rollups.order_totals(t["contain"], t["food_item"]), stage=durable)
 
 
 # ---------------------------------------------------------------- quality
@@ -330,7 +330,8 @@ def _outcome(rows: DataFrame, rejects: DataFrame, columns: list[str]) -> DataFra
 
 def add_items(spark: SparkSession, sf: str) -> DataFrame:
     t = testdata.load(spark, sf)
-    change = changes.add_items(t["food_item"], t["category"], item_requests(spark, sf), refuse_duplicates=True)
+    change = changes.add_items(t["food_item"], t["category"], item_requests(spark, sf),
+                               refuse_duplicates=True, stage=durable)
     return _outcome(change.table, change.rejects, ["ID", "name", "price", "categoryID"])
 
 
@@ -348,7 +349,7 @@ def named_item_requests(spark: SparkSession, sf: str) -> DataFrame:
 def add_items_by_name(spark: SparkSession, sf: str) -> DataFrame:
     t = testdata.load(spark, sf)
     change = changes.add_items_by_name(t["food_item"], t["category"], t["restaurant"],
-                                       named_item_requests(spark, sf).drop("ID"))
+                                       named_item_requests(spark, sf).drop("ID"), stage=durable)
     return _outcome(change.table, change.rejects, ["ID", "name", "price", "categoryID"])
 
 
@@ -364,7 +365,7 @@ def update_items(spark: SparkSession, sf: str) -> DataFrame:
 def update_items_by_name(spark: SparkSession, sf: str) -> DataFrame:
     t = testdata.load(spark, sf)
     change = changes.update_items_by_name(t["food_item"], t["category"], t["restaurant"],
-                                          named_item_requests(spark, sf))
+                                          named_item_requests(spark, sf), stage=durable)
     return _outcome(change.table, change.rejects, ["ID", "name", "price", "categoryID"])
 
 
@@ -400,7 +401,7 @@ def add_accounts(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("event_type") == "error", F.concat(F.lit("Customer#"), F.lpad(user, 9, "0")))
         .otherwise(F.concat(F.lit("user"), user)).alias("username"),
         F.substring("props", F.lit(1), (F.col("event_id") % 5 + 5).cast("int")).alias("password"))
-    change = changes.add_accounts(t["account"], requests)
+    change = changes.add_accounts(t["account"], requests, stage=durable)
     return _outcome(change.table, change.rejects, ["ID", "username", "password"])
 
 
@@ -440,7 +441,7 @@ def login_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def delete_accounts(spark: SparkSession, sf: str) -> DataFrame:
-    done = changes.delete_accounts(testdata.load(spark, sf), login_requests(spark, sf))
+    done = changes.delete_accounts(testdata.load(spark, sf), login_requests(spark, sf), stage=durable)
     return _removed(done.cascade, done.rejects)
 
 
@@ -470,7 +471,7 @@ def load_items(spark: SparkSession, sf: str) -> DataFrame:
     """Bulk load of the item requests under the contract of the item table."""
     t = testdata.load(spark, sf)
     rows = item_requests(spark, sf).drop("image")
-    table, rejects = loading.load_rows(t, "food_item", rows)
+    table, rejects = loading.load_rows(t, "food_item", rows, stage=durable)
     return _outcome(table, rejects.drop("ID"), ["ID", "name", "price", "categoryID"])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,12 +49,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and cut its lineage there.
+    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
-    The copy outlives the executors that made it, and every later reader sees
-    the same rows.
+    The copy outlives the executors that made it, every later reader sees the
+    same rows and reads only the columns it needs, and its size is known, so
+    joins against it are planned by size.  The folders ``tiffin-stage/*`` can be
+    removed when the job is over.
     """
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/tiffin-stage/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
