@@ -17,7 +17,7 @@ def format_ts(at: Column) -> Column:
 
 def format_vnd(amount: Column) -> Column:
     """``68.000 ₫``: dots between thousands, a no-break space before the sign."""
-    return F.concat(F.replace(F.format_number(amount, 0), F.lit(","), F.lit(".")), F.lit(" ₫"))
+    return F.concat(F.replace(F.format_number(amount, 0), F.lit(","), F.lit(".")), F.lit("\u00a0₫"))
 
 
 def display_rating(rating: Column) -> Column:
@@ -36,7 +36,7 @@ def register(spark: SparkSession) -> None:
         "is_item_name(s STRING) RETURNS BOOLEAN": f"s RLIKE r'{rules.ITEM_NAME}'",
         "format_ts(t TIMESTAMP) RETURNS STRING": "date_format(t, 'yyyy-MM-dd HH:mm:ss')",
         "format_vnd(n BIGINT) RETURNS STRING":
-            "concat(replace(format_number(n, 0), ',', '.'), ' ₫')",
+            "concat(replace(format_number(n, 0), ',', '.'), '\u00a0₫')",
         "display_rating(n INT) RETURNS INT": f"coalesce(nullif(n, 0), {DEFAULT_RATING})",
     }
     for head, body in bodies.items():
