@@ -128,6 +128,14 @@ def test_publish_and_open_latest(spark, seed, tmp_path):
     assert now["category"].count() == 27 and now["use"].count() == 0
 
 
+def test_clustered_tables_are_sorted_by_key(spark, seed, tmp_path):
+    publish(spark, {"contain": seed["contain"]}, str(tmp_path), 1, clustered=True)
+    table = open_latest(spark, str(tmp_path))["contain"]
+    assert table.count() == 62
+    rows = [(r["FOID"], r["FIID"]) for r in table.coalesce(1).collect()] if table.rdd.getNumPartitions() == 1 else []
+    assert rows == sorted(rows)
+
+
 def test_lookup(spark, seed):
     assert lookup(seed["food_item"], "ID", 7).count() == 1
     assert lookup(seed["food_item"], "ID", [7, 8, 99]).count() == 2

@@ -109,3 +109,15 @@ def test_a_repeated_batch_overwrites_itself(spark, tmp_path):
         spark.range(3).write.mode("overwrite").parquet(f"{tmp_path}/batch_id=0")
     assert sinks.read_log(spark, str(tmp_path), schema).count() == 3
     assert sinks.read_log(spark, str(tmp_path), schema, before=0).count() == 0
+
+
+def test_compacted_log_reads_the_same(spark, tmp_path):
+    schema = spark.createDataFrame([], "k long, v long").schema
+    path, target = f"{tmp_path}/log", f"{tmp_path}/short"
+    for batch in range(4):
+        rows = [(k, batch * 10 + k) for k in range(batch, 4)]
+        spark.createDataFrame(rows, schema).write.parquet(f"{path}/batch_id={batch}")
+    sinks.compact(spark, path, schema, ["k"], 2, target)
+    whole = sinks.latest(sinks.read_log(spark, path, schema), ["k"])
+    short = sinks.latest(sinks.read_log_after(spark, target, path, schema, 2), ["k"])
+    assert bag(whole) == bag(short) == [(0, 0), (1, 11), (2, 22), (3, 33)]

@@ -43,7 +43,7 @@ MSG_RESTAURANT = "Restaurant does not exist!"
 MSG_ITEM_NAME = "Invalid food name"
 MSG_ITEM_OF_RESTAURANT = "Food item does not exist in the restaurant!"
 
-# Messages for refusals the reference leaves to its server's own errors.
+# Messages of our own, for refusals that the source system leaves to its database.
 MSG_REQUIRED = "a required column is missing"
 MSG_KEY = "duplicate key"
 MSG_REFERENCE = "a referenced row does not exist"

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiffin.functions import rules
-from tiffin.operators.cross_rules import check_discount_cap
-from tiffin.operators.quality import exists_in, find_duplicates
-from tiffin.operators.skew import distributed_rank
+from tiffin.operators.cross_rules import exceeds, rows_by_order
+from tiffin.operators.quality import find_duplicates
+from tiffin.operators.skew import distributed_rank, spread_join
 
 
 def admit_applications(applications: DataFrame, discounts: DataFrame, orders: DataFrame,
@@ -28,14 +28,16 @@ def admit_applications(applications: DataFrame, discounts: DataFrame, orders: Da
     pair = ["DFRcode", "FOID"]
     stored = applications.select(*pair).limit(0) if existing is None else existing
     marked = find_duplicates(applications, stored, pair, seq)
-    capped = check_discount_cap(marked, discounts, totals, base=applications).withColumnRenamed("error", "_cap")
-    limits = discounts.select(F.col("code").alias("DFRcode"), "usageLimit", "used_Count",
+    limits = discounts.select(F.col("code").alias("DFRcode"), "usageLimit", "used_Count", "value",
                               F.lit(True).alias("_code"))
+    order_facts = (orders.select(F.col("ID").alias("FOID"), F.lit(True).alias("_order"))
+                   .join(totals.select("FOID", F.col("total").alias("_total")), "FOID", "left"))
     early = rules.first_error(
-        (F.col("_cap").isNotNull(), rules.MSG_DISCOUNT_CAP),
+        (exceeds(F.col("value"), F.col("_total")), rules.MSG_DISCOUNT_CAP),
         (F.col("stored") | F.col("repeated"), rules.MSG_KEY),
-        (F.col("_code").isNull() | ~F.col("_order"), rules.MSG_REFERENCE))
-    judged = stage(exists_in(capped.join(limits, "DFRcode", "left"), orders, {"FOID": "ID"}, "_order", unique=True)
+        (F.col("_code").isNull() | F.col("_order").isNull(), rules.MSG_REFERENCE))
+    judged = stage(spread_join(marked.join(limits, "DFRcode", "left"), order_facts, ["FOID"], "left", [seq],
+                               counts=rows_by_order(applications))
                    .select(*applications.columns, "usageLimit", "used_Count", early.alias("_early"),
                            F.coalesce(F.col("DFRcode"), F.lit("")).alias("_quota")))
     over = F.col("used_Count") + F.col("rank") > F.col("usageLimit")

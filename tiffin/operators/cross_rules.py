@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiffin.functions import rules
@@ -31,22 +31,25 @@ def check_line_restaurant(lines: DataFrame, orders: DataFrame, items: DataFrame,
 
 
 def check_discount_cap(applications: DataFrame, discounts: DataFrame, totals: DataFrame,
-                       percent: int = CAP_PERCENT, base: DataFrame | None = None) -> DataFrame:
+                       percent: int = CAP_PERCENT) -> DataFrame:
     """Applications with ``error`` set where the discount is over ``percent`` of the goods total.
 
     Whole numbers only: ``value * 100 > total * percent``.  An order without
     lines has no total and an unknown code has no value; both pass here.
-    ``base`` holds the same rows as stored, if ``applications`` come from joins.
     """
-    value = discounts.select(F.col("code").alias("DFRcode"), F.col("value").cast("long").alias("_value"))
-    with_value = applications.join(value, "DFRcode", "left")
+    value = discounts.select(F.col("code").alias("DFRcode"), F.col("value").alias("_value"))
     total = totals.select("FOID", F.col("total").alias("_total"))
-    over = F.col("_value") * 100 > F.col("_total") * percent
-    return (spread_join(with_value, total, ["FOID"], "left", ["DFRcode"], counts=_rows_by_order(applications if base is None else base))
+    over = exceeds(F.col("_value"), F.col("_total"), percent)
+    return (spread_join(applications.join(value, "DFRcode", "left"), total, ["FOID"], "left", ["DFRcode"],
+                        counts=rows_by_order(applications))
             .withColumn("error", F.when(over, F.lit(rules.MSG_DISCOUNT_CAP)))
             .select(*applications.columns, "error"))
 
 
+def exceeds(value: Column, total: Column, percent: int = CAP_PERCENT) -> Column:
+    return value.cast("long") * 100 > total * percent
+
+
 def check_combined_cap(point_applications: DataFrame, point_discounts: DataFrame,
                        applications: DataFrame, discounts: DataFrame, totals: DataFrame,
                        percent: int = CAP_PERCENT) -> DataFrame:
@@ -60,9 +63,9 @@ def check_combined_cap(point_applications: DataFrame, point_discounts: DataFrame
     restaurant = restaurant_discount_by_order(applications, discounts)
     total = totals.select("FOID", F.col("total").alias("_total"))
     sides = restaurant.join(total, "FOID")
-    over = (F.col("_points") + F.col("restaurant_value")) * 100 > F.col("_total") * percent
+    over = exceeds(F.col("_points") + F.col("restaurant_value"), F.col("_total"), percent)
     return (spread_join(point_applications.join(value, "DFEPcode", "left"), sides, ["FOID"], "left",
-                        ["DFEPcode"], counts=_rows_by_order(point_applications))
+                        ["DFEPcode"], counts=rows_by_order(point_applications))
             .withColumn("error", F.when(over, F.lit(rules.MSG_COMBINED_CAP)))
             .select(*point_applications.columns, "error"))
 
@@ -73,5 +76,5 @@ def restaurant_discount_by_order(applications: DataFrame, discounts: DataFrame)
             .groupBy("FOID").agg(F.sum("_v").alias("restaurant_value")))
 
 
-def _rows_by_order(applications: DataFrame) -> DataFrame:
+def rows_by_order(applications: DataFrame) -> DataFrame:
     return applications.groupBy("FOID").agg(F.count(F.lit(1)).alias("n"))

@@ -133,12 +133,13 @@ def orders_by_category(t: Tables, category_id: int | None = None) -> DataFrame:
         F.col("ID").alias("FOID"), "CID", F.col("order_time_stamp").alias("OrderTime"), "rating",
         F.col("order_status").alias("OrderStatus"))
     names = t["customer"].select(F.col("ID").alias("CID"), F.col("name").alias("CustomerName"))
-    report = (sums.join(orders, "FOID").join(names, "CID")
-              .select("categoryID", F.col("FOID").alias("OrderID"), "OrderTime", "rating", "CustomerName",
-                      "TotalItems", "OrderStatus", "TotalRevenue"))
+    columns = [F.col("FOID").alias("OrderID"), "OrderTime", "rating", "CustomerName", "TotalItems",
+               "OrderStatus", "TotalRevenue"]
     if category_id is None:
-        return report
-    return report.drop("categoryID").orderBy(F.desc("TotalRevenue"), "OrderID")
+        # an order has several categories: name the orders before they are multiplied
+        return sums.join(orders.join(names, "CID"), "FOID").select("categoryID", *columns)
+    return (sums.join(orders, "FOID").join(names, "CID").select(*columns)
+            .orderBy(F.desc("TotalRevenue"), "OrderID"))
 
 
 def item_counts(t: Tables) -> DataFrame:

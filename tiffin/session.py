@@ -11,20 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 def build_session(app: str = "tiffin", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs rely on.
 
-    Shuffle partitions start high and AQE merges the small ones, so the same
-    code fits a laptop and a cluster.  Streaming state goes to RocksDB because
-    the per-order state does not fit on the heap at scale.
+    On a cluster shuffles start with many partitions and AQE merges the small
+    ones to about 128 MB.  Streaming state goes to RocksDB because the per-order
+    state does not fit on the heap at scale.
     """
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.ui.enabled": "false",
-    } | conf
+    }
+    if not (master or "").startswith("local"):
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = "8000"
+    settings |= conf
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)

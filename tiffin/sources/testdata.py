@@ -14,6 +14,7 @@ from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Part types in id order, and which priorities use which discount.
 TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
@@ -23,8 +24,15 @@ CUSTOMER_SHIFT = 1000
 STATUS = {"F": "delivered", "O": "confirmed", "P": "pending"}
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One test table; its schema is read from the file once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def raw_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from tiffin.operators.admission import admit_applications
 from tiffin.operators.cross_rules import check_discount_cap, check_line_restaurant
 from tiffin.operators.rollups import discount_usage, order_totals
-from tiffin.streaming.sinks import log_writer, open_log
+from tiffin.streaming.sinks import log_writer, open_log, rewrite
 
 Tables = Mapping[str, DataFrame]
 
@@ -74,7 +74,8 @@ def admission(applications: DataFrame, t: Tables, path: str, checkpoint: str) ->
         used = discount_usage(t["discount_from_restaurant"], earlier)
         judged = admit_applications(batch, used, t["food_order"],
                                     order_totals(t["contain"], t["food_item"]),
-                                    existing=earlier.select("DFRcode", "FOID"))
+                                    existing=earlier.select("DFRcode", "FOID"),
+                                    stage=lambda df: rewrite(df, f"{path}-stage"))
         return _flag(judged, APPLICATIONS)
 
     return log_writer(applications, path, checkpoint, settle, partition_by=["accepted"])

@@ -25,6 +25,12 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType, before: int |
     return log if before is None else log.filter(F.col("batch_id") < before)
 
 
+def rewrite(df: DataFrame, path: str) -> DataFrame:
+    """Write a step of the current batch to a folder each batch overwrites, and read it back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def latest(log: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The newest row per key of an update-mode log."""
     values = [c for c in log.columns if c not in (*keys, "batch_id")]
@@ -52,3 +58,20 @@ def log_writer(stream: DataFrame, path: str, checkpoint: str, settle: Settle | N
 def drain(writer: DataStreamWriter) -> None:
     """Process what is there and stop."""
     writer.start().awaitTermination()
+
+
+def compact(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], through: int,
+            target: str) -> None:
+    """Write the newest row per key of all batches up to ``through`` as one batch of a new log.
+
+    ``read_log_after`` then reads the short log and only the later batches of the
+    old one, whose earlier folders are no longer needed.
+    """
+    newest = latest(read_log(spark, path, schema, through + 1), keys)
+    newest.select(*schema.names).write.mode("overwrite").parquet(f"{target}/batch_id={through}")
+
+
+def read_log_after(spark: SparkSession, target: str, path: str, schema: T.StructType, through: int) -> DataFrame:
+    """The compacted log followed by the batches written since."""
+    return (read_log(spark, target, schema)
+            .unionByName(read_log(spark, path, schema).filter(F.col("batch_id") > through)))
