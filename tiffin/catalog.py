@@ -380,7 +380,7 @@ def _removed(result: cascade.CascadeResult, rejects: DataFrame | None = None) ->
 def delete_items(spark: SparkSession, sf: str) -> DataFrame:
     requests = testdata.raw(spark, sf, "orders").select(
         F.col("o_orderkey").alias("seq"), (F.col("o_custkey") * 4).alias("ID"))
-    done = changes.delete_items(testdata.load(spark, sf), requests)
+    done = changes.delete_items(testdata.load(spark, sf), requests, stage=durable)
     return _removed(done.cascade, done.rejects)
 
 
@@ -388,7 +388,7 @@ def delete_orders(spark: SparkSession, sf: str) -> DataFrame:
     """Each pair of events asks twice for one order; every other order, and some that do not exist."""
     requests = testdata.raw(spark, sf, "events").select(
         F.col("event_id").alias("seq"), (F.shiftright("event_id", 1) * 4).alias("ID"))
-    done = changes.delete_orders(testdata.load(spark, sf), requests)
+    done = changes.delete_orders(testdata.load(spark, sf), requests, stage=durable)
     return _removed(done.cascade, done.rejects)
 
 

@@ -174,8 +174,8 @@ def find_duplicates(requests: DataFrame, table: DataFrame, columns: Sequence[str
     """
     first = first_per_key(requests, columns, seq, "_first", counting)
     known = table.select(*columns).distinct().withColumn("_stored", F.lit(True))
-    facts = first.drop("n").join(known, list(columns), "left")
-    return (spread_join(requests, facts, columns, "left", [seq], counts=first)
+    facts = first.join(known, list(columns), "left")
+    return (spread_join(requests, facts, columns, "left", [seq], counts=first, counted="n")
             .withColumn("stored", F.coalesce(F.col("_stored"), F.lit(False)))
             .withColumn("repeated", F.coalesce(F.col(seq) > F.col("_first"), F.lit(False)))
             .drop("_stored", "_first"))

@@ -17,31 +17,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# rows of one key a task may get; rows(left) / ROWS_PER_SLICE bounds the broadcast list of hot keys
 ROWS_PER_SLICE = 1_000_000
 _NULL_SLICES = 4096
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
                 spread_by: Sequence[str] = (), counts: DataFrame | None = None,
-                rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+                counted: str | None = None, rows_per_slice: int | None = None) -> DataFrame:
     """``left.join(right, on, how)`` with every hot key of ``left`` cut into slices.
 
-    A key with more than ``rows_per_slice`` rows gets one slice per so many rows;
-    its rows go to a slice by a hash of ``spread_by`` (stable under task retry)
-    and its ``right`` rows are copied to each slice.  Other keys are untouched.
+    A key with more than ``rows_per_slice`` rows (``ROWS_PER_SLICE``) gets one
+    slice per so many rows; its rows go to a slice by a hash of ``spread_by``
+    (stable under task retry) and its ``right`` rows are copied to each slice.
+    Other keys are untouched.
 
     The hot keys are broadcast: there are at most ``rows(left) / rows_per_slice``
-    of them, a million for 10^12 rows.  ``counts`` (columns ``on`` plus ``n``)
-    spares the counting pass where an aggregate already holds it; pass one made
-    of the stored rows behind ``left`` rather than of ``left``, whose own joins
-    would otherwise run twice.
+    of them, a million for 10^12 rows.  They are counted in ``left`` unless the
+    counts are at hand: ``counts`` (columns ``on`` plus ``n``) is an aggregate of
+    the stored rows behind ``left``, whose own joins would otherwise run twice;
+    ``counted`` names the column of ``right`` that holds them, and is dropped.
     ``left`` rows with a NULL key match nothing and are dealt out evenly.
     """
     on = list(on)
+    rows_per_slice = rows_per_slice or ROWS_PER_SLICE
     spread_by = list(spread_by) or [c for c in left.columns if c not in on] or on
-    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
-    hot = counts.filter(F.col("n") > rows_per_slice).select(
-        *on, F.ceil(F.col("n") / rows_per_slice).cast("int").alias("_slices"))
+    if counts is None and counted:
+        counts = right.select(*on, F.col(counted).alias("n"))
+    elif counts is None:
+        counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    slices = F.ceil(F.col("n") / rows_per_slice).cast("int")
+    hot = counts.filter(F.col("n") > rows_per_slice).select(*on, slices.alias("_slices"))
 
     has_null = F.lit(False)
     for name in on:
@@ -50,12 +56,14 @@ def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     slice_ = (F.when(has_null, F.pmod(dealt, F.lit(_NULL_SLICES)))
               .when(F.col("_slices").isNotNull(), F.pmod(dealt, F.col("_slices")))
               .otherwise(F.lit(0)).cast("int"))
-    cut = (left.join(F.broadcast(hot), on, "left")
-           .withColumn("_slice", slice_).drop("_slices"))
-    copies = (right.join(F.broadcast(hot), on, "left")
-              .withColumn("_slice", F.explode(F.sequence(
-                  F.lit(0), F.coalesce(F.col("_slices"), F.lit(1)) - 1)))
-              .drop("_slices"))
+    cut = left.join(F.broadcast(hot), on, "left").select(*left.columns, slice_.alias("_slice"))
+    if counted:
+        own = F.greatest(F.ceil(F.col(counted) / rows_per_slice).cast("int"), F.lit(1))
+        numbered = right.withColumn("_slices", own).drop(counted)
+    else:
+        numbered = right.join(F.broadcast(hot), on, "left")
+    copies = numbered.withColumn("_slice", F.explode(F.sequence(
+        F.lit(0), F.coalesce(F.col("_slices"), F.lit(1)) - 1))).drop("_slices")
     return cut.join(copies, [*on, "_slice"], how).drop("_slice")
 
 

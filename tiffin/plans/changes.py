@@ -130,7 +130,7 @@ def _judge_deletes(requests: DataFrame, table: DataFrame, message: str) -> DataF
     """A row that is not there, or was deleted by an earlier request, cannot be deleted."""
     first = first_per_key(requests, ["ID"], "seq", "_first")
     known = exists_in(requests, table, {"ID": "ID"}, "_there", unique=True)
-    return (spread_join(known, first.drop("n"), ["ID"], "left", ["seq"], counts=first)
+    return (spread_join(known, first, ["ID"], "left", ["seq"], counted="n")
             .withColumn("error", F.when(
                 ~F.col("_there") | F.coalesce(F.col("seq") > F.col("_first"), F.lit(False)), F.lit(message)))
             .drop("_there", "_first"))
@@ -213,7 +213,7 @@ def delete_accounts(t: Tables, requests: DataFrame, stage: Stage = lambda df: df
     found = requests.join(accounts.select("ID", *pair), pair, "left")
     # usernames are unique, so a matching pair stands for one account
     first = first_per_key(requests, pair, "seq", "_first")
-    judged = stage(spread_join(found, first.drop("n"), pair, "left", ["seq"], counts=first).withColumn(
+    judged = stage(spread_join(found, first, pair, "left", ["seq"], counted="n").withColumn(
         "error", F.when(F.col("ID").isNull() | (F.col("seq") > F.col("_first")), F.lit(rules.MSG_LOGIN))))
     accepted, rejects = _split(judged, requests.columns)
     result = cascade_delete(t, "account", accepted.select("ID"), stage)

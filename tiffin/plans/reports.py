@@ -193,7 +193,7 @@ def price_levels(t: Tables, restaurant: str | None = None, key: str = "name") ->
     group = "rname" if key == "name" else "RID"
     stats = price_stats(t["food_item"], t["category"], places, key)
     items = items_by_restaurant(t["food_item"], t["category"], places)
-    joined = spread_join(items, stats.drop("n"), [group], "inner", ["ID"], counts=stats)
+    joined = spread_join(items, stats, [group], "inner", ["ID"], counted="n")
     return joined.select("rname", "ID", "name", "price", _level().alias("price_level"))
 
 
