@@ -51,6 +51,12 @@ def test_distributed_rank(spark, values):
     assert rows(skew.distributed_rank(df, "v").select("v", "rank")) == whole
 
 
+def test_distributed_rank_keeps_nulls(spark):
+    df = spark.createDataFrame([("a", 5), ("a", None), (None, 1)], "k string, v long")
+    ranked = {(r["k"], r["v"]): r["rank"] for r in skew.distributed_rank(df, "v", ["k"]).collect()}
+    assert ranked == {("a", None): 1, ("a", 5): 2, (None, 1): None}
+
+
 def test_distributed_rank_crosses_blocks(spark):
     values = [(i * (2**19),) for i in range(-40, 40)] + [(2**43 + i,) for i in range(20)]
     df = spark.createDataFrame(values, "v long")

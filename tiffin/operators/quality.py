@@ -139,23 +139,34 @@ def split_valid(df: DataFrame, table: str,
     return judged.filter(F.col("error").isNull()).drop("error"), judged.filter(F.col("error").isNotNull())
 
 
+def narrow(table: DataFrame, requests: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows of ``table`` whose ``columns`` some request names.
+
+    A change set is small beside the table it changes.  The distinct request
+    keys are then broadcast and the table is only scanned, where an outer join
+    from the requests would have to shuffle it.
+    """
+    return table.join(requests.select(*columns).distinct(), list(columns), "left_semi")
+
+
 def exists_in(requests: DataFrame, entity: DataFrame, keys: Mapping[str, str], found: str = "found",
               unique: bool = False, spread_by: Sequence[str] = (), collation: str | None = None) -> DataFrame:
     """``requests`` with a flag: is there a row of ``entity`` under these keys?
 
     ``keys`` maps request columns to entity columns.  With ``unique`` the entity
-    holds each key once and is joined as it is stored; otherwise its keys are
-    made distinct first.  ``collation`` (for example ``UNICODE_CI_AI``) compares
-    text without case and accents.
+    holds each key once and its rows are used as they are; otherwise its keys
+    are made distinct first.  ``collation`` (for example ``UNICODE_CI_AI``)
+    compares text without case and accents.
     """
     temp = [f"_k{i}" for i in range(len(keys))]
     left = requests.withColumns(
         {t: _collated(requests, c, collation) for t, c in zip(temp, keys)})
-    right = entity.select(*[_collated(entity, c, collation).alias(t) for t, c in zip(temp, keys.values())])
+    held = entity.select(*[_collated(entity, c, collation).alias(t) for t, c in zip(temp, keys.values())])
+    hits = narrow(held, left, temp)
     if unique and not collation:
-        joined = left.join(right.withColumn(found, F.lit(True)), temp, "left")
+        joined = left.join(hits.withColumn(found, F.lit(True)), temp, "left")
     else:
-        joined = spread_join(left, right.distinct().withColumn(found, F.lit(True)), temp, "left",
+        joined = spread_join(left, hits.distinct().withColumn(found, F.lit(True)), temp, "left",
                              spread_by or requests.columns)
     return joined.drop(*temp).withColumn(found, F.coalesce(F.col(found), F.lit(False)))
 
@@ -173,7 +184,7 @@ def find_duplicates(requests: DataFrame, table: DataFrame, columns: Sequence[str
     distinct key, which is joined back to the requests once.
     """
     first = first_per_key(requests, columns, seq, "_first", counting)
-    known = table.select(*columns).distinct().withColumn("_stored", F.lit(True))
+    known = narrow(table.select(*columns), first, columns).distinct().withColumn("_stored", F.lit(True))
     facts = first.join(known, list(columns), "left")
     return (spread_join(requests, facts, columns, "left", [seq], counts=first, counted="n")
             .withColumn("stored", F.coalesce(F.col("_stored"), F.lit(False)))

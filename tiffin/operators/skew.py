@@ -78,15 +78,16 @@ def distributed_rank(df: DataFrame, order_by: str, keys: Sequence[str] = (),
     computes the same rank.
 
     With ``counting`` the rank is the number of rows up to and including this
-    one for which the condition holds; all rows are kept.  ``keys`` must not be
-    NULL and ``order_by`` should be unique within a key (equal values are ranked
-    in an arbitrary order).
+    one for which the condition holds.  All rows are kept: a NULL in ``order_by``
+    comes first, a NULL key has a NULL rank.  ``order_by`` should be unique
+    within a key (equal values are ranked in an arbitrary order).
     """
     keys = list(keys)
     counting = F.lit(True) if counting is None else F.coalesce(counting, F.lit(False))
+    position = F.coalesce(F.col(order_by).cast("long"), F.lit(-2**63))
     blocked = df.withColumns({
-        "_far": F.shiftright(F.col(order_by).cast("long"), 42),
-        "_near": F.shiftright(F.col(order_by).cast("long"), 21),
+        "_far": F.shiftright(position, 42),
+        "_near": F.shiftright(position, 21),
         "_counts": counting.cast("long"),
     })
     before = (Window.unboundedPreceding, -1)
@@ -104,7 +105,7 @@ def distributed_rank(df: DataFrame, order_by: str, keys: Sequence[str] = (),
     within = F.sum("_counts").over(
         Window.partitionBy(*keys, "_far", "_near").orderBy(F.col(order_by))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (blocked.join(offsets, [*keys, "_far", "_near"])
+    return (blocked.join(offsets, [*keys, "_far", "_near"], "left")
             .withColumn(rank, F.col("_off") + within)
             .drop("_far", "_near", "_off", "_counts"))
 

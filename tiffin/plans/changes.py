@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiffin.functions import rules
-from tiffin.operators.quality import exists_in, find_duplicates
+from tiffin.operators.quality import exists_in, find_duplicates, narrow
 from tiffin.operators.sequential import first_come
 from tiffin.operators.skew import first_per_key, spread_join
 from tiffin.plans.cascade import CascadeResult, Stage, cascade_delete
@@ -182,7 +182,8 @@ def judge_new_customers(requests: DataFrame, customers: DataFrame, accounts: Dat
     are given out first come, first served: a customer per account, a phone
     number and a card number each once.
     """
-    found = requests.join(accounts.select("username", "ID"), "username", "left")
+    ids = narrow(accounts.select("username", "ID"), requests, ["username"])
+    found = requests.join(ids, "username", "left")
     judged = durable(found.withColumn("error", rules.first_error(
         (F.col("ID").isNull(), rules.MSG_NO_USERNAME),
         (rules.bad_email(F.col("email")), rules.MSG_EMAIL),
@@ -210,7 +211,7 @@ def delete_accounts(t: Tables, requests: DataFrame, stage: Stage = lambda df: df
     """
     accounts = t["account"]
     pair = ["username", "password"]
-    found = requests.join(accounts.select("ID", *pair), pair, "left")
+    found = requests.join(narrow(accounts.select("ID", *pair), requests, pair), pair, "left")
     # usernames are unique, so a matching pair stands for one account
     first = first_per_key(requests, pair, "seq", "_first")
     judged = stage(spread_join(found, first, pair, "left", ["seq"], counted="n").withColumn(

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from tiffin.operators.admission import admit_applications
 from tiffin.operators.cross_rules import check_discount_cap, check_line_restaurant
+from tiffin.operators.quality import narrow
 from tiffin.operators.rollups import discount_usage, order_totals
 from tiffin.streaming.sinks import log_writer, open_log, rewrite
 
@@ -39,11 +40,22 @@ def _flag(judged: DataFrame, schema: T.StructType) -> DataFrame:
     return judged.select(*schema.names, F.col("error").isNull().alias("accepted"))
 
 
+def _named(table: DataFrame, key: str, batch: DataFrame, batch_key: str) -> DataFrame:
+    """The stored rows that the batch names: the table is scanned, not shuffled, for a small batch."""
+    return narrow(table, batch.select(F.col(batch_key).alias(key)), [key])
+
+
+def _totals(t: Tables, batch: DataFrame) -> DataFrame:
+    return order_totals(narrow(t["contain"], batch, ["FOID"]), t["food_item"])
+
+
 def guard_lines(lines: DataFrame, t: Tables, path: str, checkpoint: str) -> DataStreamWriter:
     """Lines whose item is of another restaurant than their order are refused."""
 
     def settle(batch: DataFrame, _: int) -> DataFrame:
-        judged = check_line_restaurant(batch, t["food_order"], t["food_item"], t["category"])
+        judged = check_line_restaurant(
+            batch, _named(t["food_order"], "ID", batch, "FOID"), _named(t["food_item"], "ID", batch, "FIID"),
+            t["category"])
         return _flag(judged, LINES)
 
     return log_writer(lines, path, checkpoint, settle, partition_by=["accepted"])
@@ -53,8 +65,7 @@ def guard_applications(applications: DataFrame, t: Tables, path: str, checkpoint
     """Applications over the discount cap are refused."""
 
     def settle(batch: DataFrame, _: int) -> DataFrame:
-        totals = order_totals(t["contain"], t["food_item"])
-        return _flag(check_discount_cap(batch, t["discount_from_restaurant"], totals), APPLICATIONS)
+        return _flag(check_discount_cap(batch, t["discount_from_restaurant"], _totals(t, batch)), APPLICATIONS)
 
     return log_writer(applications, path, checkpoint, settle, partition_by=["accepted"])
 
@@ -72,8 +83,7 @@ def admission(applications: DataFrame, t: Tables, path: str, checkpoint: str) ->
         earlier = (read_judged(batch.sparkSession, path, APPLICATIONS)
                    .filter((F.col("batch_id") < batch_id) & F.col("accepted")))
         used = discount_usage(t["discount_from_restaurant"], earlier)
-        judged = admit_applications(batch, used, t["food_order"],
-                                    order_totals(t["contain"], t["food_item"]),
+        judged = admit_applications(batch, used, _named(t["food_order"], "ID", batch, "FOID"), _totals(t, batch),
                                     existing=earlier.select("DFRcode", "FOID"),
                                     stage=lambda df: rewrite(df, f"{path}-stage"))
         return _flag(judged, APPLICATIONS)
