@@ -222,7 +222,7 @@ def q_check_all(spark: SparkSession, sf: str) -> DataFrame:
     t["customer"] = faulty_customers(spark, sf)
     t["food_order"] = faulty_orders(spark, sf)
     t["contain"] = testdata.contain_raw(testdata.raw(spark, sf, "lineitem"))
-    return quality.check_all({n: t[n] for n in ("account", "customer", "food_order", "contain")})
+    return quality.check_all(t)
 
 
 def q_split_valid(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,10 @@ anti joins against the stored parent, which AQE broadcasts or splits by size.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +31,8 @@ def key_text(columns: Sequence[str]) -> Column:
 
 def not_null_rules(contract: Contract) -> list[RowRule]:
     required = [c.name for c in contract.columns if c.required]
-    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required]))
-    return [("not_null", F.size(missing) > 0, F.concat_ws(",", missing))]
+    missing = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in required])
+    return [("not_null", reduce(or_, [F.col(c).isNull() for c in required]), missing)]
 
 
 def domain_rules(contract: Contract) -> list[RowRule]:
@@ -55,12 +58,19 @@ def row_rules(contract: Contract) -> list[RowRule]:
 
 def violations_by_row(df: DataFrame, table: str, row_rules_: Iterable[RowRule],
                       key: Sequence[str] | None = None) -> DataFrame:
-    """Every violated rule of every row, in one scan."""
+    """Every violated rule of every row, in one scan.
+
+    The plain test comes first: sound rows, nearly all of them, never reach the
+    array of findings.
+    """
+    row_rules_ = list(row_rules_)
+    any_failed = reduce(or_, [F.coalesce(violated, F.lit(False)) for _, violated, _ in row_rules_])
     failed = F.array_compact(F.array(*[
         F.when(violated, F.struct(F.lit(name).alias("rule"), detail.cast("string").alias("detail")))
         for name, violated, detail in row_rules_]))
     key = key or TABLES[table].key
-    return (df.select(key_text(key).alias("key"), F.explode(failed).alias("_v"))
+    return (df.filter(any_failed)
+            .select(key_text(key).alias("key"), F.explode(failed).alias("_v"))
             .select(F.lit(table).alias("table"), F.col("_v.rule").alias("rule"), "key",
                     F.col("_v.detail").alias("detail")))
 
@@ -106,29 +116,76 @@ def check_foreign_key(child: DataFrame, table: str, column: str, parent: DataFra
                     F.col(column).cast("string").alias("detail")))
 
 
-def check_foreign_keys(tables: Tables, table: str) -> list[DataFrame]:
-    return [check_foreign_key(tables[table], table, fk.column, tables[fk.parent], fk.parent_column)
-            for fk in TABLES[table].foreign if fk.parent in tables]
+def check_keys(tables: Tables, names: Iterable[str]) -> DataFrame:
+    """All primary and unique keys of the named tables.
+
+    Keys of one type share an aggregate and its shuffle, in their own types: all
+    BIGINT ids together, all texts together, and so on.
+    """
+    by_type: dict[tuple[str, ...], list[tuple[str, str, tuple[str, ...]]]] = defaultdict(list)
+    for name in names:
+        contract = TABLES[name]
+        for rule, columns in [("key", contract.key), *[("unique", u) for u in contract.unique]]:
+            types = tuple(tables[name].schema[c].dataType.simpleString() for c in columns)
+            by_type[types].append((name, f"{rule}_{'_'.join(columns)}", columns))
+    return _union([_repeated_keys(tables, checks) for checks in by_type.values()])
+
+
+def _repeated_keys(tables: Tables, checks: list[tuple[str, str, tuple[str, ...]]]) -> DataFrame:
+    keys = [f"_k{i}" for i in range(len(checks[0][2]))]
+    parts = [tables[name].select(F.lit(i).alias("_check"), *[F.col(c).alias(k) for c, k in zip(columns, keys)])
+             for i, (name, _, columns) in enumerate(checks)]
+    return (first_per_key(_union(parts), ["_check", *keys], keys[0])
+            .filter(F.col("n") > 1)
+            .select(_pick([c[0] for c in checks]).alias("table"), _pick([c[1] for c in checks]).alias("rule"),
+                    key_text(keys).alias("key"), F.col("n").cast("string").alias("detail")))
+
+
+def check_references(tables: Tables, names: Iterable[str]) -> DataFrame | None:
+    """All foreign keys of the named tables whose parent is given, None if there are none.
+
+    References to one parent are checked together, so a parent is read (and, if
+    it is large, shuffled) once for all of its children.
+    """
+    by_parent: dict[tuple[str, str], list[tuple[str, str]]] = defaultdict(list)
+    for name in names:
+        for fk in TABLES[name].foreign:
+            if fk.parent in tables:
+                by_parent[fk.parent, fk.parent_column].append((name, fk.column))
+    orphans = []
+    for (parent, parent_column), children in by_parent.items():
+        refs = _union([
+            tables[name].filter(F.col(column).isNotNull())
+            .select(F.lit(i).alias("_check"), F.col(column).alias("_ref"), key_text(TABLES[name].key).alias("key"))
+            for i, (name, column) in enumerate(children)])
+        lost = refs.join(tables[parent].select(F.col(parent_column).alias("_ref")), "_ref", "left_anti")
+        orphans.append(lost.select(
+            _pick([c[0] for c in children]).alias("table"),
+            _pick([f"foreign_key_{c[1]}" for c in children]).alias("rule"),
+            "key", F.col("_ref").cast("string").alias("detail")))
+    return _union(orphans) if orphans else None
+
+
+def _pick(texts: Sequence[str]) -> Column:
+    return F.get(F.array(*[F.lit(t) for t in texts]), F.col("_check"))
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def check_all(tables: Tables, names: Iterable[str] | None = None) -> DataFrame:
+    """All violations of the contracts of the given tables, or of those in ``names``."""
+    names = [n for n in TABLES if n in tables and (names is None or n in names)]
+    found = _union([violations_by_row(tables[n], n, row_rules(TABLES[n])) for n in names])
+    found = found.unionByName(check_keys(tables, names))
+    orphans = check_references(tables, names)
+    return found if orphans is None else found.unionByName(orphans)
 
 
 def check_table(tables: Tables, table: str) -> DataFrame:
     """All violations of one table's contract."""
-    df, contract = tables[table], TABLES[table]
-    found = violations_by_row(df, table, row_rules(contract)).unionByName(check_key(df, table))
-    for columns in contract.unique:
-        found = found.unionByName(check_unique(df, table, columns))
-    for orphans in check_foreign_keys(tables, table):
-        found = found.unionByName(orphans)
-    return found
-
-
-def check_all(tables: Tables) -> DataFrame:
-    """All violations of all given tables."""
-    parts = [check_table(tables, name) for name in TABLES if name in tables]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found
+    return check_all(tables, [table])
 
 
 def split_valid(df: DataFrame, table: str,
