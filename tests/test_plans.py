@@ -1,10 +1,12 @@
 """What the plans must and must not hold, and results when nothing is small enough to broadcast."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from comparison import differences
 from tiffin.operators import skew
+from tiffin.operators.cross_rules import check_line_restaurant
 from tiffin.plans import reports
 from tiffin.sources import testdata
 
@@ -51,3 +53,27 @@ def test_scans_are_pruned_and_filters_pushed(spark):
 def test_lines_are_combined_before_the_shuffle_by_order(spark):
     text = plan(driver.queries()["order_totals"](spark, SF))
     assert "partial_sum(amount" in text
+
+
+def test_hot_order_is_split_at_run_time(spark):
+    """A third of the lines belong to one order: the plain joins leave the split to AQE."""
+    lines = (spark.range(60_000, numPartitions=4)
+             .select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 5000).alias("FOID"),
+                     (F.col("id") % 200).alias("FIID"), F.hash("id").alias("quantity")))
+    orders = spark.range(5000).select(F.col("id").alias("ID"), (F.col("id") % 25 + 1).alias("RID"))
+    t = testdata.load(spark, SF)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16KB",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        judged = check_line_restaurant(lines, orders, t["food_item"], t["category"])
+        assert len(judged.collect()) == 60_000
+        assert "skew=true" in plan(judged)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
