@@ -7,6 +7,7 @@ the work grows with the data.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tiffin.functions import rules, text
 from tiffin.operators import admission, cross_rules, quality, rollups
 from tiffin.plans import cascade, changes, reports
-from tiffin.session import durable, shared_dir
+from tiffin.session import durable, name_local_dir, shared_dir
 from tiffin.sources import loading, tables, testdata
 from tiffin.streaming import guards, maintenance, sinks
 
@@ -553,6 +554,15 @@ def stream_admission(spark: SparkSession, sf: str) -> DataFrame:
     return guards.read_judged(spark, f"{path}/log", guards.APPLICATIONS).drop("batch_id", "accepted")
 
 
+def _prepared(query: Query) -> Query:
+    """Name a staging folder first where a local session has none."""
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        name_local_dir(spark)
+        return query(spark, sf)
+    return run
+
+
 QUERIES: dict[str, Query] = {
     "menu": _report(reports.menu),
     "restaurant_categories": restaurant_categories,
@@ -616,3 +626,4 @@ QUERIES: dict[str, Query] = {
     "stream_discount_rejects": stream_discount_rejects,
     "stream_admission": stream_admission,
 }
+QUERIES = {name: _prepared(query) for name, query in QUERIES.items()}

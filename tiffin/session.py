@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -38,18 +40,30 @@ def build_session(app: str = "tiffin", master: str | None = None, **conf: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, named by ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a folder of its own.
-    """
+    """The folder every executor can reach, named by ``spark.checkpoint.dir``."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    return named
+
+
+def name_local_dir(spark: SparkSession) -> None:
+    """Name a temporary folder for a local session that has none; callers that own
+    the session (catalog, bench) use it, the operators never do.  It goes with the process."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     made = tempfile.mkdtemp(prefix="tiffin-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", made)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store holds it."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -57,10 +71,38 @@ def durable(df: DataFrame) -> DataFrame:
 
     The copy outlives the executors that made it, every later reader sees the
     same rows and reads only the columns it needs, and its size is known, so
-    joins against it are planned by size.  The folders ``tiffin-stage/*`` can be
-    removed when the job is over.
+    joins against it are planned by size.  Use a ``Stage`` where the copies can
+    be removed when the job is over.
+    """
+    return Stage(df.sparkSession)(df)
+
+
+class Stage:
+    """Makes durable copies, as ``durable`` does, and removes them on ``close``.
+
+    >>> with Stage(spark) as stage:
+    ...     changes.delete_orders(tables, requests, stage=stage).rejects.write.parquet(out)
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tiffin-stage/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._root = f"{shared_dir(spark)}/tiffin-stage/{uuid.uuid4().hex}"
+        self._made: list[str] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{self._root}/{len(self._made)}"
+        self._made.append(path)
+        df.write.parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Stage:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Remove every copy made so far; frames that read them end here."""
+        if self._made:
+            remove_folder(self._spark, self._root)
+            self._made.clear()
