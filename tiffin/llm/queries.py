@@ -5,9 +5,11 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tiffin.llm import substrings
+from tiffin.llm import mixing, neardup, packing, sharding, substrings, winnowing
 from tiffin.session import Stage, name_local_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +25,39 @@ def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.remove_repeats(docs, Stage(spark)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_winnowing(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text."""
+    return winnowing.edited_fingerprints(_table(spark, sf, "documents"))
+
+
+def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    """A uniform shuffle into 16 shards with row counts at most one apart."""
+    rows = _table(spark, sf, "documents").select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    return sharding.shuffle_into_shards(rows, Stage(spark), 16).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
+        F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Sequences of at most 4096 tokens by first-fit decreasing."""
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    made = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(made, Stage(spark))
+
+
+def op8_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of documents whose five-word shingle sets are at least 0.75 alike."""
+    return neardup.near_duplicates(_table(spark, sf, "documents").select("doc_id", "text"), Stage(spark))
+
+
+def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources mixed to 150% of all words by weights 5, 2, 1, at most two epochs each."""
+    docs = _table(spark, sf, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs, Stage(spark)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def _prepared(query: Query) -> Query:
     """Name a staging folder first where a local session has none."""
     @functools.wraps(query)
@@ -33,7 +68,7 @@ def _prepared(query: Query) -> Query:
 
 
 QUERIES: dict[str, Query] = {f.__name__: _prepared(f) for f in (
-    op4_substring_dedup,
+    op4_substring_dedup, op5_winnowing, op6_sharding, op7_packing, op8_near_duplicates, op9_mixing,
 )}
 
 ORACLES: dict[str, str] = {}

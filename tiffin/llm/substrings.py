@@ -36,7 +36,7 @@ Stage = Callable[[DataFrame], DataFrame]
 #: Windows per super-k-mer at most; a longer run of one minimiser is cut, which changes no result.
 RUN_WINDOWS = 256
 #: A minimiser with more different stretches than this is split by the windows themselves.
-HOT_STRETCHES = 20_000
+HOT_STRETCHES = 2_000
 #: Bytes of packed text that a task sorts at a time.
 SORT_BYTES = 4 << 20
 

@@ -1,7 +1,7 @@
 """Words of whole texts as flat arrays, for use inside Arrow tasks.
 
 A word is ``[^\\x20\\x09-\\x0D]+`` on the UTF-8 bytes of a text.  Texts of one Arrow
-batch are handled in chunks of about a megabyte, so the memory of a task does
+batch are handled in chunks of about half a megabyte, so the memory of a task does
 not depend on the batch or on the table; only a single longer text enlarges it.
 """
 
@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 U64 = np.uint64
 
 _IS_WORD = np.ones(256, dtype=bool)
@@ -73,7 +73,12 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
+#: Bytes of letters: A-Z, a-z and all of other scripts.
+LETTERS = np.zeros(256, dtype=bool)
+LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False, word_bytes: np.ndarray = _IS_WORD) -> Words:
     """The words of documents that lie one after another in ``data``."""
     offsets = offsets - offsets[0]
     if lower:
@@ -82,7 +87,7 @@ def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     if size == 0:
         none = np.zeros(0, dtype=np.int64)
         return Words(data, none, none, np.zeros(len(offsets), dtype=np.int64))
-    word = _IS_WORD[data]
+    word = word_bytes[data]
     before = np.zeros(size, dtype=bool)
     before[1:] = word[:-1]
     after = np.zeros(size, dtype=bool)
