@@ -3,22 +3,51 @@
 from __future__ import annotations
 
 import functools
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiffin.llm import mixing, neardup, packing, sharding, substrings, winnowing
+import corpus_pipeline
+from tiffin.llm import ann, mixing, neardup, packing, quality_ranker, sharding, substrings, toxicity, winnowing
 from tiffin.session import Stage, name_local_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_ROOT = str(Path(__file__).resolve().parents[2])
+
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _labelled(spark: SparkSession, sf: str, label: str) -> DataFrame:
+    """Documents that teach: labelled, and not held out."""
+    labels = _table(spark, sf, "labels").select("doc_id", F.col(label).alias("label"))
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return docs.join(labels, "doc_id").filter(~quality_ranker.held_out(F.col("doc_id")))
+
+
+def _scored(df: DataFrame, threshold: float) -> DataFrame:
+    return df.select("doc_id", quality_ranker.held_out(F.col("doc_id")).alias("held_out"), "score",
+                     (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Bradley-Terry quality score of every document."""
+    ranker = quality_ranker.train(_labelled(spark, sf, "quality"))
+    return _scored(quality_ranker.score(_table(spark, sf, "documents").select("doc_id", "text"), ranker, ["doc_id"]), 0.3)
+
+
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Largest toxic marginal of every document."""
+    tagger = toxicity.train(_labelled(spark, sf, "toxic"))
+    return _scored(toxicity.tag(_table(spark, sf, "documents").select("doc_id", "text"), tagger, ["doc_id"]), 0.5)
+
+
 def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Words kept after passages of 50 words that start in an earlier document are removed."""
     docs = _table(spark, sf, "documents").select("doc_id", "text")
@@ -58,17 +87,33 @@ def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(docs, Stage(spark)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth, by inner product."""
+    vectors = _table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.filter("vec_id % 20 = 0"), Stage(spark), 20)
+
+
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, sf)
+
+
 def _prepared(query: Query) -> Query:
-    """Name a staging folder first where a local session has none."""
+    """Name a staging folder first where a local session has none, and let its Python workers import the library.
+
+    On a cluster the library is shipped with the job (``--py-files``)."""
     @functools.wraps(query)
     def run(spark: SparkSession, sf: str) -> DataFrame:
         name_local_dir(spark)
+        known = spark.sparkContext.environment
+        known["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([*filter(None, [known.get("PYTHONPATH")]), _ROOT]))
         return query(spark, sf)
     return run
 
 
 QUERIES: dict[str, Query] = {f.__name__: _prepared(f) for f in (
-    op4_substring_dedup, op5_winnowing, op6_sharding, op7_packing, op8_near_duplicates, op9_mixing,
+    op2_quality, op3_toxicity, op4_substring_dedup, op5_winnowing, op6_sharding, op7_packing,
+    op8_near_duplicates, op9_mixing, op10_neighbours, pipeline,
 )}
 
 ORACLES: dict[str, str] = {}
