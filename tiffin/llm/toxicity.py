@@ -25,7 +25,6 @@ documents every score is 0.  Repeated rows are scored alike.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,9 +35,12 @@ from pyspark.sql import functions as F
 
 from tiffin.llm import words as W
 
-SAMPLE = 800
-BITS = 16
-KINDS = 6
+SAMPLE = 1000
+#: Bits of the hashed number of each kind of feature: word, two beginnings, ending, word before, word after.
+BITS = (22, 18, 18, 18, 18, 18)
+KINDS = len(BITS)
+_BASE = np.append(0, np.cumsum([1 << b for b in BITS]))
+FEATURES = int(_BASE[-1])
 _ROW = 256
 
 
@@ -64,7 +66,7 @@ def token_features(data: np.ndarray, offsets: np.ndarray) -> tuple[W.Words, np.n
              part(np.maximum(found.ends - 3, found.starts), found.ends), before, after]
     out = np.empty((KINDS, n), dtype=np.int32)
     for i, kind in enumerate(kinds):
-        out[i] = (kind >> np.uint64(64 - BITS)).astype(np.int32) + (i << BITS)
+        out[i] = (kind >> np.uint64(64 - BITS[i])).astype(np.int32) + _BASE[i]
     return found, out
 
 
@@ -110,20 +112,33 @@ def ratios(emission: np.ndarray, first: np.ndarray, transition: np.ndarray) -> t
 
 @dataclass
 class Tagger:
-    """Weights of the features, a bias for toxic tokens, and the transitions."""
+    """Weights of the features that have one, a bias for toxic tokens, and the transitions."""
 
+    features: np.ndarray
     weights: np.ndarray
     bias: float
     transition: np.ndarray
 
-    def marginals(self, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def table(self) -> np.ndarray:
+        """The weight of every feature number."""
+        out = np.zeros(FEATURES, dtype=np.float32)
+        out[self.features] = self.weights
+        return out
+
+    def marginals(self, table: np.ndarray, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Probability that each token is toxic, given its document."""
         if tokens.shape[1] == 0:
             return np.zeros(0)
-        _, forward, backward = ratios(self.weights[tokens].sum(axis=0) + self.bias, first, self.transition)
+        _, forward, backward = ratios(table[tokens].sum(axis=0, dtype=np.float64) + self.bias, first, self.transition)
         both = np.minimum(forward * backward, 1e30)
         return both / (1 + both)
 
 
+def untaught() -> Tagger:
+    """Scores every document 0, nearly."""
+    return Tagger(np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32), -30.0, np.zeros((2, 2)))
+
+
 def _firsts(found: W.Words) -> np.ndarray:
     first = np.zeros(len(found.starts), dtype=bool)
     first[found.first[:-1][np.diff(found.first) > 0]] = True
@@ -138,55 +153,64 @@ def _bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def telling_features(toxic: list[str | None], clean: list[str | None]) -> np.ndarray:
-    """Numbers of words and beginnings that mark toxic documents more often than chance allows."""
-    counts = []
+    """Numbers of words and beginnings that mark toxic documents more often than chance allows.
+
+    Documents with one smallest word hash are taken for copies of one another and count once.
+    """
+    counts, families = [], []
     for texts in (toxic, clean):
-        seen: Counter[int] = Counter()
+        seen: list[np.ndarray] = []
+        known: dict[int, int] = {}
         for begin in range(0, len(texts), 200):
             found, tokens = token_features(*_bytes(texts[begin:begin + 200]))
-            owner = found.document().astype(np.int64)
-            for kind in tokens[:3]:
-                pairs = np.unique(owner << 32 | kind)
-                seen.update((pairs & 0xFFFFFFFF).tolist())
-        counts.append(np.bincount(list(seen), weights=list(seen.values()), minlength=KINDS << BITS) if seen
-                      else np.zeros(KINDS << BITS))
-    share = len(toxic) / (len(toxic) + len(clean))
+            hashes = found.hashes()
+            full = np.flatnonzero(np.diff(found.first))
+            if not len(full):
+                continue
+            family = [known.setdefault(h, len(known)) for h in np.minimum.reduceat(hashes, found.first[full]).tolist()]
+            owner = np.repeat(np.array(family, dtype=np.int64), np.diff(found.first)[full])
+            seen += [np.unique(owner << 32 | kind) for kind in tokens[:3]]
+        pairs = np.unique(np.concatenate(seen)) if seen else np.zeros(0, dtype=np.int64)
+        counts.append(np.bincount(pairs & 0xFFFFFFFF, minlength=FEATURES))
+        families.append(len(known))
+    share = max(families[0], 1) / max(sum(families), 2)
     tried = int((counts[0] >= 2).sum())
     least = max(3, int(np.ceil(np.log(max(tried, 2)) / -np.log(share))))
     return np.flatnonzero((counts[0] >= least) & (counts[1] <= 0.02 * counts[0]))
 
 
-def fit(toxic: list[str | None], clean: list[str | None], rounds: int = 40, decay: float = 1e-5) -> Tagger:
+def fit(toxic: list[str | None], clean: list[str | None], rounds: int = 40, decay: float = 0.1) -> Tagger:
     """Maximise the likelihood of the token labels by scaled gradient steps."""
-    marks = np.zeros(KINDS << BITS, dtype=bool)
+    marks = np.zeros(FEATURES, dtype=bool)
     marks[telling_features(toxic, clean)] = True
-    texts = toxic + clean[:len(toxic)]
-    found, tokens = token_features(*_bytes(texts))
+    found, tokens = token_features(*_bytes(toxic + clean[:2 * len(toxic)]))
     first = _firsts(found)
     truth = (found.document() < len(toxic)) & marks[tokens[:3]].any(axis=0)
-    model = Tagger(np.zeros(KINDS << BITS), -3.0, np.zeros((2, 2)))
     if not truth.any():
-        return Tagger(model.weights, -30.0, model.transition)
+        return untaught()
+    used, local = np.unique(tokens, return_inverse=True)
+    local = local.reshape(tokens.shape).astype(np.int32)
+    weights, sums = np.zeros(len(used)), np.full(len(used), 1e-3)
+    bias, bias_sum = -3.0, 1e-3
+    transition, pair_sum, pair = np.zeros((2, 2)), np.full((2, 2), 1e-3), np.zeros((2, 2))
     inside = ~first[1:]
-    pair = np.zeros((2, 2))
     np.add.at(pair, (truth[:-1][inside].astype(int), truth[1:][inside].astype(int)), 1)
-    sums = np.full(KINDS << BITS, 1e-3)
-    bias_sum, pair_sum = 1e-3, np.full((2, 2), 1e-3)
     for _ in range(rounds):
-        x, forward, backward = ratios(model.weights[tokens].sum(axis=0) + model.bias, first, model.transition)
+        x, forward, backward = ratios(weights[local].sum(axis=0) + bias, first, transition)
         both = np.minimum(forward * backward, 1e30)
         miss = truth - both / (1 + both)
-        gradient = np.bincount(tokens.ravel(), weights=np.tile(miss, KINDS), minlength=KINDS << BITS) - decay * model.weights * len(miss)
-        a, ahead = np.exp(model.transition), x[1:] * backward[1:]
+        gradient = sum(np.bincount(kind, weights=miss, minlength=len(used)) for kind in local) - decay * weights
+        a, ahead = np.exp(transition), x[1:] * backward[1:]
         parts = np.stack([np.full(len(ahead), a[0, 0]), a[0, 1] * ahead, forward[:-1] * a[1, 0], forward[:-1] * a[1, 1] * ahead])
         expected = (parts / parts.sum(axis=0))[:, inside].sum(axis=1).reshape(2, 2)
         sums += gradient ** 2
-        model.weights += 0.7 * gradient / np.sqrt(sums)
+        weights += 0.7 * gradient / np.sqrt(sums)
         bias_sum += miss.sum() ** 2
-        model.bias += 0.3 * miss.sum() / np.sqrt(bias_sum)
+        bias += 0.3 * miss.sum() / np.sqrt(bias_sum)
         pair_sum += (pair - expected) ** 2
-        model.transition += 0.2 * (pair - expected) / np.sqrt(pair_sum)
-    return model
+        transition += 0.2 * (pair - expected) / np.sqrt(pair_sum)
+    kept = np.abs(weights) > 1e-3
+    return Tagger(used[kept].astype(np.int32), weights[kept].astype(np.float32), float(bias), transition)
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 7, rounds: int = 40) -> Tagger:
@@ -195,7 +219,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 7, rounds: int
     toxic, clean = ([r.text for r in labelled.filter(F.col("label") == label).orderBy(place, "doc_id").limit(most)
                      .select("text").toLocalIterator()] for label, most in ((1, sample), (0, 4 * sample)))
     if not toxic or not clean:
-        return Tagger(np.zeros(KINDS << BITS), -30.0, np.zeros((2, 2)))
+        return untaught()
     return fit(toxic, clean, rounds)
 
 
@@ -204,14 +228,13 @@ def tag(docs: DataFrame, tagger: Tagger, columns: list[str] | None = None, thres
     ranges ``start, end`` of runs of tokens at or above the threshold."""
     names = columns or docs.columns
     types = dict(docs.dtypes)
-    weights = tagger.weights.astype(np.float32)
-    small = Tagger(weights, tagger.bias, tagger.transition)
     place = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = tagger.table()
         for batch, data, offsets in W.chunks(batches, "_tag_text"):
             found, tokens = token_features(data, offsets)
-            marginal = small.marginals(tokens, _firsts(found))
+            marginal = tagger.marginals(table, tokens, _firsts(found))
             full = np.flatnonzero(np.diff(found.first))
             scores = np.zeros(batch.num_rows)
             if len(full):
