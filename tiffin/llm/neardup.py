@@ -15,10 +15,14 @@ J, the similarity of the sets, with the concentration of independent samples.
    buckets with the most others, on full sets.  That joins a family of copies
    whatever its size with as many comparisons as it has members.
 4. Only buckets that still hold classes of different components go on.  There the
-   sketches are compared in blocks, and pairs of different components whose sketches
-   agree in at least half of the coordinates (six standard deviations below J = 0.75)
-   are verified on full sets.  So every pair that shares a bucket is either in one
-   component already, or verified, or too far apart; no bucket is capped.
+   sketches are compared in blocks; pairs of different components that agree in at
+   least half of the coordinates (six standard deviations below J = 0.75) are held
+   together by a spanning forest, so what leaves a bucket grows with its members.
+5. The forests' components are families.  Each class travels once to its family with its
+   full set; there every pair of different components with similar sketches is verified
+   on full sets until it is linked or refuted, and only links that join components leave.
+   Large families are cut into blocks and every two blocks meet.  So every pair that
+   shares a bucket is in one component already, or verified, or too far apart.
 
 Rows: texts without words have an empty set, ``n_shingles`` 0, and are linked with
 nothing.  Fewer than five words make one shingle of all of them.  Rows without
@@ -34,7 +38,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiffin.llm import words as W
@@ -42,8 +46,10 @@ from tiffin.llm.components import components
 
 Stage = Callable[[DataFrame], DataFrame]
 
-#: Sketch rows that a task compares with one another at a time; larger buckets are cut into blocks.
+#: Rows that a task compares with one another at a time; larger groups are cut into blocks.
 BLOCK_ROWS = 4096
+#: Shingles of a block of a family.
+BLOCK_SHINGLES = 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> Iterator[np.ndarray]:
@@ -125,31 +131,10 @@ def full_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
         run, "doc_id long, shingles array<long>")
 
 
-def _compare(batches: Iterator[pa.RecordBatch], least_equal: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components with similar sketches, within groups that arrive together.
-
-    A group is a bucket or a pair of blocks of one; in the latter only pairs across the two blocks count."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole groups of rows that arrive sorted by their first column."""
     held: list[pa.RecordBatch] = []
     current = None
-
-    def solve(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        node, component, side = (part.column(c).to_numpy() for c in ("node", "component", "side"))
-        size = part.column("n_shingles").to_numpy()
-        marks = np.frombuffer(b"".join(part.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
-        found_a, found_b = [], []
-        for i in range(len(node) - 1):
-            ok = (component[i + 1:] != component[i]) & (
-                100 * np.minimum(size[i + 1:], size[i]) >= percent * np.maximum(size[i + 1:], size[i]))
-            if side[i] >= 0:
-                ok &= side[i + 1:] != side[i]
-            rest = np.flatnonzero(ok) + i + 1
-            rest = rest[(marks[rest] == marks[i]).sum(axis=1) >= least_equal]
-            found_a.append(np.full(len(rest), node[i]))
-            found_b.append(node[rest])
-        if found_a:
-            a, b = np.concatenate(found_a), np.concatenate(found_b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
-
     for batch in batches:
         keys = batch.column(0).to_pylist()
         begin = 0
@@ -158,11 +143,97 @@ def _compare(batches: Iterator[pa.RecordBatch], least_equal: int, percent: int)
                 if i > begin:
                     held.append(batch.slice(begin, i - begin))
                 if held:
-                    yield from solve(pa.Table.from_batches(held))
+                    yield pa.Table.from_batches(held)
                 held, begin, current = [], i, key
         held.append(batch.slice(begin))
-    if held:
-        yield from solve(pa.Table.from_batches(held))
+    if held and sum(h.num_rows for h in held):
+        yield pa.Table.from_batches(held)
+
+
+class _Union:
+    """Components of the rows of a group, by their labels."""
+
+    def __init__(self, labels: np.ndarray):
+        _, self.label = np.unique(labels, return_inverse=True)
+
+    def join(self, i: int, j: int) -> None:
+        self.label[self.label == self.label[j]] = self.label[i]
+
+
+def _candidates(part: pa.Table, percent: int, least_equal: int) -> Iterator[tuple[int, np.ndarray, _Union]]:
+    """Rows with the rows of other components that may be linked to them, nearest first.
+
+    A pair of different components has at least one row outside the largest one, so those rows suffice.
+    Where a group is a pair of blocks (``side`` 0 or more) only pairs across the blocks count."""
+    side, size = part.column("side").to_numpy(), part.column("n_shingles").to_numpy()
+    marks = np.frombuffer(b"".join(part.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(side), -1)
+    state = _Union(part.column("component").to_numpy())
+    largest = np.bincount(state.label).argmax()
+    done = np.zeros(len(side), dtype=bool)
+    for i in np.flatnonzero(state.label != largest).tolist():
+        done[i] = True
+        ok = ~done & (state.label != state.label[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+        if side[i] >= 0:
+            ok &= side != side[i]
+        rest = np.flatnonzero(ok)
+        equal = (marks[rest] == marks[i]).sum(axis=1)
+        order = np.argsort(-equal, kind="stable")
+        rest = rest[order][equal[order] >= least_equal]
+        if len(rest):
+            yield i, rest, state
+
+
+def _edges(pairs: list[tuple[int, int]], node: np.ndarray) -> pa.RecordBatch:
+    a, b = node[[i for i, _ in pairs]], node[[j for _, j in pairs]]
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+
+def _forest(batches: Iterator[pa.RecordBatch], least_equal: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Join what may be linked within each group."""
+    for part in _groups(batches):
+        pairs = []
+        for i, rest, state in _candidates(part, percent, least_equal):
+            for j in rest.tolist():
+                if state.label[j] != state.label[i]:
+                    state.join(i, j)
+                    pairs.append((i, j))
+        if pairs:
+            yield _edges(pairs, part.column("node").to_numpy())
+
+
+def _links(batches: Iterator[pa.RecordBatch], least_equal: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Verify on full sets whatever may join two components of a group."""
+    for part in _groups(batches):
+        sets = part.column("shingles").combine_chunks()
+        flat = np.asarray(sets.flatten()).view(np.uint64)
+        ends = np.append(0, np.cumsum(np.asarray(sets.value_lengths())))
+        pairs = []
+        for i, rest, state in _candidates(part, percent, least_equal):
+            own = flat[ends[i]:ends[i + 1]]
+            for begin in range(0, len(rest), 64):
+                some = rest[begin:begin + 64]
+                some = some[state.label[some] != state.label[i]]
+                if not len(some):
+                    continue
+                lengths = ends[some + 1] - ends[some]
+                other = np.concatenate([flat[ends[j]:ends[j + 1]] for j in some])
+                met = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
+                both = np.add.reduceat(met, np.cumsum(lengths) - lengths, dtype=np.int64)
+                for j in some[100 * both >= percent * (len(own) + lengths - both)].tolist():
+                    if state.label[j] != state.label[i]:
+                        state.join(i, j)
+                        pairs.append((i, j))
+        if pairs:
+            yield _edges(pairs, part.column("node").to_numpy())
+
+
+def _blocks(rows: DataFrame, blocks: Column, key: str) -> DataFrame:
+    """Give rows to every pair of the blocks of their group: ``group`` and ``side`` (-1 inside one block)."""
+    blocked = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    paired = blocked.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return (paired.withColumn("group", F.concat_ws("/", key, F.least("block", "partner"), F.greatest("block", "partner")))
+            .withColumn("side", F.when(F.col("block") == F.col("partner"), -1).otherwise(F.col("block")))
+            .drop("blocks", "block", "partner"))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, stage: Stage, shingle: int, percent: int) -> DataFrame:
@@ -177,7 +248,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, stage: Stage, shingle: int, perce
 
 
 def near_duplicates(docs: DataFrame, stage: Stage, shingle: int = 5, percent: int = 75, bands: int = 32,
-                    rows: int = 4, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                    rows: int = 4, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (smallest doc_id reachable over links) and ``kept``, per row.
 
     Links are pairs with 100 * intersection >= percent * union, confirmed on full sets.
@@ -209,22 +280,30 @@ def near_duplicates(docs: DataFrame, stage: Stage, shingle: int = 5, percent: in
 
     labelled = stage(spots.join(first, "node", "left").select(
         "bucket", "node", "n_shingles", F.coalesce("component", "node").alias("component")))
+    least_equal = bands * rows * (percent - 25) // 100
     open_buckets = stage(labelled.groupBy("bucket").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
         .filter("lo < hi").select("bucket", "n"))
     left = labelled.join(open_buckets, "bucket").join(nodes.select("node", "sketch"), "node")
-    blocks = F.ceil(F.col("n") / F.lit(block_rows // 2)).cast("int")
-    left = left.withColumn("blocks", F.when(F.col("n") <= block_rows, 1).otherwise(blocks)).withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    grouped = left.withColumn("partner", partner).select(
-        F.concat_ws("/", "bucket", F.least("block", "partner"), F.greatest("block", "partner")).alias("group"),
-        "node", "component", "n_shingles", "sketch",
-        F.explode(F.when(F.col("block") == F.col("partner"), F.array(F.lit(-1))).otherwise(F.array("block"))).alias("side"))
-    compared = (grouped.repartition("group").sortWithinPartitions("group")
-                .mapInArrow(lambda it: _compare(it, bands * rows * (percent - 25) // 100, percent), "a long, b long").distinct())
-    second_pairs = stage(compared.join(first_pairs, ["a", "b"], "left_anti"))
-    second_links = _verify(second_pairs, texts, stage, shingle, percent)
+    grouped = _blocks(left, F.when(F.col("n") <= block_rows, 1).otherwise(
+        F.ceil(2 * F.col("n") / F.lit(block_rows))).cast("int"), "bucket")
+    forest = stage(grouped.select("group", "side", "node", "component", "n_shingles", "sketch")
+                   .repartition("group").sortWithinPartitions("group")
+                   .mapInArrow(lambda it: _forest(it, least_equal, percent), "a long, b long"))
+    family = stage(components(forest, stage))
+    family = family.unionByName(family.select(F.col("component").alias("node"), "component").distinct()).toDF("node", "family")
+    sets = full_sets(texts.join(family, F.col("doc_id") == F.col("node"), "left_semi")
+                     .dropDuplicates(["doc_id", "text_key"]), shingle).withColumnRenamed("doc_id", "node")
+    members = stage(sets.join(family, "node").join(first, "node", "left").join(nodes.select("node", "sketch"), "node").select(
+        "family", "node", F.coalesce("component", "node").alias("component"), F.size("shingles").cast("long").alias("n_shingles"),
+        "sketch", "shingles"))
+    sizes = stage(members.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total")))
+    met = _blocks(members.join(sizes, "family"), F.when(
+        (F.col("n") <= block_rows) & (F.col("total") <= 2 * block_shingles), 1).otherwise(F.ceil(F.greatest(
+            2 * F.col("n") / F.lit(block_rows), F.col("total") / F.lit(block_shingles)))).cast("int"), "family")
+    second_links = stage(met.select("group", "side", "node", "component", "n_shingles", "sketch", "shingles")
+                         .repartition("group").sortWithinPartitions("group")
+                         .mapInArrow(lambda it: _links(it, least_equal, percent), "a long, b long"))
     final = components(first_links.unionByName(second_links), stage)
 
     joined = classes.join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
