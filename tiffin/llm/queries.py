@@ -24,11 +24,10 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _labelled(spark: SparkSession, sf: str, label: str) -> DataFrame:
-    """Documents that teach: labelled, and not held out."""
-    labels = _table(spark, sf, "labels").select("doc_id", F.col(label).alias("label"))
-    docs = _table(spark, sf, "documents").select("doc_id", "text")
-    return docs.join(labels, "doc_id").filter(~quality_ranker.held_out(F.col("doc_id")))
+def _teaching(spark: SparkSession, sf: str, label: str) -> DataFrame:
+    """Labels of documents that are not held out."""
+    return _table(spark, sf, "labels").select("doc_id", F.col(label).alias("label")).filter(
+        ~quality_ranker.held_out(F.col("doc_id")))
 
 
 def _scored(df: DataFrame, threshold: float) -> DataFrame:
@@ -38,14 +37,14 @@ def _scored(df: DataFrame, threshold: float) -> DataFrame:
 
 def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Bradley-Terry quality score of every document."""
-    ranker = quality_ranker.train(_labelled(spark, sf, "quality"))
-    return _scored(quality_ranker.score(_table(spark, sf, "documents").select("doc_id", "text"), ranker, ["doc_id"]), 0.3)
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return _scored(quality_ranker.score(docs, quality_ranker.train(docs, _teaching(spark, sf, "quality")), ["doc_id"]), 0.3)
 
 
 def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Largest toxic marginal of every document."""
-    tagger = toxicity.train(_labelled(spark, sf, "toxic"))
-    return _scored(toxicity.tag(_table(spark, sf, "documents").select("doc_id", "text"), tagger, ["doc_id"]), 0.5)
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return _scored(toxicity.tag(docs, toxicity.train(docs, _teaching(spark, sf, "toxic")), ["doc_id"]), 0.5)
 
 
 def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiffin.llm import words as W
+from tiffin.llm.quality_ranker import sampled
 
 SAMPLE = 1000
 #: Bits of the hashed number of each kind of feature: word, two beginnings, ending, word before, word after.
@@ -213,11 +214,11 @@ def fit(toxic: list[str | None], clean: list[str | None], rounds: int = 40, deca
     return Tagger(used[kept].astype(np.int32), weights[kept].astype(np.float32), float(bias), transition)
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 7, rounds: int = 40) -> Tagger:
-    """Fit on ``doc_id, text, label`` (1: toxic)."""
-    place = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    toxic, clean = ([r.text for r in labelled.filter(F.col("label") == label).orderBy(place, "doc_id").limit(most)
-                     .select("text").toLocalIterator()] for label, most in ((1, sample), (0, 4 * sample)))
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7, rounds: int = 40) -> Tagger:
+    """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, label; 1: toxic)."""
+    rows = sorted((r.doc_id, r.label, r.text or "") for r in
+                  sampled(docs, labels, {1: sample, 0: 4 * sample}, seed).toLocalIterator())
+    toxic, clean = ([text for _, known, text in rows if known == label] for label in (1, 0))
     if not toxic or not clean:
         return untaught()
     return fit(toxic, clean, rounds)
