@@ -146,22 +146,30 @@ def test_admission_is_row_after_row(spark, seed, round_):
     values = {"A": 10, "B": 10, "C": 90000, "D": 60000}
     discounts = spark.createDataFrame([(c, limits[c], 0, values[c]) for c in limits],
                                       "code string, usageLimit long, used_Count long, value int")
-    asked = [(rng.choice([*limits, "NOPE"]), rng.randint(1, 40), seq) for seq in range(120)]
+    asked = [(rng.choice([*limits, "NOPE"]), rng.randint(1, 40), seq) for seq in range(160)]
     totals = {r["FOID"]: r["total"] for r in order_totals(seed["contain"], seed["food_item"]).collect()}
-    used, pairs, expected = dict.fromkeys(limits, 0), set(), {}
+    stored = [("A", 1), ("C", 2), ("NOPE", 3)]
+    used, pairs, expected = dict.fromkeys(limits, 0), set(stored), {}
     for code, order, seq in asked:
-        good = not (code in values and order in totals and values[code] * 100 > totals[order] * 30)
-        good = good and (code, order) not in pairs and code in limits and order <= 38
-        good = good and (limits[code] is None or used[code] < limits[code])
-        expected[seq] = good
-        if good:
+        if code in values and order in totals and values[code] * 100 > totals[order] * 30:
+            expected[seq] = rules.MSG_DISCOUNT_CAP
+        elif (code, order) in pairs:
+            expected[seq] = rules.MSG_KEY
+        elif code not in limits or order > 38:
+            expected[seq] = rules.MSG_REFERENCE
+        elif limits[code] is not None and used[code] >= limits[code]:
+            expected[seq] = rules.MSG_QUOTA
+        else:
+            expected[seq] = None
             used[code] += 1
             pairs.add((code, order))
+    assert {*expected.values()} == {None, rules.MSG_DISCOUNT_CAP, rules.MSG_KEY, rules.MSG_REFERENCE, rules.MSG_QUOTA}
+    existing = spark.createDataFrame(stored, "DFRcode string, FOID long")
     total_df = spark.createDataFrame(list(totals.items()), "FOID long, total long")
     for stage in (lambda df: df, durable):
         judged = admit_applications(spark.createDataFrame(asked, "DFRcode string, FOID long, seq long"), discounts,
-                                    seed["food_order"], total_df, stage=stage)
-        assert {r["seq"]: r["error"] is None for r in judged.collect()} == expected
+                                    seed["food_order"], total_df, existing, stage=stage)
+        assert {r["seq"]: r["error"] for r in judged.collect()} == expected
 
 
 def test_delete_customer_account(spark, seed):

@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from comparison import differences
+from tiffin import catalog
 from tiffin.operators import skew
 from tiffin.operators.cross_rules import check_line_restaurant
 from tiffin.plans import reports
 from tiffin.sources import testdata
 
 SF = "/root/testdata/sf0.001"
-BATCH = [name for name in driver.queries() if not name.startswith("stream_")]
+BATCH = [name for name in catalog.QUERIES if not name.startswith("stream_")]
 SPREAD = ("price_levels", "categorize_items", "count_items", "resolve_category", "admit_applications",
           "q_discount_cap", "q_combined_cap", "q_exists_collated", "q_duplicates", "add_items", "add_items_by_name",
           "add_accounts", "delete_items", "delete_accounts")

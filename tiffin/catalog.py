@@ -495,6 +495,26 @@ def text_formats_sql(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- streams
 
+def _in_batches(spark: SparkSession, sf: str, name: str, by: str, count: int = 3) -> DataFrame:
+    """A table as a stream of micro-batches: its rows in order of ``by``, a file for each third."""
+    table = testdata.raw(spark, sf, name)
+    path = _folder(spark, f"source-{name}")
+    ends = table.agg(F.percentile_approx(F.col(by).cast("timestamp").cast("double") if by == "ts" else F.col(by).cast("double"),
+                                         [i / count for i in range(1, count)], 10_000).alias("ends")).first().ends
+    place = F.col(by).cast("timestamp").cast("double") if by == "ts" else F.col(by).cast("double")
+    part = sum((F.when(place > end, 1).otherwise(0) for end in ends), F.lit(0))
+    for i in range(count):
+        table.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+_BY = {"events": "ts", "lineitem": "l_orderkey", "orders": "o_orderkey"}
+
+
+def _stream(spark: SparkSession, sf: str, name: str, several: bool) -> DataFrame:
+    return _in_batches(spark, sf, name, _BY[name]) if several else testdata.raw_stream(spark, sf, name)
+
+
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tiffin-{name}-{uuid.uuid4().hex}"
 
@@ -506,54 +526,115 @@ def _update_log(spark: SparkSession, stream: DataFrame, name: str, key: str) ->
     return sinks.latest(sinks.read_log(spark, f"{path}/log", stream.schema), [key])
 
 
-def stream_points(spark: SparkSession, sf: str) -> DataFrame:
+def stream_points(spark: SparkSession, sf: str, several: bool = False) -> DataFrame:
     """Every change arrives twice."""
-    changes_ = testdata.status_changes(testdata.raw_stream(spark, sf, "events"))
-    again = testdata.status_changes(testdata.raw_stream(spark, sf, "events"))
+    changes_ = testdata.status_changes(_stream(spark, sf, "events", several))
+    again = testdata.status_changes(_stream(spark, sf, "events", several))
     return _update_log(spark, maintenance.stream_points(changes_.unionByName(again)), "points", "CID")
 
 
-def stream_points_from_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+def stream_points_from_snapshots(spark: SparkSession, sf: str, several: bool = False) -> DataFrame:
     path = _folder(spark, "snapshots")
-    snapshots = testdata.status_snapshots(testdata.raw_stream(spark, sf, "events"))
+    snapshots = testdata.status_snapshots(_stream(spark, sf, "events", several))
     sinks.drain(maintenance.points_from_snapshot_stream(snapshots, path, f"{path}/checkpoint"))
     return maintenance.points_so_far(spark, path)
 
 
-def stream_order_cost(spark: SparkSession, sf: str) -> DataFrame:
+def stream_order_cost(spark: SparkSession, sf: str, several: bool = False) -> DataFrame:
     t = testdata.load(spark, sf)
-    lines = testdata.contain_raw(testdata.raw_stream(spark, sf, "lineitem"))
+    lines = testdata.contain_raw(_stream(spark, sf, "lineitem", several))
     totals = _update_log(spark, maintenance.stream_order_cost(lines, t["food_item"]), "cost", "FOID")
     return maintenance.order_costs_from(t["food_order"], totals)
 
 
-def stream_usage(spark: SparkSession, sf: str) -> DataFrame:
-    applied = testdata.applications(testdata.raw_stream(spark, sf, "orders"))
+def stream_usage(spark: SparkSession, sf: str, several: bool = False) -> DataFrame:
+    applied = testdata.applications(_stream(spark, sf, "orders", several))
     counts = _update_log(spark, maintenance.stream_usage(applied), "usage", "DFRcode")
     return maintenance.usage_from(testdata.load(spark, sf)["discount_from_restaurant"], counts)
 
 
-def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
+def stream_rejects(spark: SparkSession, sf: str, several: bool = False) -> DataFrame:
     path = _folder(spark, "lines")
-    lines = testdata.contain_raw(testdata.raw_stream(spark, sf, "lineitem"))
+    lines = testdata.contain_raw(_stream(spark, sf, "lineitem", several))
     sinks.drain(guards.guard_lines(lines, testdata.load(spark, sf), f"{path}/log", f"{path}/checkpoint"))
     return guards.read_judged(spark, f"{path}/log", guards.LINES).drop("batch_id")
 
 
-def stream_discount_rejects(spark: SparkSession, sf: str) -> DataFrame:
+def stream_discount_rejects(spark: SparkSession, sf: str, several: bool = False) -> DataFrame:
     path = _folder(spark, "applications")
-    applied = application_requests(testdata.raw_stream(spark, sf, "orders"))
+    applied = application_requests(_stream(spark, sf, "orders", several))
     sinks.drain(guards.guard_applications(applied, testdata.load(spark, sf), f"{path}/log", f"{path}/checkpoint"))
     return guards.read_judged(spark, f"{path}/log", guards.APPLICATIONS).drop("batch_id")
 
 
-def stream_admission(spark: SparkSession, sf: str) -> DataFrame:
+def stream_admission(spark: SparkSession, sf: str, several: bool = False) -> DataFrame:
     path = _folder(spark, "admission")
-    applied = application_requests(testdata.raw_stream(spark, sf, "orders"))
-    sinks.drain(guards.admission(applied, testdata.load(spark, sf), f"{path}/log", f"{path}/checkpoint"))
+    applied = application_requests(_stream(spark, sf, "orders", several))
+    # the stored applications are the same orders' own and are left out
+    sinks.drain(guards.admission(applied, testdata.load(spark, sf), f"{path}/log", f"{path}/checkpoint", stored=False))
     return guards.read_judged(spark, f"{path}/log", guards.APPLICATIONS).drop("batch_id", "accepted")
 
 
+def _several(query: Callable[..., DataFrame]) -> Query:
+    """The stream query over three micro-batches."""
+    return lambda spark, sf: query(spark, sf, several=True)
+
+
+# ---------------------------------------------------------------- reports and look-ups with parameters
+
+def orders_with_discounts_of_customer(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.orders_with_discounts(testdata.load(spark, sf), customer_id=testdata.CUSTOMER_SHIFT + 4)
+
+
+def orders_with_several_discounts(spark: SparkSession, sf: str) -> DataFrame:
+    """High orders apply a second discount, their customer's own; discounts of one kind are added up."""
+    t = testdata.load(spark, sf)
+    second = testdata.raw(spark, sf, "orders").filter(F.col("o_orderpriority") == "2-HIGH").select(
+        F.concat(F.lit("DIS_"), (F.col("o_orderkey") % 7).cast("string")).alias("DFRcode"),
+        F.col("o_orderkey").alias("FOID"))
+    t["apply_for"] = t["apply_for"].unionByName(second)
+    return reports.orders_with_discounts(t, on_multiple="sum")
+
+
+def orders_of_category(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with items of one category, highest revenue first."""
+    return reports.orders_by_category(testdata.load(spark, sf), category_id=12)
+
+
+def price_levels_of_restaurant(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.price_levels(testdata.load(spark, sf), restaurant="Brand B")
+
+
+def lookup_item(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.lookup(testdata.load(spark, sf)["food_item"], "ID", 17)
+
+
+def lookup_items_listed(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.lookup(testdata.load(spark, sf)["food_item"], "ID", [3, 4, 150, -1])
+
+
+def load_items_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The item requests as CSV files, loaded with rejects."""
+    path = _folder(spark, "csv")
+    item_requests(spark, sf).select("name", "price", "image", "categoryID").coalesce(4).write.option("header", True).option(
+        "nullValue", "\\N").csv(path)
+    t = testdata.load(spark, sf)
+    rows = loading.read_csv_rows(spark, path, "food_item", ["name", "price", "image", "categoryID"], "\\N")
+    rows = rows.withColumn("seq", F.monotonically_increasing_id())
+    table, rejects = loading.load_rows(t, "food_item", durable(rows), stage=durable)
+    return (table.select("name", "price", "categoryID", F.lit(None).cast("string").alias("error"))
+            .unionByName(rejects.select("name", "price", "categoryID", "error")))
+
+
+def load_items_strict(spark: SparkSession, sf: str) -> DataFrame:
+    """Sound item requests only: nothing is refused, so the whole load goes through."""
+    t = testdata.load(spark, sf)
+    known = t["category"].select(F.col("ID").alias("categoryID"))
+    rows = item_requests(spark, sf).filter("name <> '' AND price > 0").join(known, "categoryID", "left_semi").drop("image")
+    table, _ = loading.load_rows(t, "food_item", rows, strict=True, stage=durable)
+    return table.select("ID", "name", "price", "categoryID")
+
+
 def _prepared(query: Query) -> Query:
     """Name a staging folder first where a local session has none."""
     @functools.wraps(query)
@@ -625,5 +706,20 @@ QUERIES: dict[str, Query] = {
     "stream_rejects": stream_rejects,
     "stream_discount_rejects": stream_discount_rejects,
     "stream_admission": stream_admission,
+    "stream_points_batches": _several(stream_points),
+    "stream_points_from_snapshots_batches": _several(stream_points_from_snapshots),
+    "stream_order_cost_batches": _several(stream_order_cost),
+    "stream_usage_batches": _several(stream_usage),
+    "stream_rejects_batches": _several(stream_rejects),
+    "stream_discount_rejects_batches": _several(stream_discount_rejects),
+    "stream_admission_batches": _several(stream_admission),
+    "orders_with_discounts_of_customer": orders_with_discounts_of_customer,
+    "orders_with_several_discounts": orders_with_several_discounts,
+    "orders_of_category": orders_of_category,
+    "price_levels_of_restaurant": price_levels_of_restaurant,
+    "lookup_item": lookup_item,
+    "lookup_items_listed": lookup_items_listed,
+    "load_items_csv": load_items_csv,
+    "load_items_strict": load_items_strict,
 }
 QUERIES = {name: _prepared(query) for name, query in QUERIES.items()}

@@ -211,20 +211,21 @@ def exists_in(requests: DataFrame, entity: DataFrame, keys: Mapping[str, str], f
     """``requests`` with a flag: is there a row of ``entity`` under these keys?
 
     ``keys`` maps request columns to entity columns.  With ``unique`` the entity
-    holds each key once and its rows are used as they are; otherwise its keys
-    are made distinct first.  ``collation`` (for example ``UNICODE_CI_AI``)
-    compares text without case and accents.
+    holds each key once; otherwise its keys are made distinct first.
+    ``collation`` (for example ``UNICODE_CI_AI``) compares text without case and
+    accents.  The answer is found per distinct key and joined back, so a hot
+    request key is counted before it is shuffled and its rows are spread.
     """
     temp = [f"_k{i}" for i in range(len(keys))]
     left = requests.withColumns(
         {t: _collated(requests, c, collation) for t, c in zip(temp, keys)})
     held = entity.select(*[_collated(entity, c, collation).alias(t) for t, c in zip(temp, keys.values())])
-    hits = narrow(held, left, temp)
-    if unique and not collation:
-        joined = left.join(hits.withColumn(found, F.lit(True)), temp, "left")
-    else:
-        joined = spread_join(left, hits.distinct().withColumn(found, F.lit(True)), temp, "left",
-                             spread_by or requests.columns)
+    asked = left.dropna(subset=temp).groupBy(*temp).agg(F.count(F.lit(1)).alias("_n"))
+    hits = narrow(held, asked, temp)
+    if not unique or collation:
+        hits = hits.distinct()
+    facts = asked.join(hits.withColumn(found, F.lit(True)), temp, "left")
+    joined = spread_join(left, facts, temp, "left", spread_by or requests.columns, counted="_n")
     return joined.drop(*temp).withColumn(found, F.coalesce(F.col(found), F.lit(False)))
 
 

@@ -18,7 +18,7 @@ def key_name(columns: Sequence[str]) -> str:
 
 
 def first_come(requests: DataFrame, stored: DataFrame, keysets: Sequence[Sequence[str]],
-               seq: str = "seq") -> DataFrame:
+               seq: str = "seq", names: Sequence[str] | None = None) -> DataFrame:
     """``requests`` with ``conflict``: the unique key a row loses to a stored or an earlier accepted row.
 
     NULL means accepted.  With one key this is a single aggregate.  With several
@@ -27,18 +27,21 @@ def first_come(requests: DataFrame, stored: DataFrame, keysets: Sequence[Sequenc
     with it is refused, the rest go on.  Each round settles at least the first
     open row of every group of rows linked by shared keys, and batches without
     conflicts need one round; a round is a few shuffles and two small writes to
-    the shared folder.  ``stored`` holds each key once.
+    the shared folder.  In the worst case, a chain in which each row shares a key
+    with the next, that is one round for every two rows of the chain.  ``stored``
+    holds each key once; ``names`` are what the keys are called in ``conflict``.
     """
+    names = list(names or [key_name(c) for c in keysets])
     if len(keysets) == 1:
         judged = find_duplicates(requests, stored, keysets[0], seq)
-        name = F.when(F.col("stored") | F.col("repeated"), F.lit(key_name(keysets[0])))
+        name = F.when(F.col("stored") | F.col("repeated"), F.lit(names[0]))
         return judged.withColumn("conflict", name).drop("stored", "repeated")
 
     flags = [f"_stored{i}" for i in range(len(keysets))]
     judged = requests
     for flag, columns in zip(flags, keysets):
         judged = exists_in(judged, stored, {c: c for c in columns}, flag, unique=True)
-    held = first_error(*[(F.col(f), key_name(c)) for f, c in zip(flags, keysets)])
+    held = first_error(*[(F.col(f), name) for f, name in zip(flags, names)])
     judged = durable(judged.withColumn("_held", held).drop(*flags))
 
     claims = F.array_compact(F.array(*[
@@ -55,10 +58,10 @@ def first_come(requests: DataFrame, stored: DataFrame, keysets: Sequence[Sequenc
     if not lost:
         return judged.withColumnRenamed("_held", "conflict")
     refused = reduce(DataFrame.unionByName, lost)
-    names = F.array(*[F.lit(key_name(c)) for c in keysets])
+    texts = F.array(*[F.lit(name) for name in names])
     return (judged.join(refused.withColumnRenamed("_seq", seq), seq, "left")
             .withColumn("conflict", F.coalesce(
-                F.col("_held"), F.when(F.col("_lost").isNotNull(), F.get(names, F.col("_lost")))))
+                F.col("_held"), F.when(F.col("_lost").isNotNull(), F.get(texts, F.col("_lost")))))
             .select(*requests.columns, "conflict"))
 
 

@@ -17,8 +17,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# rows of one key a task may get; rows(left) / ROWS_PER_SLICE bounds the broadcast list of hot keys
+# rows of one key a task may get
 ROWS_PER_SLICE = 1_000_000
+# entries of the broadcast list of hot keys; with more rows than this many slices, slices grow instead
+HOT_KEYS = 100_000
 _NULL_SLICES = 4096
 
 
@@ -32,8 +34,8 @@ def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     (stable under task retry) and its ``right`` rows are copied to each slice.
     Other keys are untouched.
 
-    The hot keys are broadcast: there are at most ``rows(left) / rows_per_slice``
-    of them, a million for 10^12 rows.  They are counted in ``left`` unless the
+    The hot keys are broadcast.  Slices hold at least ``rows(left) / HOT_KEYS``
+    rows, so there are never more than ``HOT_KEYS`` of them.  They are counted in ``left`` unless the
     counts are at hand: ``counts`` (columns ``on`` plus ``n``) is an aggregate of
     the stored rows behind ``left``, whose own joins would otherwise run twice;
     ``counted`` names the column of ``right`` that holds them, and is dropped.
@@ -46,8 +48,10 @@ def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
         counts = right.select(*on, F.col(counted).alias("n"))
     elif counts is None:
         counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    slices = F.ceil(F.col("n") / rows_per_slice).cast("int")
-    hot = counts.filter(F.col("n") > rows_per_slice).select(*on, slices.alias("_slices"))
+    least = counts.agg(F.greatest(F.lit(rows_per_slice).cast("double"), F.coalesce(
+        F.sum("n"), F.lit(0)) / HOT_KEYS).alias("least")).scalar()
+    slices = F.ceil(F.col("n") / least).cast("int")
+    hot = counts.filter(F.col("n") > least).select(*on, slices.alias("_slices"))
 
     has_null = F.lit(False)
     for name in on:
@@ -58,7 +62,7 @@ def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
               .otherwise(F.lit(0)).cast("int"))
     cut = left.join(F.broadcast(hot), on, "left").select(*left.columns, slice_.alias("_slice"))
     if counted:
-        own = F.greatest(F.ceil(F.col(counted) / rows_per_slice).cast("int"), F.lit(1))
+        own = F.greatest(F.ceil(F.col(counted) / least).cast("int"), F.lit(1))
         numbered = right.withColumn("_slices", own).drop(counted)
     else:
         numbered = right.join(F.broadcast(hot), on, "left")

@@ -93,18 +93,18 @@ t_app_judged AS (
          CASE WHEN CAST(d.value AS BIGINT) * 100 > total * 30
               THEN 'The discount exceeds 30% of the total food order price.' END AS cap
   FROM t_app_request a LEFT JOIN t_dfr d ON a.DFRcode = d.code LEFT JOIN t_total t ON t.FOID = a.FOID),
-t_app_early AS (
-  SELECT *, CASE WHEN cap IS NOT NULL THEN cap
-                 WHEN seq > min(CASE WHEN cap IS NULL THEN seq END) OVER (PARTITION BY DFRcode, FOID)
-                 THEN 'duplicate key'
-                 WHEN code IS NULL THEN 'a referenced row does not exist' END AS early
-  FROM t_app_judged),
+t_app_standing AS (
+  SELECT DFRcode, FOID, min(seq) AS first_seq, any_value(used_Count) AS used, any_value(usageLimit) AS most
+  FROM t_app_judged WHERE cap IS NULL AND code IS NOT NULL GROUP BY DFRcode, FOID),
+t_app_place AS (
+  SELECT *, used + row_number() OVER (PARTITION BY DFRcode ORDER BY first_seq) > most AS full_up FROM t_app_standing),
 t_admission AS (
-  SELECT DFRcode, FOID, seq,
-         coalesce(early, CASE WHEN used_Count + sum(CASE WHEN early IS NULL THEN 1 ELSE 0 END)
-                                   OVER (PARTITION BY DFRcode ORDER BY seq) > usageLimit
-                              THEN 'the discount has reached its usage limit' END) AS error
-  FROM t_app_early),
+  SELECT j.DFRcode, j.FOID, j.seq,
+         CASE WHEN cap IS NOT NULL THEN cap
+              WHEN code IS NULL THEN 'a referenced row does not exist'
+              WHEN full_up THEN 'the discount has reached its usage limit'
+              WHEN seq > first_seq THEN 'duplicate key' END AS error
+  FROM t_app_judged j LEFT JOIN t_app_place p ON p.DFRcode = j.DFRcode AND p.FOID = j.FOID),
 t_bad_customer AS (
   SELECT c_custkey + 1000 AS ID, CASE WHEN c_acctbal < 0 THEN repeat(c_name, 6) ELSE c_name END AS name,
          CASE WHEN c_acctbal < 1000 THEN 'c' || c_custkey || '@mail-' || lower(c_mktsegment) || '.com'
@@ -484,7 +484,43 @@ GROUP BY code, used_Count""",
                       + _LINES_JUDGED.format(lines="t_line_raw", message=_RESTAURANT_MSG) + ")",
     "stream_discount_rejects": "SELECT DFRcode, FOID, seq, cap AS error, cap IS NULL AS accepted FROM t_app_judged",
     "stream_admission": "SELECT * FROM t_admission",
+    "orders_with_discounts_of_customer": """
+SELECT * FROM t_report WHERE OrderID IN (SELECT ID FROM t_order WHERE CID = 1004)""",
+    "orders_with_several_discounts": """,
+given AS (
+  SELECT FOID, value FROM (
+    SELECT DFRcode, FOID FROM t_apply UNION ALL
+    SELECT 'DIS_' || o_orderkey % 7, o_orderkey FROM orders WHERE o_orderpriority = '2-HIGH') a
+  JOIN t_dfr ON DFRcode = code),
+sums AS (SELECT FOID, CAST(sum(value) AS BIGINT) AS value FROM given GROUP BY FOID)
+SELECT o.ID AS OrderID, Payment_method, address AS OrderAddress, order_status AS OrderStatus,
+       order_time_stamp AS OrderTimestamp, review, rating, ship_status AS ShippingStatus,
+       get_status AS GetStatus, delivery_fee, total AS TotalOrderPrice,
+       coalesce(r.value, 0) AS RestaurantDiscount, CAST(coalesce(p.value, 0) AS BIGINT) AS ExchangePointDiscount,
+       coalesce(r.value, 0) + CAST(coalesce(p.value, 0) AS BIGINT) AS TotalDiscount
+FROM t_order o LEFT JOIN t_total ON t_total.FOID = o.ID
+LEFT JOIN sums r ON r.FOID = o.ID LEFT JOIN t_points p ON p.FOID = o.ID
+WHERE r.FOID IS NOT NULL OR p.FOID IS NOT NULL""",
+    "orders_of_category": """
+SELECT OrderID, OrderTime, rating, CustomerName, TotalItems, OrderStatus, TotalRevenue
+FROM t_by_category WHERE categoryID = 12 ORDER BY TotalRevenue DESC, OrderID""",
+    "price_levels_of_restaurant": "SELECT * FROM t_level WHERE rname = 'Brand B'",
+    "lookup_item": "SELECT ID, name, price, image, categoryID FROM t_item WHERE ID = 17",
+    "lookup_items_listed": "SELECT ID, name, price, image, categoryID FROM t_item WHERE ID IN (3, 4, 150, -1)",
+    "load_items_csv": """
+SELECT name, price, categoryID, CAST(NULL AS VARCHAR) AS error FROM t_item
+UNION ALL
+SELECT name, price, categoryID,
+       CASE WHEN NOT (price > 0) THEN 'price_positive'
+            WHEN categoryID NOT IN (SELECT ID FROM t_category) THEN 'foreign_key_categoryID' END
+FROM t_item_request""",
+    "load_items_strict": """
+SELECT ID, name, price, categoryID FROM t_item
+UNION ALL
+SELECT (SELECT max(ID) FROM t_item) + row_number() OVER (ORDER BY seq), name, price, categoryID
+FROM t_item_request WHERE name <> '' AND price > 0 AND categoryID IN (SELECT ID FROM t_category)""",
 }
+_BODIES |= {f"{name}_batches": body for name, body in _BODIES.items() if name.startswith("stream_")}
 
 # Requests are taken one after another: each step looks at the keys given out so far.
 _ADD_CUSTOMERS = """,

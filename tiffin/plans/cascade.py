@@ -80,7 +80,7 @@ def _blocked_roots(tables: Tables, root: str, keys: DataFrame, root_key: str) ->
             if child in tables:
                 parent = TABLES[name].key[0]
                 refs = tables[child].select(F.col(fk.column).alias(parent))
-                blocked = blocked.unionByName(held.join(refs, parent, "left_semi").select("_root"))
+                blocked = blocked.unionByName(held.join(refs.distinct(), parent, "left_semi").select("_root"))
         for child, fk in _children(name, cascade=True):
             if child in tables and leads_to_restrict(child):
                 key = TABLES[child].key[0]
@@ -101,7 +101,7 @@ def cascade_delete(tables: Tables, root: str, keys: DataFrame,
     reach a RESTRICT reference is refused as a whole.  Removed counters, costs
     and quotas elsewhere are left as they are: a cascade fires no roll-up.
 
-    Every edge is one semi join to find rows and one anti join to keep the rest.
+    Every edge is one semi join to find rows; one anti join by key keeps the rest of a table.
     Pass ``stage=durable`` in a job that writes several of the tables, so that
     each set of removed rows is computed once.
     """
@@ -119,7 +119,5 @@ def cascade_delete(tables: Tables, root: str, keys: DataFrame,
         edges = [(fk, deleted[fk.parent]) for fk in TABLES[name].foreign
                  if fk.cascade and fk.parent in deleted]
         deleted[name] = stage(_any_edge(rows, edges, list(TABLES[name].key)))
-        for fk, gone in edges:
-            rows = rows.join(gone.select(F.col(fk.parent_column).alias(fk.column)), fk.column, "left_anti")
-        kept[name] = rows.select(*tables[name].columns)
+        kept[name] = rows.join(deleted[name], list(TABLES[name].key), "left_anti").select(*tables[name].columns)
     return CascadeResult(kept, deleted, blocked)

@@ -14,8 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tiffin.contracts import TABLES
 from tiffin.functions import rules
-from tiffin.operators.quality import exists_in, find_duplicates, narrow
+from tiffin.operators.quality import exists_in, find_duplicates, length_rules, narrow
 from tiffin.operators.sequential import first_come
 from tiffin.operators.skew import first_per_key, spread_join
 from tiffin.plans.cascade import CascadeResult, Stage, cascade_delete
@@ -43,6 +44,19 @@ def _split(judged: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]
     return accepted, judged.filter(F.col("error").isNotNull()).select(*columns, "error")
 
 
+def _too_long(table: str, *columns: str) -> list[tuple[Column, str]]:
+    """The contract's length rules for the columns a request fills."""
+    return [(violated, name) for name, violated, _ in length_rules(TABLES[table])
+            if name.removeprefix("length_") in columns]
+
+
+def _fits(table: str, *columns: str) -> Column:
+    out = F.lit(True)
+    for violated, _ in _too_long(table, *columns):
+        out = out & ~F.coalesce(violated, F.lit(False))
+    return out
+
+
 def _missing(*columns: str) -> Column:
     out = F.lit(False)
     for c in columns:
@@ -54,18 +68,21 @@ def judge_new_items(requests: DataFrame, items: DataFrame, categories: DataFrame
                     refuse_duplicates: bool = False) -> DataFrame:
     """``requests`` with ``error``: blank name, price, category, and before them duplicates if asked.
 
-    These rules depend on name, price and category alone, so all requests for one
-    item pass or fail them together and its first request is the one added.
+    Last come the columns' lengths.  Apart from the image's length these rules depend
+    on name, price and category alone, so all requests for one item pass or fail them
+    together and the first one whose image fits is the one added.
     """
     ladder = rules.first_error(
         (rules.empty(F.col("name")), rules.MSG_ITEM_BLANK),
         (rules.not_positive(F.col("price")), rules.MSG_PRICE),
         (~F.col("_category"), rules.MSG_NEW_CATEGORY),
-        (_missing("name", "price", "categoryID"), rules.MSG_REQUIRED))
+        (_missing("name", "price", "categoryID"), rules.MSG_REQUIRED),
+        *_too_long("food_item", "name", "image"))
     if refuse_duplicates:
         again = F.lit(rules.MSG_DUPLICATE_ITEM)
         ladder = F.coalesce(F.when(F.col("stored"), again), ladder, F.when(F.col("repeated"), again))
-        requests = find_duplicates(requests, items, ["name", "price", "categoryID"])
+        requests = find_duplicates(requests, items, ["name", "price", "categoryID"],
+                                   counting=_fits("food_item", "image"))
     return (exists_in(requests, categories, {"categoryID": "ID"}, "_category", unique=True)
             .withColumn("error", ladder)
             .drop("_category", "stored", "repeated"))
@@ -105,7 +122,8 @@ def update_items(items: DataFrame, categories: DataFrame, requests: DataFrame,
         (~F.col("_item"), rules.MSG_UPDATE_ITEM),
         (rules.not_positive(F.col("price")), rules.MSG_PRICE),
         (~F.col("_category"), rules.MSG_CATEGORY),
-        (_missing("name", "price"), rules.MSG_REQUIRED))).drop("_item", "_category"))
+        (_missing("name", "price"), rules.MSG_REQUIRED),
+        *_too_long("food_item", "name", "image"))).drop("_item", "_category"))
     accepted, rejects = _split(judged, requests.columns)
     values = [c for c in items.columns if c != "ID"]
     last = accepted.groupBy("ID").agg(F.max_by(F.struct(*values), "seq").alias("_new"))
@@ -157,12 +175,13 @@ def judge_new_accounts(requests: DataFrame, accounts: DataFrame) -> DataFrame:
     """
     short = rules.short_password(F.col("password"))
     absent = _missing("username", "password")
-    sound = ~F.coalesce(short, F.lit(False)) & ~absent
+    sound = ~F.coalesce(short, F.lit(False)) & ~absent & _fits("account", "username", "password")
     judged = find_duplicates(requests, accounts, ["username"], counting=sound)
     return judged.withColumn("error", rules.first_error(
         (F.col("stored") | F.col("repeated"), rules.MSG_USERNAME_TAKEN),
         (short, rules.MSG_PASSWORD),
-        (absent, rules.MSG_REQUIRED))).drop("stored", "repeated")
+        (absent, rules.MSG_REQUIRED),
+        *_too_long("account", "username", "password"))).drop("stored", "repeated")
 
 
 def add_accounts(accounts: DataFrame, requests: DataFrame, stage: Stage = lambda df: df) -> Change:
@@ -182,13 +201,15 @@ def judge_new_customers(requests: DataFrame, customers: DataFrame, accounts: Dat
     are given out first come, first served: a customer per account, a phone
     number and a card number each once.
     """
-    ids = narrow(accounts.select("username", "ID"), requests, ["username"])
-    found = requests.join(ids, "username", "left")
+    asked = requests.dropna(subset=["username"]).groupBy("username").agg(F.count(F.lit(1)).alias("_n"))
+    facts = asked.join(narrow(accounts.select("username", "ID"), asked, ["username"]), "username", "left")
+    found = spread_join(requests, facts, ["username"], "left", ["seq"], counted="_n")
     judged = durable(found.withColumn("error", rules.first_error(
         (F.col("ID").isNull(), rules.MSG_NO_USERNAME),
         (rules.bad_email(F.col("email")), rules.MSG_EMAIL),
         (rules.bad_phone(F.col("phone_number")), rules.MSG_PHONE),
-        (_missing("name", "phone_number", "address", "birthdate", "card_number"), rules.MSG_REQUIRED))))
+        (_missing("name", "phone_number", "address", "birthdate", "card_number"), rules.MSG_REQUIRED),
+        *_too_long("customer", *CUSTOMER_COLUMNS))))
     sound = judged.filter(F.col("error").isNull()).drop("error")
     settled = first_come(sound, customers, [["ID"], ["phone_number"], ["card_number"]])
     refused = F.when(F.col("conflict").isNotNull(), F.lit(rules.MSG_KEY))
@@ -211,10 +232,10 @@ def delete_accounts(t: Tables, requests: DataFrame, stage: Stage = lambda df: df
     """
     accounts = t["account"]
     pair = ["username", "password"]
-    found = requests.join(narrow(accounts.select("ID", *pair), requests, pair), pair, "left")
     # usernames are unique, so a matching pair stands for one account
     first = first_per_key(requests, pair, "seq", "_first")
-    judged = stage(spread_join(found, first, pair, "left", ["seq"], counted="n").withColumn(
+    facts = first.join(narrow(accounts.select("ID", *pair), first, pair), pair, "left")
+    judged = stage(spread_join(requests, facts, pair, "left", ["seq"], counted="n").withColumn(
         "error", F.when(F.col("ID").isNull() | (F.col("seq") > F.col("_first")), F.lit(rules.MSG_LOGIN))))
     accepted, rejects = _split(judged, requests.columns)
     result = cascade_delete(t, "account", accepted.select("ID"), stage)
@@ -233,7 +254,7 @@ def retire_discounts(t: Tables, orders: DataFrame | None = None,
     """
     applied = t["apply_for"]
     if orders is not None:
-        applied = applied.join(orders.select("FOID"), "FOID", "left_semi")
+        applied = narrow(applied, orders, ["FOID"])
     used_up = t["discount_from_restaurant"].filter(F.col("used_Count") + 1 >= F.col("usageLimit"))
-    codes = used_up.join(applied.select(F.col("DFRcode").alias("code")), "code", "left_semi").select("code")
+    codes = narrow(used_up, applied.select(F.col("DFRcode").alias("code")), ["code"]).select("code")
     return cascade_delete(t, "discount_from_restaurant", codes, stage)

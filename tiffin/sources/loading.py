@@ -17,12 +17,17 @@ from tiffin.sources.tables import Tables
 Stage = Callable[[DataFrame], DataFrame]
 
 
-def read_csv_rows(spark: SparkSession, path: str, table: str, columns: list[str] | None = None) -> DataFrame:
-    """Rows of ``table`` from headed CSV files; ``columns`` lists the file's columns when some are left out."""
+def read_csv_rows(spark: SparkSession, path: str, table: str, columns: list[str] | None = None,
+                  null_value: str = "") -> DataFrame:
+    """Rows of ``table`` from headed CSV files; ``columns`` lists the file's columns when some are left out.
+
+    ``null_value`` is what stands for NULL; with another mark than the empty text, empty fields are empty texts.
+    """
     schema = TABLES[table].schema
     names = columns or schema.names
     picked = type(schema)([schema[n] for n in names])
-    return spark.read.schema(picked).option("header", True).option("enforceSchema", False).csv(path)
+    return spark.read.schema(picked).option("header", True).option("enforceSchema", False).option(
+        "nullValue", null_value).csv(path)
 
 
 def apply_defaults(df: DataFrame, table: str) -> DataFrame:
@@ -53,7 +58,7 @@ def load_rows(tables: Tables, table: str, rows: DataFrame, order_by: str = "seq"
 
     ``rows`` carry ``order_by``, a unique integer.  Row rules, key, unique columns
     and foreign keys decide row by row; the source system would undo a whole
-    multi-row statement, so ``strict`` fails the job at the first reject instead.
+    multi-row statement, so ``strict`` raises ``ValueError`` before it returns if any row is refused.
     ``stage=durable`` judges the rows once where both results are written.
     """
     contract = TABLES[table]
@@ -74,14 +79,15 @@ def load_rows(tables: Tables, table: str, rows: DataFrame, order_by: str = "seq"
     valid = judged.filter(F.col("error").isNull()).drop("error")
     invalid = judged.filter(F.col("error").isNotNull())
     if keysets:
-        settled = first_come(valid, stored, keysets, order_by)
+        kinds = ["key" if list(k) == list(contract.key) else "unique" for k in keysets]
+        settled = first_come(valid, stored, keysets, order_by,
+                             [f"{kind}_{'_'.join(k)}" for kind, k in zip(kinds, keysets)])
         valid = settled.filter(F.col("conflict").isNull()).drop("conflict")
         invalid = invalid.unionByName(
             settled.filter(F.col("conflict").isNotNull()).withColumnRenamed("conflict", "error"))
     names = contract.schema.names
     if strict:
-        refuse = F.raise_error(F.concat(F.lit(f"{table}: "), F.col("error")))
-        checked = invalid.select(*[F.when(F.lit(False), F.col(n)).otherwise(refuse).cast(
-            contract.schema[n].dataType).alias(n) for n in names])
-        valid = valid.select(*names).unionByName(checked)
+        refused = invalid.select("error").first()
+        if refused:
+            raise ValueError(f"{table}: {refused.error}")
     return stored.select(*names).unionByName(valid.select(*names)), invalid

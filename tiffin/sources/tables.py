@@ -28,7 +28,7 @@ def lookup(df: DataFrame, key: str, ids: object) -> DataFrame:
     becomes a semi join.
     """
     if isinstance(ids, DataFrame):
-        return df.join(ids.select(F.col(ids.columns[0]).alias(key)), key, "left_semi")
+        return df.join(ids.select(F.col(ids.columns[0]).alias(key)).distinct(), key, "left_semi")
     if isinstance(ids, (list, tuple, set)):
         return df.filter(F.col(key).isin(*ids))
     return df.filter(F.col(key) == ids)

@@ -45,6 +45,11 @@ def _named(table: DataFrame, key: str, batch: DataFrame, batch_key: str) -> Data
     return narrow(table, batch.select(F.col(batch_key).alias(key)), [key])
 
 
+def _written(table: DataFrame, key: str, batch: DataFrame, batch_key: str, path: str) -> DataFrame:
+    """As ``_named``, written out, so that a join with them is a plain one that AQE can split by a hot key."""
+    return rewrite(_named(table, key, batch, batch_key), path)
+
+
 def _totals(t: Tables, batch: DataFrame) -> DataFrame:
     return order_totals(narrow(t["contain"], batch, ["FOID"]), t["food_item"])
 
@@ -54,8 +59,8 @@ def guard_lines(lines: DataFrame, t: Tables, path: str, checkpoint: str) -> Data
 
     def settle(batch: DataFrame, _: int) -> DataFrame:
         judged = check_line_restaurant(
-            batch, _named(t["food_order"], "ID", batch, "FOID"), _named(t["food_item"], "ID", batch, "FIID"),
-            t["category"])
+            batch, _written(t["food_order"], "ID", batch, "FOID", f"{path}-orders"),
+            _written(t["food_item"], "ID", batch, "FIID", f"{path}-items"), t["category"])
         return _flag(judged, LINES)
 
     return log_writer(lines, path, checkpoint, settle, partition_by=["accepted"])
@@ -70,11 +75,13 @@ def guard_applications(applications: DataFrame, t: Tables, path: str, checkpoint
     return log_writer(applications, path, checkpoint, settle, partition_by=["accepted"])
 
 
-def admission(applications: DataFrame, t: Tables, path: str, checkpoint: str) -> DataStreamWriter:
+def admission(applications: DataFrame, t: Tables, path: str, checkpoint: str,
+              stored: bool = True) -> DataStreamWriter:
     """Applications are admitted while their discount has uses left, batch after batch.
 
-    What earlier batches admitted raises the used counts and holds the keys; the
-    batch itself is ordered by ``seq``.
+    What earlier batches admitted raises the used counts and holds the keys, as do
+    the applications in ``t`` unless ``stored`` is false (then ``t`` need not hold
+    any); the batch itself is ordered by ``seq``.
     """
     # the folder of an admitted batch, empty, so that the first batch finds a log to read
     open_log(applications.sparkSession, path, APPLICATIONS, "accepted=true")
@@ -83,8 +90,11 @@ def admission(applications: DataFrame, t: Tables, path: str, checkpoint: str) ->
         earlier = (read_judged(batch.sparkSession, path, APPLICATIONS)
                    .filter((F.col("batch_id") < batch_id) & F.col("accepted")))
         used = discount_usage(t["discount_from_restaurant"], earlier)
+        taken = earlier.select("DFRcode", "FOID")
+        if stored:
+            taken = taken.unionByName(t["apply_for"].select("DFRcode", "FOID"))
         judged = admit_applications(batch, used, _named(t["food_order"], "ID", batch, "FOID"), _totals(t, batch),
-                                    existing=earlier.select("DFRcode", "FOID"),
+                                    existing=taken,
                                     stage=lambda df: rewrite(df, f"{path}-stage"))
         return _flag(judged, APPLICATIONS)
 

@@ -17,7 +17,8 @@ from tiffin.operators.rollups import (
     points_from_changes,
     points_from_snapshots,
 )
-from tiffin.streaming.sinks import log_writer, open_log, read_log
+from tiffin.operators.quality import narrow
+from tiffin.streaming.sinks import log_writer, open_log, read_log, rewrite
 
 
 def stream_points(changes: DataFrame, watermark: str = "1 hour",
@@ -83,9 +84,9 @@ def points_from_snapshot_stream(snapshots: DataFrame, path: str, checkpoint: str
     def settle(batch: DataFrame, batch_id: int) -> DataFrame:
         own = batch.sparkSession
         earlier = read_log(own, f"{path}/state", STATE, batch_id)
-        touched = earlier.join(batch.select("FOID", "CID"), ["FOID", "CID"], "left_semi")
+        touched = narrow(earlier, batch, ["FOID", "CID"])
         known = latest_state(touched.drop("batch_id"))
-        history = batch.select(*STATE.names).unionByName(known)
+        history = rewrite(batch.select(*STATE.names).unionByName(known), f"{path}/stage")
         latest_state(history).write.mode("overwrite").parquet(f"{path}/state/batch_id={batch_id}")
         return points_from_snapshots(history, points, before, after)
 
