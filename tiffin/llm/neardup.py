@@ -11,18 +11,15 @@ J, the similarity of the sets, with the concentration of independent samples.
 1. Equal sets form one class; only its smallest document goes on, so copies cost nothing.
 2. Bands of ``rows`` coordinates are bucket keys.  With 32 bands of 4 rows a pair at
    J = 0.75 misses every bucket with probability 5e-6.
-3. In each bucket all classes are compared with one of them, the class that shares
-   buckets with the most others, on full sets.  That joins a family of copies
-   whatever its size with as many comparisons as it has members.
-4. Only buckets that still hold classes of different components go on.  There the
-   sketches are compared in blocks; pairs of different components that agree in at
-   least half of the coordinates (six standard deviations below J = 0.75) are held
-   together by a spanning forest, so what leaves a bucket grows with its members.
-5. The forests' components are families.  Each class travels once to its family with its
+3. Buckets compare one bit per coordinate, in blocks.  Pairs with as many equal bits as
+   J = 0.75 gives, less six standard deviations, are held together by a spanning forest,
+   so what leaves a bucket grows with its members and not with its pairs.
+4. The forests' components are families.  Each class travels once to its family with its
    full set; there every pair of different components with similar sketches is verified
    on full sets until it is linked or refuted, and only links that join components leave.
    Large families are cut into blocks and every two blocks meet.  So every pair that
-   shares a bucket is in one component already, or verified, or too far apart.
+   shares a bucket is in one component already, or verified, or too far apart; no bucket
+   or family is capped.
 
 Rows: texts without words have an empty set, ``n_shingles`` 0, and are linked with
 nothing.  Fewer than five words make one shingle of all of them.  Rows without
@@ -89,7 +86,7 @@ def sketch(shingles: np.ndarray, t: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int = 5, bands: int = 32, rows: int = 4) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): set size, a 128-bit key of the set, band keys, one byte per coordinate."""
+    """Per row of ``docs`` (doc_id, text): set size, a 128-bit key of the set, band keys, one byte and one bit per coordinate."""
     t = bands * rows
     if t & (t - 1):
         raise ValueError("bands * rows must be a power of two")
@@ -107,15 +104,18 @@ def sketches(docs: DataFrame, shingle: int = 5, bands: int = 32, rows: int = 4)
             for j in range(rows):
                 banded = W.mix(banded * np.uint64(W.BASES[0]) + flat[:, :, j])
             banded = W.mix(banded + np.arange(bands, dtype=np.uint64) * np.uint64(W.BASES[1]))
-            low = iter((W.mix(flat.reshape(-1, t)) & np.uint64(255)).astype(np.uint8))
+            low = (W.mix(flat.reshape(-1, t)) & np.uint64(255)).astype(np.uint8)
+            single = iter(np.packbits(low & 1, axis=1))
+            low = iter(low)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
                 W.lists(W.signed(banded.ravel()), np.where(full, bands, 0), pa.int64()),
-                pa.array([next(low).tobytes() if f else b"" for f in full], pa.binary())],
-                names=["doc_id", "n_shingles", "set_key", "bands", "sketch"])
+                pa.array([next(low).tobytes() if f else b"" for f in full], pa.binary()),
+                pa.array([next(single).tobytes() if f else b"" for f in full], pa.binary())],
+                names=["doc_id", "n_shingles", "set_key", "bands", "sketch", "bits"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary")
+        run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary, bits binary")
 
 
 def full_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -160,23 +160,25 @@ class _Union:
         self.label[self.label == self.label[j]] = self.label[i]
 
 
-def _candidates(part: pa.Table, percent: int, least_equal: int) -> Iterator[tuple[int, np.ndarray, _Union]]:
+def _candidates(part: pa.Table, percent: int, least_equal: int, single: bool = False) -> Iterator[tuple[int, np.ndarray, _Union]]:
     """Rows with the rows of other components that may be linked to them, nearest first.
 
-    A pair of different components has at least one row outside the largest one, so those rows suffice.
-    Where a group is a pair of blocks (``side`` 0 or more) only pairs across the blocks count."""
+    Rows begin as components of their own.  Of every pair one row comes first, so one pass over the rows suffices.
+    Where a group is a pair of blocks (``side`` 0 or more) only pairs across the blocks count.  Sketches hold a
+    byte per coordinate, or a ``single`` bit."""
     side, size = part.column("side").to_numpy(), part.column("n_shingles").to_numpy()
     marks = np.frombuffer(b"".join(part.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(side), -1)
-    state = _Union(part.column("component").to_numpy())
-    largest = np.bincount(state.label).argmax()
+    words = marks.view(np.uint64) if single else None
+    state = _Union(part.column("node").to_numpy())
     done = np.zeros(len(side), dtype=bool)
-    for i in np.flatnonzero(state.label != largest).tolist():
+    for i in range(len(side) - 1):
         done[i] = True
         ok = ~done & (state.label != state.label[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
         if side[i] >= 0:
             ok &= side != side[i]
         rest = np.flatnonzero(ok)
-        equal = (marks[rest] == marks[i]).sum(axis=1)
+        equal = 8 * marks.shape[1] - np.bitwise_count(words[rest] ^ words[i]).sum(axis=1, dtype=np.int64) if single else (
+            marks[rest] == marks[i]).sum(axis=1)
         order = np.argsort(-equal, kind="stable")
         rest = rest[order][equal[order] >= least_equal]
         if len(rest):
@@ -191,8 +193,10 @@ def _edges(pairs: list[tuple[int, int]], node: np.ndarray) -> pa.RecordBatch:
 def _forest(batches: Iterator[pa.RecordBatch], least_equal: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Join what may be linked within each group."""
     for part in _groups(batches):
+        if part.num_rows < 2:
+            continue
         pairs = []
-        for i, rest, state in _candidates(part, percent, least_equal):
+        for i, rest, state in _candidates(part, percent, least_equal, single=True):
             for j in rest.tolist():
                 if state.label[j] != state.label[i]:
                     state.join(i, j)
@@ -236,17 +240,6 @@ def _blocks(rows: DataFrame, blocks: Column, key: str) -> DataFrame:
             .drop("blocks", "block", "partner"))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, stage: Stage, shingle: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets reach the similarity."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stage(full_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text_key"]), shingle))
-    met = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
-           .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    return stage(met.withColumn("both", both).filter(
-        100 * F.col("both") >= percent * (F.size("set_a") + F.size("set_b") - F.col("both"))).select("a", "b").distinct())
-
-
 def near_duplicates(docs: DataFrame, stage: Stage, shingle: int = 5, percent: int = 75, bands: int = 32,
                     rows: int = 4, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (smallest doc_id reachable over links) and ``kept``, per row.
@@ -258,53 +251,36 @@ def near_duplicates(docs: DataFrame, stage: Stage, shingle: int = 5, percent: in
     named = every.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = stage(named.groupBy("set_key").agg(F.min("doc_id").alias("node")))
     nodes = stage(named.join(classes, "set_key").filter("doc_id = node")
-                  .select("set_key", "node", "n_shingles", "bands", "sketch").dropDuplicates(["set_key"]))
+                  .select("set_key", "node", "n_shingles", "bands", "sketch", "bits").dropDuplicates(["set_key"]))
 
-    spots = nodes.select("set_key", "node", "n_shingles", F.explode("bands").alias("bucket"))
+    spots = nodes.select("node", "n_shingles", F.col("bits").alias("sketch"), F.explode("bands").alias("bucket"))
     buckets = stage(spots.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
-    spots = stage(spots.join(buckets, "bucket"))
-    weight = stage(spots.groupBy("set_key").agg(F.sum("n").alias("weight")))
-    spots = stage(spots.join(weight, "set_key"))
-    centres = stage(spots.groupBy("bucket").agg(
-        F.max(F.struct("weight", F.negate("node").alias("minus"), "set_key", "n_shingles")).alias("centre"))
-        .select("bucket", F.negate("centre.minus").alias("centre"), F.col("centre.set_key").alias("centre_key"),
-                F.col("centre.n_shingles").alias("centre_n")))
-
-    texts = rows_of.filter("doc_id IS NOT NULL").withColumn("text_key", F.xxhash64("text"))
-    close = 100 * F.least("n_shingles", "centre_n") >= percent * F.greatest("n_shingles", "centre_n")
-    first_pairs = stage(spots.join(centres, "bucket").filter(F.col("set_key") != F.col("centre_key")).filter(close)
-                        .select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
-                        .filter("a != b").distinct())
-    first_links = _verify(first_pairs, texts, stage, shingle, percent)
-    first = components(first_links, stage)
-
-    labelled = stage(spots.join(first, "node", "left").select(
-        "bucket", "node", "n_shingles", F.coalesce("component", "node").alias("component")))
-    least_equal = bands * rows * (percent - 25) // 100
-    open_buckets = stage(labelled.groupBy("bucket").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
-        .filter("lo < hi").select("bucket", "n"))
-    left = labelled.join(open_buckets, "bucket").join(nodes.select("node", "sketch"), "node")
-    grouped = _blocks(left, F.when(F.col("n") <= block_rows, 1).otherwise(
+    t, share = bands * rows, (1 + percent / 100) / 2
+    least_bits = int(t * (share - 6 * (share * (1 - share) / t) ** 0.5))
+    grouped = _blocks(spots.join(buckets.hint("merge"), "bucket"), F.when(F.col("n") <= block_rows, 1).otherwise(
         F.ceil(2 * F.col("n") / F.lit(block_rows))).cast("int"), "bucket")
-    forest = stage(grouped.select("group", "side", "node", "component", "n_shingles", "sketch")
+    forest = stage(grouped.select("group", "side", "node", "n_shingles", "sketch")
                    .repartition("group").sortWithinPartitions("group")
-                   .mapInArrow(lambda it: _forest(it, least_equal, percent), "a long, b long"))
-    family = stage(components(forest, stage))
-    family = family.unionByName(family.select(F.col("component").alias("node"), "component").distinct()).toDF("node", "family")
-    sets = full_sets(texts.join(family, F.col("doc_id") == F.col("node"), "left_semi")
-                     .dropDuplicates(["doc_id", "text_key"]), shingle).withColumnRenamed("doc_id", "node")
-    members = stage(sets.join(family, "node").join(first, "node", "left").join(nodes.select("node", "sketch"), "node").select(
-        "family", "node", F.coalesce("component", "node").alias("component"), F.size("shingles").cast("long").alias("n_shingles"),
-        "sketch", "shingles"))
+                   .mapInArrow(lambda it: _forest(it, least_bits, percent), "a long, b long"))
+    family = components(forest, stage)
+    family = stage(family.unionByName(family.select(F.col("component").alias("node"), "component").distinct())
+                   .toDF("node", "family"))
+
+    texts = rows_of.filter("doc_id IS NOT NULL").withColumn("text_key", F.xxhash64("text"))
+    least_equal = int(t * (percent / 100 - 6 * (percent * (100 - percent) / 1e4 / t) ** 0.5))
+    members = (full_sets(texts.join(family.hint("merge"), F.col("doc_id") == F.col("node"), "left_semi")
+                         .dropDuplicates(["doc_id", "text_key"]), shingle).withColumnRenamed("doc_id", "node")
+               .join(family, "node").join(nodes.select("node", "sketch"), "node")
+               .select("family", "node", F.size("shingles").cast("long").alias("n_shingles"), "sketch", "shingles"))
+    members = stage(members)
     sizes = stage(members.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total")))
     met = _blocks(members.join(sizes, "family"), F.when(
         (F.col("n") <= block_rows) & (F.col("total") <= 2 * block_shingles), 1).otherwise(F.ceil(F.greatest(
             2 * F.col("n") / F.lit(block_rows), F.col("total") / F.lit(block_shingles)))).cast("int"), "family")
-    second_links = stage(met.select("group", "side", "node", "component", "n_shingles", "sketch", "shingles")
-                         .repartition("group").sortWithinPartitions("group")
-                         .mapInArrow(lambda it: _links(it, least_equal, percent), "a long, b long"))
-    final = components(first_links.unionByName(second_links), stage)
+    links = stage(met.select("group", "side", "node", "n_shingles", "sketch", "shingles")
+                  .repartition("group").sortWithinPartitions("group")
+                  .mapInArrow(lambda it: _links(it, least_equal, percent), "a long, b long"))
+    final = components(links, stage)
 
     joined = classes.join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     joined = stage(joined)

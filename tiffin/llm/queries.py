@@ -12,7 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tiffin.llm import ann, mixing, neardup, packing, quality_ranker, sharding, substrings, toxicity, winnowing
+from tiffin.llm import (
+    ann,
+    mixing,
+    neardup,
+    oracles,
+    packing,
+    quality_ranker,
+    sharding,
+    substrings,
+    toxicity,
+    winnowing,
+)
 from tiffin.session import Stage, name_local_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,4 +126,4 @@ QUERIES: dict[str, Query] = {f.__name__: _prepared(f) for f in (
     op8_near_duplicates, op9_mixing, op10_neighbours, pipeline,
 )}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
