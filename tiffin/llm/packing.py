@@ -14,6 +14,7 @@ Empty tables give no pieces.
 
 from __future__ import annotations
 
+import codecs
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -34,37 +35,73 @@ GROUP_ITEMS = 50_000
 _BREAKS = re.compile(r"[ \t\n\r]+")
 
 
+def _byte_characters() -> str:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it can be
+    printed, else the next one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in shown else next(others)) for b in range(256))
+
+
+_BYTE_CHARACTERS = _byte_characters()
+
+
 class Encoder:
-    """Ids of texts by a ``tokenizers`` file whose pre-tokenizer drops white space.
+    """Ids of texts by a ``tokenizers`` file with a byte-level pre-tokenizer that drops white space.
 
     Parts between white space are encoded by the library once and remembered, since no
-    token spans white space; ids are those of the whole text.
+    token spans white space; ids are those of the whole text.  A part made of Latin
+    letters, with a comma or full stop behind it at most, is one or two words to the
+    pre-tokenizer, so its normalised letters go straight to the library's model.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
+        self._normalize = self._tokenizer.normalizer.normalize_str
+        self._forget()
+
+    def _forget(self) -> None:
         self._ids: dict[str, bytes] = {"": b""}
+        self._letters: dict[str, bytes] = {}
+        self._marks = {mark: self._whole(mark) for mark in ",."}
+
+    def _whole(self, part: str) -> bytes:
+        return np.array(self._tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _word(self, letters: str) -> bytes | None:
+        """Ids of one word of Latin letters, None if it may be anything else to the pre-tokenizer."""
+        if not letters.isalpha():
+            return None
+        plain = letters.lower() if letters.isascii() else self._normalize(letters)
+        found = self._letters.get(plain)
+        if found is None:
+            if not plain.isascii() and (not plain.isalpha() or max(plain) >= "\u0250"):
+                return None
+            mapped = codecs.charmap_decode(plain.encode(), "strict", _BYTE_CHARACTERS)[0]
+            found = self._letters[plain] = np.array([t.id for t in self._model.tokenize(mapped)], dtype="<u4").tobytes()
+        return found
 
     def _learn(self, parts: list[str]) -> None:
-        if len(self._ids) > REMEMBERED:
-            self._ids = {"": b""}
-        for begin in range(0, len(parts), 2000):
-            some = parts[begin:begin + 2000]
-            for part, found in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self._ids[part] = np.array(found.ids, dtype="<u4").tobytes()
+        if len(self._ids) + len(self._letters) > 2 * REMEMBERED:
+            self._forget()
+        for part in parts:
+            mark = self._marks.get(part[-1])
+            found = self._word(part if mark is None else part[:-1])
+            self._ids[part] = self._whole(part) if found is None else found if mark is None else found + mark
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        known = self._ids
         for text in texts:
             parts = _BREAKS.split(text or "")
             try:
+                known = self._ids
                 yield b"".join([known[p] for p in parts])
             except KeyError:
                 self._learn(list({p for p in parts if p not in known}))
                 known = self._ids
-                if not all(p in known for p in parts):
+                if any(p not in known for p in parts):  # it began afresh
                     self._learn(list({p for p in parts if p not in known}))
                 yield b"".join([known[p] for p in parts])
 

@@ -153,10 +153,22 @@ def _bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), dtype=np.uint8), offsets
 
 
+def _smallest_run(hashes: np.ndarray, first: np.ndarray, full: np.ndarray, width: int = 4) -> np.ndarray:
+    """The smallest hash of ``width`` words in a row of each non-empty document, of all its words if it has fewer."""
+    none = np.iinfo(np.uint64).max
+    runs = np.full(len(hashes), none)
+    rolled = W.rolling(hashes, width)
+    runs[:len(rolled)] = rolled
+    for back in range(1, width):
+        runs[np.maximum(first[full + 1] - back, first[full])] = none
+    least = np.minimum.reduceat(runs, first[full])
+    return np.where(least == none, W.stretches(hashes, first[full], first[full + 1], W.BASES[0]), least)
+
+
 def telling_features(toxic: list[str | None], clean: list[str | None]) -> np.ndarray:
     """Numbers of words and beginnings that mark toxic documents more often than chance allows.
 
-    Documents with one smallest word hash are taken for copies of one another and count once.
+    Documents whose smallest hash of four words in a row is the same are taken for copies of one another and count once.
     """
     counts, families = [], []
     for texts in (toxic, clean):
@@ -168,7 +180,7 @@ def telling_features(toxic: list[str | None], clean: list[str | None]) -> np.nda
             full = np.flatnonzero(np.diff(found.first))
             if not len(full):
                 continue
-            family = [known.setdefault(h, len(known)) for h in np.minimum.reduceat(hashes, found.first[full]).tolist()]
+            family = [known.setdefault(h, len(known)) for h in _smallest_run(hashes, found.first, full).tolist()]
             owner = np.repeat(np.array(family, dtype=np.int64), np.diff(found.first)[full])
             seen += [np.unique(owner << 32 | kind) for kind in tokens[:3]]
         pairs = np.unique(np.concatenate(seen)) if seen else np.zeros(0, dtype=np.int64)
