@@ -51,12 +51,17 @@ class Codes:
     rotations: np.ndarray
     radius: int
 
+    @property
+    def bits(self) -> int:
+        return -(-self.rotations.shape[1] // 64) * 64
+
     def encode(self, vectors: np.ndarray) -> np.ndarray:
-        """Eight bits a byte, one row per vector."""
-        return np.packbits((vectors - self.centre) @ self.rotations > 0, axis=1)
+        """Eight bits a byte, whole 64-bit words, one row per vector."""
+        packed = np.packbits((vectors - self.centre) @ self.rotations > 0, axis=1)
+        return np.pad(packed, ((0, 0), (0, self.bits // 8 - packed.shape[1])))
 
 
-def learn(vectors: np.ndarray, k: int, rotations: int = 4, rounds: int = 30, goal: float = 0.97, seed: int = 7) -> Codes:
+def learn(vectors: np.ndarray, k: int, rotations: int = 2, rounds: int = 30, goal: float = 0.95, seed: int = 7) -> Codes:
     """Fit rotations and radius on a sample."""
     rng = np.random.default_rng(seed)
     size = vectors.shape[1]
@@ -80,31 +85,44 @@ def learn(vectors: np.ndarray, k: int, rotations: int = 4, rounds: int = 30, goa
     scores[np.arange(len(asked)), asked] = -np.inf
     nearest = np.argsort(-scores, axis=1)[:, :min(k, max(len(vectors) - 1, 1))]
     distance = np.array([_ONES[packed[n] ^ packed[q]].sum(axis=1) for q, n in zip(asked, nearest, strict=True)])
-    codes.radius = int(np.quantile(distance, goal)) if distance.size else packed.shape[1] * 8
+    codes.radius = int(np.quantile(distance, goal)) if distance.size else codes.bits
     return codes
 
 
 class Shard:
-    """Vectors of one shard with one list of places per value of each substring."""
-
-    def __init__(self, vectors: np.ndarray, ids: list[list[int]], codes: np.ndarray):
-        self.vectors, self.ids, self.codes = vectors, ids, codes
-        self.lists = [np.argsort(column, kind="stable") for column in codes.T]
-        self.ends = [np.searchsorted(column[order], np.arange(257)) for column, order in zip(codes.T, self.lists, strict=True)]
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Places of all codes within ``radius`` of ``code``."""
-        if radius >= 8 * len(code):
-            return np.arange(len(self.vectors))
-        reach = radius // len(code)
-        hit = np.zeros(len(self.vectors), dtype=bool)
-        for j, value in enumerate(code):
-            probes = np.flatnonzero(_NEAR[value] <= reach)
-            ends = self.ends[j]
-            for p in probes:
-                hit[self.lists[j][ends[p]:ends[p + 1]]] = True
-        found = np.flatnonzero(hit)
-        return found[_ONES[self.codes[found] ^ code].sum(axis=1) <= radius]
+    """Vectors of one shard with the places of each value of each substring, as bitmaps.
+
+    What a probe of a substring retrieves, the lists of all values within reach of the asked
+    one, is put together when it is first asked for and kept; there are 256 such unions per
+    substring at most, so a shard's index is bounded by its rows.
+    """
+
+    def __init__(self, vectors: np.ndarray, ids: list[list[int]], codes: np.ndarray, radius: int):
+        self.vectors, self.ids, self.radius = vectors, ids, radius
+        self.words = codes.copy().view(np.uint64)
+        self.reach = radius // codes.shape[1]
+        self.lists = []
+        for column in codes.T:
+            marks = np.zeros((256, len(codes)), dtype=bool)
+            marks[column, np.arange(len(codes))] = True
+            self.lists.append(np.packbits(marks, axis=1))
+        self.probes: dict[tuple[int, int], np.ndarray] = {}
+
+    def _probe(self, j: int, value: int) -> np.ndarray:
+        found = self.probes.get((j, value))
+        if found is None:
+            found = np.bitwise_or.reduce(self.lists[j][_NEAR[value] <= self.reach], axis=0)
+            self.probes[j, value] = found
+        return found
+
+    def within(self, code: np.ndarray) -> np.ndarray:
+        """Places of all codes within the radius of ``code``: in reach in some substring, then on the whole code."""
+        hit = self._probe(0, int(code[0])).copy()
+        for j, value in enumerate(code[1:].tolist(), 1):
+            hit |= self._probe(j, value)
+        found = np.flatnonzero(np.unpackbits(hit, count=len(self.vectors)))
+        away = np.bitwise_count(self.words[found] ^ code.copy().view(np.uint64)).sum(axis=1, dtype=np.int64)
+        return found[away <= self.radius]
 
 
 def _usable(vectors: DataFrame, vec: str) -> DataFrame:
@@ -135,19 +153,18 @@ def search(vectors: DataFrame, queries: DataFrame, stage: Stage, k: int = 20, sa
     taken = classes.select("embedding").orderBy(key).limit(sample).toPandas()
     codes = learn(np.array(taken["embedding"].tolist()), k, seed=seed)
     shards = max(1, -(-count // shard_rows))
-    index = classes.select(F.pmod(key, F.lit(shards)).cast("int").alias("shard"), F.lit(None).cast("int").alias("block"),
+    index = classes.select(F.pmod(key, F.lit(shards)).cast("int").alias("shard"), F.lit(None).cast("long").alias("query"),
                            "embedding", "ids")
-    asked = stage(clean(queries).filter(F.size("embedding") == lengths.n).groupBy("embedding").agg(
-        F.count("*").alias("n")).select("embedding"))
+    asked = stage(clean(queries).filter(F.size("embedding") == lengths.n).select("embedding").distinct().withColumn(
+        "query", F.monotonically_increasing_id()))
 
     def ask(questions: DataFrame, radius: int) -> DataFrame:
         """The nearest within the radius, k + 1 of different classes at most per question and shard."""
-        visits = questions.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
-                                  F.pmod(F.xxhash64("embedding"), F.lit(1 << 20)).cast("int").alias("block"), "embedding",
+        visits = questions.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "query", "embedding",
                                   F.lit(None).cast("array<bigint>").alias("ids"))
-        dealt = index.unionByName(visits).repartition("shard").sortWithinPartitions("shard", F.col("block").asc_nulls_first())
+        dealt = index.unionByName(visits).repartition("shard").sortWithinPartitions("shard", F.col("query").asc_nulls_first())
         return dealt.mapInArrow(lambda it: _visit(it, codes, radius, k, query_rows),
-                                "query array<double>, ids array<long>, score double")
+                                "query long, ids array<long>, score double")
 
     def best(found: DataFrame) -> DataFrame:
         """Expand the ids and rank them per question; a question keeps one id more, as its own may be among them."""
@@ -156,12 +173,10 @@ def search(vectors: DataFrame, queries: DataFrame, stage: Stage, k: int = 20, sa
                 .filter(F.col("rank") <= k + 1).select("query", "vec_id", "score"))
 
     first = stage(best(ask(asked, codes.radius)))
-    few = asked.join(first.groupBy("query").count().filter(F.col("count") > k).select(F.col("query").alias("embedding")),
-                     "embedding", "left_anti")
-    first = first.join(few.select(F.col("embedding").alias("query")), "query", "left_anti").unionByName(
-        best(ask(few, 8 * codes.encode(codes.centre[None]).shape[1])))
-    own = clean(queries).filter(F.size("embedding") == lengths.n).select(
-        F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).distinct()
+    few = asked.join(first.groupBy("query").count().filter(F.col("count") > k), "query", "left_anti")
+    first = first.join(few.select("query"), "query", "left_anti").unionByName(best(ask(few, codes.bits)))
+    own = (clean(queries).filter(F.size("embedding") == lengths.n)
+           .select(F.col("vec_id").alias("query_id"), "embedding").distinct().join(asked, "embedding").drop("embedding"))
     order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return (own.join(first, "query").filter(F.col("vec_id") != F.col("query_id"))
             .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -171,48 +186,49 @@ def search(vectors: DataFrame, queries: DataFrame, stage: Stage, k: int = 20, sa
 def _visit(batches: Iterator[pa.RecordBatch], codes: Codes, radius: int, k: int, query_rows: int) -> Iterator[pa.RecordBatch]:
     """Rows arrive shard by shard, the shard's vectors before its questions."""
     current, index, shard = None, [], None
-    kinds = pa.list_(pa.float64()), pa.list_(pa.int64()), pa.float64()
 
-    def answer(questions: np.ndarray) -> pa.RecordBatch:
-        rows: list[int] = []
+    def answer(queries: list[int], questions: np.ndarray) -> pa.RecordBatch:
+        owner: list[int] = []
         places: list[np.ndarray] = []
         scores: list[np.ndarray] = []
-        for i, (question, code) in enumerate(zip(questions, codes.encode(questions), strict=True)):
-            found = shard.within(code, radius)
+        for query, question, code in zip(queries, questions, codes.encode(questions), strict=True):
+            found = shard.within(code)
             score = np.einsum("ij,j->i", shard.vectors[found], question)
             if len(found) > k + 1:
                 kept = score >= np.partition(score, -(k + 1))[-(k + 1)]
                 found, score = found[kept], score[kept]
-            rows += [i] * len(found)
+            owner += [query] * len(found)
             places.append(found)
             scores.append(score)
-        at = np.concatenate(places)
+        at = np.concatenate(places).tolist()
         return pa.RecordBatch.from_arrays([
-            pa.array(list(questions[rows]), kinds[0]), pa.array([shard.ids[p] for p in at], kinds[1]),
-            pa.array(np.concatenate(scores), kinds[2])], names=["query", "ids", "score"])
+            pa.array(owner, pa.int64()), pa.array([shard.ids[p] for p in at], pa.list_(pa.int64())),
+            pa.array(np.concatenate(scores), pa.float64())], names=["query", "ids", "score"])
 
     for batch in batches:
-        numbers, blocks = batch.column(0).to_pylist(), batch.column(1).is_null().to_pylist()
-        flat = np.stack(batch.column(2).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, 1))
+        if not batch.num_rows:
+            continue
+        numbers, queries = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        flat = np.stack(batch.column(2).to_numpy(zero_copy_only=False))
         ids = batch.column(3).to_pylist()
         waiting: list[int] = []
-        for i, (number, is_index) in enumerate(zip(numbers, blocks, strict=True)):
+        for i, (number, query) in enumerate(zip(numbers, queries, strict=True)):
             if number != current:
                 if waiting:
-                    yield answer(flat[waiting])
+                    yield answer([queries[w] for w in waiting], flat[waiting])
                     waiting = []
                 current, index, shard = number, [], None
-            if is_index:
+            if query is None:
                 index.append((flat[i], ids[i]))
                 continue
             if shard is None:
                 if not index:
                     continue
                 own = np.array([v for v, _ in index])
-                shard, index = Shard(own, [x for _, x in index], codes.encode(own)), []
+                shard, index = Shard(own, [x for _, x in index], codes.encode(own), radius), []
             waiting.append(i)
             if len(waiting) >= query_rows:
-                yield answer(flat[waiting])
+                yield answer([queries[w] for w in waiting], flat[waiting])
                 waiting = []
         if waiting:
-            yield answer(flat[waiting])
+            yield answer([queries[w] for w in waiting], flat[waiting])
