@@ -81,7 +81,8 @@ def test_guarded_lines(spark, tables, tmp_path):
     assert judged.filter("NOT accepted AND error IS NULL").count() == 0 and judged.count() == batch.count()
 
 
-def test_admission_over_batches(spark, tables, tmp_path):
+@pytest.mark.parametrize("stored", [False, True])
+def test_admission_over_batches(spark, tables, tmp_path, stored):
     totals = rollups.order_totals(tables["contain"], tables["food_item"])
     requests = tables["apply_for"].withColumn("seq", F.col("FOID"))
     # files in seq order, the later ones repeating some earlier requests
@@ -90,12 +91,15 @@ def test_admission_over_batches(spark, tables, tmp_path):
         chosen.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     path = f"{tmp_path}/log"
-    sinks.drain(guards.admission(stream, tables, path, f"{tmp_path}/checkpoint"))
+    held = tables["apply_for"].filter("FOID < 300")
+    known = dict(tables) | {"apply_for": held}
+    sinks.drain(guards.admission(stream, known, path, f"{tmp_path}/checkpoint", stored=stored))
     judged = guards.read_judged(spark, path, guards.APPLICATIONS)
     assert judged.select("batch_id").distinct().count() == 3
     whole = spark.read.schema(requests.schema).parquet(f"{tmp_path}/in")
-    batch = admit_applications(whole, tables["discount_from_restaurant"], tables["food_order"], totals)
-    assert bag(judged.filter("accepted").select("seq")) == bag(batch.filter("error IS NULL").select("seq"))
+    batch = admit_applications(whole, tables["discount_from_restaurant"], tables["food_order"], totals,
+                               held if stored else None)
+    assert bag(judged.select("seq", "error")) == bag(batch.select("seq", "error"))
     limits = tables["discount_from_restaurant"].join(
         judged.filter("accepted").groupBy("DFRcode").count().withColumnRenamed("DFRcode", "code"), "code")
     assert limits.filter("count > usageLimit").count() == 0
