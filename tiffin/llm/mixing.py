@@ -63,40 +63,51 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1
 def mix(docs: DataFrame, stage: Stage, weights: Sequence[int] = WEIGHTS, share: float = 1.5, max_epochs: int = 2,
         seed: int = 7, slice_digits: int = 4) -> DataFrame:
     """All rows and columns of ``docs`` with ``size``, ``source_size``, ``target``, ``epochs`` (whole
-    repetitions) and ``taken`` (words, repetitions counted).
+    repetitions), ``taken`` (words, repetitions counted) and ``at_edge`` (its slice holds the edge, so it may
+    be taken in part).
 
     ``slice_digits`` hexadecimal digits of the hash name the slices of a source.
     """
+    source = F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name"))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string")))
-    sized = docs.withColumns({"_mix_size": word_count(F.col("text")), "_mix_key": key,
-                              "_mix_source": F.struct(F.col("source").isNull().alias("none"),
-                                                      F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name"))})
-    slices = stage(sized.groupBy("_mix_source", F.substring("_mix_key", 1, slice_digits).alias("_mix_slice")).agg(
-        F.sum("_mix_size").alias("words"), F.count("*").alias("rows")))
+    keyed = docs.withColumns({"_mix_key": key, "_mix_source": source}).withColumn(
+        "_mix_slice", F.substring("_mix_key", 1, slice_digits))
+    slices = stage(keyed.groupBy("_mix_source", "_mix_slice").agg(F.sum(word_count(F.col("text"))).alias("words")))
     sizes = slices.groupBy("_mix_source").agg(F.sum("words").alias("source_size")).withColumn(
         "source", F.when(~F.col("_mix_source.none"), F.col("_mix_source.name")))
-    aims = stage(targets(sizes.select("source", "source_size"), weights, share, max_epochs).withColumn(
-        "_mix_source", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
-        .drop("source").withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
-                                   .otherwise(0).cast("long"))
-        .withColumn("_mix_rest", F.floor(F.col("target") + 0.5).cast("long") - F.col("epochs") * F.col("source_size")))
+    aims = targets(sizes.select("source", "source_size"), weights, share, max_epochs).withColumns({
+        "_mix_source": source,
+        "epochs": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")})
+    aims = stage(aims.drop("source").withColumn(
+        "_mix_rest", F.floor(F.col("target") + 0.5).cast("long") - F.col("epochs") * F.col("source_size")))
     along = Window.partitionBy("_mix_source").orderBy("_mix_slice").rowsBetween(Window.unboundedPreceding, -1)
-    marked = stage(slices.withColumn("_mix_before", F.coalesce(F.sum("words").over(along), F.lit(0).cast("long")))
-                   .join(aims, "_mix_source").withColumn("_mix_whole", F.col("_mix_before") + F.col("words") <= F.col("_mix_rest"))
-                   .withColumn("_mix_none", F.col("_mix_before") >= F.col("_mix_rest")).drop("words", "rows"))
-    joined = (sized.withColumn("_mix_slice", F.substring("_mix_key", 1, slice_digits))
-              .join(marked, ["_mix_source", "_mix_slice"]))
-    edge = ~F.col("_mix_whole") & ~F.col("_mix_none")
-    rows = Window.partitionBy("_mix_source", "_mix_slice").orderBy("_mix_key", "_mix_size", F.xxhash64("text")).rowsBetween(
+    cut = (slices.withColumn("_mix_before", F.coalesce(F.sum("words").over(along), F.lit(0).cast("long")))
+           .join(aims.select("_mix_source", "_mix_rest"), "_mix_source")
+           .filter(F.col("_mix_before") + F.col("words") > F.col("_mix_rest"))
+           .groupBy("_mix_source").agg(F.min(F.struct("_mix_slice", "_mix_before")).alias("_mix_edge")))
+    # one row per source: documents meet it where they are, so texts are not moved for the decision
+    edges = stage(aims.join(cut, "_mix_source", "left"))
+    joined = keyed.join(edges, "_mix_source")
+    edge = F.col("_mix_edge._mix_slice")
+    rows = Window.partitionBy("_mix_source").orderBy("_mix_key", "_mix_size", "_mix_tie").rowsBetween(
         Window.unboundedPreceding, -1)
-    at_edge = joined.filter(edge).withColumn("_mix_extra", F.greatest(F.lit(0).cast("long"), F.least(
-        F.col("_mix_size"), F.col("_mix_rest") - F.col("_mix_before")
-        - F.coalesce(F.sum("_mix_size").over(rows), F.lit(0).cast("long")))))
-    others = joined.filter(~edge).withColumn("_mix_extra", F.when(F.col("_mix_whole"), F.col("_mix_size")).otherwise(0).cast("long"))
-    return others.unionByName(at_edge).select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in ("size", "source_size", "target", "epochs", "taken")],
-        F.col("_mix_size").alias("size"), "source_size", "target", "epochs",
-        (F.col("epochs") * F.col("_mix_size") + F.col("_mix_extra")).alias("taken"))
+    # at most one slice per source is ordered
+    partial = (joined.filter(F.col("_mix_slice") == edge)
+               .withColumns({"_mix_size": word_count(F.col("text")), "_mix_tie": F.xxhash64("text")})
+               .withColumn("_mix_extra", F.greatest(F.lit(0).cast("long"), F.least(
+                   F.col("_mix_size"), F.col("_mix_rest") - F.col("_mix_edge._mix_before")
+                   - F.coalesce(F.sum("_mix_size").over(rows), F.lit(0).cast("long")))))
+               .withColumn("at_edge", F.lit(True)))
+    others = (joined.filter(edge.isNull() | (F.col("_mix_slice") != edge)).withColumn("_mix_size", word_count(F.col("text")))
+              .withColumn("_mix_extra", F.when(edge.isNull() | (F.col("_mix_slice") < edge), F.col("_mix_size"))
+                          .otherwise(F.lit(0).cast("long")))
+              .withColumn("at_edge", F.lit(False)))
+    results = ("size", "source_size", "target", "epochs", "taken", "at_edge")
+    names = [F.col(f"`{c}`") for c in docs.columns if c not in results]
+    taken = (F.col("epochs") * F.col("_mix_size") + F.col("_mix_extra")).alias("taken")
+    parts = [part.select(*names, F.col("_mix_size").alias("size"), "source_size", "target", "epochs", taken, "at_edge")
+             for part in (others, partial)]
+    return parts[0].unionByName(parts[1])
 
 
 def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
@@ -105,7 +116,7 @@ def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
     whole = F.when(F.col("size") == 0, F.col("epochs")).otherwise(F.floor(F.col("taken") / F.col("size")))
     part = F.when(F.col("size") == 0, 0).otherwise(F.col("taken") % F.col("size"))
     several = mixed.filter(whole > 0).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), whole.cast("int"))))
-    cut = mixed.filter(part > 0).withColumn(
+    cut = mixed.filter(F.col("at_edge") & (part > 0)).withColumn(
         "text", F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), part.cast("int")), " "))
     if "n_chars" in columns:
         cut = cut.withColumn("n_chars", F.char_length("text").cast(dict(mixed.dtypes)["n_chars"]))
