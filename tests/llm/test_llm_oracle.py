@@ -8,6 +8,7 @@ from tiffin.llm import queries
 SF = "/root/testdata/sf0.001"
 
 COLUMNS = {
+    "op1_token_counts": "doc_id n_tokens",
     "op2_quality": "doc_id held_out score predicted",
     "op3_toxicity": "doc_id held_out score predicted",
     "op4_substring_dedup": "doc_id n_words n_removed kept_sha256",

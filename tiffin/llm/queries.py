@@ -21,6 +21,7 @@ from tiffin.llm import (
     quality_ranker,
     sharding,
     substrings,
+    token_counts,
     toxicity,
     winnowing,
 )
@@ -46,6 +47,12 @@ def _scored(df: DataFrame, threshold: float) -> DataFrame:
                      (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def op1_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Unigram pieces of every text."""
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Bradley-Terry quality score of every document."""
     docs = _table(spark, sf, "documents").select("doc_id", "text")
@@ -122,7 +129,7 @@ def _prepared(query: Query) -> Query:
 
 
 QUERIES: dict[str, Query] = {f.__name__: _prepared(f) for f in (
-    op2_quality, op3_toxicity, op4_substring_dedup, op5_winnowing, op6_sharding, op7_packing,
+    op1_token_counts, op2_quality, op3_toxicity, op4_substring_dedup, op5_winnowing, op6_sharding, op7_packing,
     op8_near_duplicates, op9_mixing, op10_neighbours, pipeline,
 )}
 
