@@ -48,9 +48,11 @@ def _scored(df: DataFrame, threshold: float) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Unigram pieces of every text."""
+    """Pieces of every text by a unigram model fitted on a sample of them; the model is kept in the shared folder."""
     docs = _table(spark, sf, "documents").select("doc_id", "text")
-    return token_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    model = token_counts.fit_unigram(token_counts.sample_texts(docs))
+    kept = Stage(spark)(spark.createDataFrame([(bytearray(model),)], "model binary"))
+    return token_counts.token_counts(docs, bytes(kept.first().model))
 
 
 def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
