@@ -124,3 +124,17 @@ def test_fingerprints(documents, rows):
     listed = {r.doc_id: r for r in winnowing.fingerprints(documents(made)).collect()}
     assert listed[1].fingerprint == out[1].fingerprint and len(listed[1].positions) == len(listed[1].hashes)
     assert winnowing.edited_fingerprints(documents([], 1)).count() == 0
+
+
+def test_short_texts_stay_alike_after_the_edit(documents, rows):
+    rng = random.Random(8)
+    made = rows(*["".join(rng.choice("abcdefgh é👩") for _ in range(n)) for n in range(30, 161)])
+    out = winnowing.edited_fingerprints(documents(made)).collect()
+    assert len(out) == 131 and all(0 < r.near_edited <= 1 for r in out)
+
+
+def test_long_batches_are_sent_in_parts(documents, rows, monkeypatch):
+    monkeypatch.setattr(winnowing, "SENT", 50)
+    made = rows(*[f"text {i} of some length" for i in range(40)], "", None)
+    out = winnowing.edited_fingerprints(documents(made)).collect()
+    assert sorted(r.doc_id for r in out) == list(range(1, 43))

@@ -34,13 +34,18 @@ from pyspark.sql import functions as F
 
 from tiffin.llm.words import BASES, mix, powers
 
+#: Code points per hash and hashes per window: 15 shared code points are always found, so a text of 30
+#: that keeps its first half keeps a hash.
+K, WINDOW = 8, 8
+#: Code points of texts after which their fingerprints are sent on.
+SENT = 1 << 20
 #: Bytes of text per range, about; ranges at most (their bounds and first ids are broadcast).
 RANGE_BYTES = 32 << 20
 RANGES = 20_000
 _LOW32 = np.uint64(0xFFFFFFFF)
 
 
-def winnow(points: np.ndarray, k: int = 16, window: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def winnow(points: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (32 bits) and positions chosen from the code points of a text."""
     if len(points) == 0:
         return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
@@ -77,10 +82,10 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return len(one & other) / len(one | other) if one or other else 1.0
 
 
-def fingerprints(docs: DataFrame, k: int = 16, window: int = 64) -> DataFrame:
+def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """``doc_id`` with ``hashes`` and ``positions`` (lists) and ``fingerprint`` for each row of ``docs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 100) for b in batches for i in range(0, b.num_rows, 100)):
             made = [winnow(code_points(t or ""), k, window) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([h.astype(np.int64) for h, _ in made], pa.list_(pa.int64())),
@@ -117,15 +122,22 @@ def neighbours(docs: DataFrame, ranges: int | None = None) -> DataFrame:
             .sortWithinPartitions("part", "guest", F.desc("key"), "text").select("part", "guest", "doc_id", "text"))
 
 
-def edited_fingerprints(docs: DataFrame, k: int = 16, window: int = 64, ranges: int | None = None) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, ranges: int | None = None) -> DataFrame:
     """Fingerprints of each text and of the text with its last half replaced by the next text's beginning.
 
     The last ``floor(n_chars / 2)`` code points go, and as many of the next text (or all) come.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[
+                "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+
         pending = None
         for batch in batches:
             out: list[tuple] = []
+            held = 0
             rows = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
             for part, guest, doc_id, text in rows:
                 if guest and (pending is None or pending[0] != part):
@@ -139,12 +151,13 @@ def edited_fingerprints(docs: DataFrame, k: int = 16, window: int = 64, ranges:
                     changed = winnow(code_points(edited), k, window)
                     out.append((before_id, len(before), hashlib.sha256(edited.encode()).hexdigest(), write(*own),
                                 write(*changed), likeness(own[0], changed[0]), likeness(own[0], marks[0])))
+                    held += len(before)
+                    if held >= SENT:
+                        yield made(out)
+                        out, held = [], 0
                 pending = None if guest else (part, doc_id, text, marks)
             if out:
-                columns = list(zip(*out, strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[
-                    "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                yield made(out)
 
     return neighbours(docs, ranges).mapInArrow(
         run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
