@@ -111,6 +111,16 @@ def test_toxic_words_are_learned_and_placed(spark):
     assert spans and sum(s in insults for s in spans) >= 0.95 * len(spans)
 
 
+def test_every_clean_document_of_the_sample_teaches():
+    other = ["".join(x) for x in itertools.product("bcdfgk", "aeiou", "lr")]
+    toxic = [f"plain blimpo words {other[i]}" for i in range(10)]
+    clean = [f"plain words {x}" for x in other[10:50]] + [f"plain words and rompo {x}" for x in other[50:]]
+    tagger = toxicity.fit(toxic, clean)
+    found, tokens = toxicity.token_features(*toxicity._bytes(["blimpo rompo"]))
+    weights = tagger.table()[tokens]
+    assert weights[0, 0] > 0 > weights[0, 1]
+
+
 def test_toxicity_edges(spark, documents, rows):
     table = documents([*rows("", None, "x", "12 !!", "long " * 20_000), (None, "x", *[None] * 6)]).drop("score")
     tagger = toxicity.train(table, spark.createDataFrame([(1, 1)], "doc_id long, label int"))

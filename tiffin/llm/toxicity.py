@@ -9,10 +9,10 @@ largest, and tokens at 0.5 or more are its spans.
 Training tokens take their labels from labelled documents: in a toxic document a token
 counts as toxic if its word or one of its beginnings occurs in so many toxic documents,
 and in (nearly) no clean ones, that less than one such feature would be expected by
-chance among all of them.  Fitted on at most ``sample`` toxic and ``sample`` clean
-documents (clean ones up to four times as many for the counts), the first in order of a
-hash of their id: documented bounds, whatever the size of the tables.  Every document
-is tagged over its whole text.
+chance among all of them.  Counts and weights are fitted on the same documents, at most
+``sample`` toxic and four times as many clean ones, the first in order of a hash of
+their id: documented bounds, whatever the size of the tables.  Every document is tagged
+over its whole text.
 
 The chain of a whole chunk of documents is one chain that starts anew at each document.
 Steps of the ratio toxic/clean are fractional-linear maps, so the chain is cut into rows
@@ -196,26 +196,35 @@ def fit(toxic: list[str | None], clean: list[str | None], rounds: int = 40, deca
     """Maximise the likelihood of the token labels by scaled gradient steps."""
     marks = np.zeros(FEATURES, dtype=bool)
     marks[telling_features(toxic, clean)] = True
-    found, tokens = token_features(*_bytes(toxic + clean[:2 * len(toxic)]))
-    first = _firsts(found)
-    truth = (found.document() < len(toxic)) & marks[tokens[:3]].any(axis=0)
+    texts, parts = toxic + clean, []
+    for begin in range(0, len(texts), 200):  # keeps only what the fit needs of all of them
+        found, some = token_features(*_bytes(texts[begin:begin + 200]))
+        parts.append((some, _firsts(found), found.document() + begin < len(toxic)))
+    tokens, first, bad = (np.concatenate(p, axis=-1) for p in zip(*parts, strict=True))
+    truth = bad & marks[tokens[:3]].any(axis=0)
     if not truth.any():
         return untaught()
-    used, local = np.unique(tokens, return_inverse=True)
-    local = local.reshape(tokens.shape).astype(np.int32)
+    seen = np.zeros(FEATURES, dtype=bool)
+    seen[tokens] = True
+    used = np.flatnonzero(seen)
+    place = np.zeros(FEATURES, dtype=np.int32)
+    place[used] = np.arange(len(used))
+    local = place[tokens]
+    del tokens, parts
     weights, sums = np.zeros(len(used)), np.full(len(used), 1e-3)
     bias, bias_sum = -3.0, 1e-3
     transition, pair_sum, pair = np.zeros((2, 2)), np.full((2, 2), 1e-3), np.zeros((2, 2))
     inside = ~first[1:]
     np.add.at(pair, (truth[:-1][inside].astype(int), truth[1:][inside].astype(int)), 1)
     for _ in range(rounds):
-        x, forward, backward = ratios(weights[local].sum(axis=0) + bias, first, transition)
+        x, forward, backward = ratios(sum(weights[kind] for kind in local) + bias, first, transition)
         both = np.minimum(forward * backward, 1e30)
         miss = truth - both / (1 + both)
         gradient = sum(np.bincount(kind, weights=miss, minlength=len(used)) for kind in local) - decay * weights
         a, ahead = np.exp(transition), x[1:] * backward[1:]
-        parts = np.stack([np.full(len(ahead), a[0, 0]), a[0, 1] * ahead, forward[:-1] * a[1, 0], forward[:-1] * a[1, 1] * ahead])
-        expected = (parts / parts.sum(axis=0))[:, inside].sum(axis=1).reshape(2, 2)
+        pairs = (a[0, 0], a[0, 1] * ahead, forward[:-1] * a[1, 0], forward[:-1] * a[1, 1] * ahead)
+        total = sum(pairs)
+        expected = np.array([(p / total)[inside].sum() for p in pairs]).reshape(2, 2)
         sums += gradient ** 2
         weights += 0.7 * gradient / np.sqrt(sums)
         bias_sum += miss.sum() ** 2
