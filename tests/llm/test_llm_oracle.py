@@ -18,6 +18,9 @@ COLUMNS = {
     "op8_near_duplicates": "doc_id n_shingles component_id kept",
     "op9_mixing": "doc_id size source_size target taken",
     "op10_neighbours": "query_id rank vec_id score",
+    "op11_byte_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op12_conversation_repair": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
+    "op13_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
 }
 
 

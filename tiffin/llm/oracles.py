@@ -1,4 +1,5 @@
-"""SQL (DuckDB) of the queries that SQL can express: substring dedup, near-duplicates and mixing."""
+"""SQL (DuckDB) of the queries that SQL can express: substring dedup, near-duplicates, mixing,
+conversation repair and hard negatives."""
 
 from __future__ import annotations
 
@@ -72,8 +73,109 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+_STATE = "STRUCT(c BIGINT, e VARCHAR, t VARCHAR[])"
+
+
+def _edit(state: str, cost: str, letter: str, line: str) -> str:
+    """``state`` after one more edit; null where it cannot be reached."""
+    lines = f"{state}.t" if not line else f"list_append({state}.t, {line})"
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'e': {state}.e || '{letter}', 't': {lines}}} END"
+
+
+def _inserted(s: str) -> str:
+    """States u0 to u3 after insertions before a row, or at the end."""
+    user = [_edit(f"{s}{i}", "2", "I", "'user:'") for i in (0, 1, 3)]
+    again = [f"CASE WHEN {s}{i} IS NOT NULL THEN {{'c': {s}{i}.c + 4, 'e': {s}{i}.e || 'II', "
+             f"'t': list_concat({s}{i}.t, ['user:', 'assistant:'])}} END" for i in (0, 1)]
+    return (f"{s}0 AS u0, {s}1 AS u1, least({s}2, {', '.join(user)}) AS u2, "
+            f"least({s}3, {_edit(f'{s}2', '2', 'I', repr('assistant:'))}, {', '.join(again)}) AS u3")
+
+
+def _moved() -> str:
+    """States s0 to s3 after a row."""
+    gone = [_edit(f"u{i}", "3", "D", "") for i in range(4)]
+    kept = {i: _edit(f"u{i}", "(fault = 't')::BIGINT", "K", "role || ':' || text") for i in range(4)}
+    other = {i: _edit(f"u{i}", "2 + (fault = 't')::BIGINT", "R", f"'{'assistant' if i == 2 else 'user'}:' || text") for i in range(4)}
+
+    def may(ways: dict[int, str], at: tuple[int, ...], test: str) -> list[str]:
+        return [f"CASE WHEN fault IN ('k', 't') AND {test} THEN {ways[i]} END" for i in at]
+
+    return ", ".join([
+        f"{gone[0]} AS s0",
+        f"least({gone[1]}, {', '.join(may(kept, (0,), "role LIKE 's%'"))}) AS s1",
+        f"least({gone[2]}, {', '.join(may(kept, (0, 1, 3), "role LIKE 'u%'") + may(other, (0, 1, 3), 'true'))}) AS s2",
+        f"least({gone[3]}, {', '.join(may(kept, (2,), "role LIKE 'a%'") + may(other, (2,), 'true'))}) AS s3"])
+
+
+CONVERSATION_REPAIR = rf"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+sums AS (
+  SELECT k, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+      string_split(k, ''), lambda ch: [ord(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, b: CASE WHEN xor(c, b) % 2 = 1 THEN xor(xor(c, b) // 2, 3988292384) ELSE xor(c, b) // 2 END)) % 20 AS kind
+  FROM (SELECT DISTINCT k FROM keyed)),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM keyed JOIN sums USING (k) WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM damaged)),
+rows AS (
+  SELECT conv_id, turn, role, text, i, CASE
+      WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN nth > 1 THEN 'd'
+      WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'k' END AS fault,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (i > 1 AND before[1] || role[1] NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows GROUP BY conv_id),
+ways(conv_id, i, s0, s1, s2, s3) AS (
+  SELECT conv_id, 0::BIGINT, {{'c': 0, 'e': '', 't': []}}::{_STATE}, NULL::{_STATE}, NULL::{_STATE}, NULL::{_STATE} FROM counts
+  UNION ALL
+  SELECT conv_id, i, {_moved()}
+  FROM (SELECT w.conv_id, r.i, r.role, r.text, r.fault, {_inserted("w.s")}
+        FROM ways AS w JOIN rows AS r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1)),
+ended AS (
+  SELECT conv_id, i, least(u0, u3) AS best FROM (SELECT w.conv_id, w.i, {_inserted("w.s")} FROM ways AS w)),
+solved AS (
+  SELECT counts.*, best FROM ended JOIN counts ON ended.conv_id IS NOT DISTINCT FROM counts.conv_id AND ended.i = counts.n)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+       coalesce(best.e, '') AS audit, sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN solved ON solved.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+HARD_NEGATIVES = """
+WITH r AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM r AS a JOIN r AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id,
+       row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op4_substring_dedup": SUBSTRING_DEDUP,
     "op8_near_duplicates": NEAR_DUPLICATES,
     "op9_mixing": MIXING,
+    "op12_conversation_repair": CONVERSATION_REPAIR,
+    "op13_hard_negatives": HARD_NEGATIVES,
 }

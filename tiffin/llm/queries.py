@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tiffin.llm import (
     ann,
+    byte_bpe,
+    hard_negatives,
     mixing,
     neardup,
     oracles,
     packing,
     quality_ranker,
+    repair,
     sharding,
     substrings,
     token_counts,
@@ -112,6 +115,34 @@ def op10_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return ann.search(vectors, vectors.filter("vec_id % 20 = 0"), Stage(spark), 20)
 
 
+def op11_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Byte-level BPE ids of every text, and the bytes they decode to."""
+    vocabulary = byte_bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoded = byte_bpe.encode(_table(spark, sf, "documents"), vocabulary, ["doc_id"])
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return byte_bpe.decode(encoded, vocabulary).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """The cheapest repair of every damaged conversation."""
+    turns = _table(spark, sf, "conversations")
+    told = repair.report(repair.damaged(turns), Stage(spark)).withColumnRenamed("conv_id", "_conv")
+    every = turns.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(told, every["conv_id"].eqNullSafe(told["_conv"]), "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, where every seventh carries the next label."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf, "embeddings").select("vec_id", "embedding", shifted.alias("label"))
+    return hard_negatives.mine(rows, rows.filter("vec_id % 100 = 0"), Stage(spark))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     return corpus_pipeline.run(spark, sf)
@@ -132,7 +163,7 @@ def _prepared(query: Query) -> Query:
 
 QUERIES: dict[str, Query] = {f.__name__: _prepared(f) for f in (
     op1_token_counts, op2_quality, op3_toxicity, op4_substring_dedup, op5_winnowing, op6_sharding, op7_packing,
-    op8_near_duplicates, op9_mixing, op10_neighbours, pipeline,
+    op8_near_duplicates, op9_mixing, op10_neighbours, op11_byte_bpe, op12_conversation_repair, op13_hard_negatives, pipeline,
 )}
 
 ORACLES: dict[str, str] = oracles.ORACLES
