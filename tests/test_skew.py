@@ -4,6 +4,7 @@ import random
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -86,6 +87,25 @@ def test_transition_counts(spark, history):
         assert {r["e"]: r["n"] for r in counted.collect()} == expected
 
 
+@pytest.mark.parametrize("moments", [1, 3, 4000])
+def test_a_long_hour_is_cut_into_blocks(spark, moments):
+    """A third of all rows are one entity's in one hour, at few moments or at many."""
+    rng = random.Random(moments)
+    rows = [(1, 1_700_000_000_000_000 + rng.randrange(moments), i, rng.choice(["view", "buy", "other"])) for i in range(3000)]
+    rows += [(e, 1_700_000_000_000_000 + rng.randrange(10**11), i, rng.choice(["view", "buy"])) for i, e in enumerate([2, 3, None] * 2000)]
+    df = spark.createDataFrame(rows, "e long, us long, seq long, s string").withColumn("at", F.timestamp_micros("us"))
+    cut, block = skew.history_blocks(df, ["e"], "at", "seq", rows_per_block=200)
+    assert cut.groupBy("e", *block).count().agg(F.max("count")).first()[0] <= 420
+    ordered = cut.orderBy("e", *block, "at", "seq").select("e", "us", "seq").collect()
+    assert [tuple(r) for r in ordered] == sorted(((r[0], r[1], r[2]) for r in rows), key=lambda r: (r[0] is not None, *(v or 0 for v in r)))
+    expected = {}
+    for e in (1, 2, 3, None):
+        own = [s for *_, s in sorted((us, i, s) for x, us, i, s in rows if x == e)]
+        expected[e] = sum(a == "view" and b == "buy" for a, b in zip(own, own[1:]))
+    counted = skew.transition_counts(df, ["e"], "s", "at", "seq", "view", "buy", rows_per_block=200)
+    assert {r["e"]: r["n"] for r in counted.collect()} == expected
+
+
 def test_paged_lists_keep_every_value(spark):
     df = spark.range(25).select(F.lit("k").alias("k"), "id", F.col("id").cast("string").alias("v"))
     pages = skew.paged_lists(df, "k", "id", "v", "vs", page_rows=10).orderBy("page").collect()

@@ -130,24 +130,25 @@ def paged_lists(df: DataFrame, key: str, order_by: str, value: str, listed: str,
 
 
 def transition_counts(history: DataFrame, entity: Sequence[str], status: str, at: str, tie: str,
-                      before: str, after: str, bucket: str = "hour") -> DataFrame:
+                      before: str, after: str, bucket: str = "hour", rows_per_block: int | None = None) -> DataFrame:
     """How often ``status`` went from ``before`` straight to ``after``, per entity.
 
-    Rows are ordered by ``(at, tie)``.  An entity's history is cut into time
-    buckets; each bucket counts its own transitions and keeps its first and last
-    status, and the steps from one bucket to the next are counted on these
-    summaries.  A very long history is thus never sorted in one task.
+    Rows are ordered by ``(at, tie)``.  An entity's history is cut into blocks
+    (``history_blocks``); each block counts its own transitions and keeps its first and
+    last status, and the steps from one block to the next are counted on these
+    summaries.  So no task sorts more than a block, however many rows an entity
+    has in one bucket or at one moment.
     """
     entity = list(entity)
     order = F.struct(at, tie)
-    cut = history.withColumn("_bucket", F.date_trunc(bucket, F.col(at)))
-    previous = F.lag(status).over(Window.partitionBy(*entity, "_bucket").orderBy(at, tie))
+    cut, block = history_blocks(history, entity, at, tie, bucket, rows_per_block)
+    previous = F.lag(status).over(Window.partitionBy(*entity, *block).orderBy(at, tie))
     summary = (cut.withColumn("_previous", previous)
-               .groupBy(*entity, "_bucket")
+               .groupBy(*entity, *block)
                .agg(F.count_if(_step(F.col("_previous"), F.col(status), before, after)).alias("_inner"),
                     F.min_by(status, order).alias("_first"),
                     F.max_by(status, order).alias("_last")))
-    carried = F.lag("_last").over(Window.partitionBy(*entity).orderBy("_bucket"))
+    carried = F.lag("_last").over(Window.partitionBy(*entity).orderBy(*block))
     crossed = _step(F.col("_carried"), F.col("_first"), before, after).cast("long")
     return (summary.withColumn("_carried", carried)
             .groupBy(*entity)
@@ -155,6 +156,64 @@ def transition_counts(history: DataFrame, entity: Sequence[str], status: str, at
             .filter(F.col("n") > 0))
 
 
+def history_blocks(history: DataFrame, entity: Sequence[str], at: str, tie: str, bucket: str = "hour",
+                   rows_per_block: int | None = None) -> tuple[DataFrame, list[str]]:
+    """``history`` with columns that number the blocks of each entity in order of ``(at, tie)``, and their names.
+
+    A block is a time bucket.  Buckets are counted, and those with more than
+    ``rows_per_block`` rows (``ROWS_PER_SLICE``) are cut at quantiles of ``at``; a moment
+    that is a quantile itself is a block of its own, which, if still too large, is cut at
+    quantiles of ``tie`` (an integer).  Quantiles are approximate, so cutting is repeated
+    once; blocks are right wherever they are cut.
+    """
+    limit = rows_per_block or ROWS_PER_SLICE
+    cut, block = history.withColumn("_bucket", F.date_trunc(bucket, F.col(at))), ["_bucket"]
+    moment = F.unix_micros(F.col(at).cast("timestamp"))
+    whole = history.schema[tie].dataType.typeName() in ("long", "integer", "short", "byte")
+    counts = cut.groupBy(*entity, *block).agg(F.count(F.lit(1)).alias("n"))
+    facts = counts.agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    if (facts["most"] or 0) <= max(limit, (facts["all"] or 0) / HOT_KEYS):
+        return cut, block
+    for position, of_moment in ((moment, True), (moment, True), (F.col(tie).cast("long"), False), (F.col(tie).cast("long"), False)):
+        if of_moment or whole:
+            cut, block = _cut_hot(cut, [*entity, *block], block, position, moment, of_moment, limit)
+    return cut, block
+
+
+def _cut_hot(cut: DataFrame, keys: list[str], block: list[str], position: Column, moment: Column, of_moment: bool,
+             limit: int) -> tuple[DataFrame, list[str]]:
+    """Cut the large blocks at quantiles of ``position``: between two cuts lies a block, and each cut is one itself.
+
+    Blocks of many moments are cut by moment, those of one by the tie."""
+    several = F.coalesce(F.min(moment) < F.max(moment), F.lit(False))
+    counts = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), several.alias("_several"))
+    facts = counts.agg(F.max(F.when(F.col("_several") == of_moment, F.col("_n"))).alias("most"), F.sum("_n").alias("all")).first()
+    least = max(limit, (facts["all"] or 0) / HOT_KEYS)
+    if (facts["most"] or 0) <= least:
+        return cut, block
+    most = min(-(-facts["most"] // int(least)) + 1, 1000)
+    hot = counts.filter((F.col("_n") > least) & (F.col("_several") == of_moment)).select(
+        *[F.col(k).alias(f"_hot{i}") for i, k in enumerate(keys)],
+        F.least(F.ceil(F.col("_n") / least) + 1, F.lit(most)).cast("int").alias("_parts"))
+
+    def marked(rows: DataFrame, few: DataFrame, how: str) -> DataFrame:
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & rows[k].eqNullSafe(few[f"_hot{i}"])
+        return rows.join(F.broadcast(few), same, how)
+
+    shares = [i / most for i in range(1, most)]
+    found = marked(cut, hot, "inner").groupBy(*hot.columns).agg(
+        F.percentile_approx(position, shares, 10 * most).alias("_all"))
+    chosen = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1),
+                         lambda i: F.element_at("_all", (i * most / F.col("_parts")).cast("int")))
+    ends = found.select(*[c for c in hot.columns if c != "_parts"], F.array_distinct(chosen).alias("_ends"))
+    name = f"_cut{len(block)}"
+    number = 2 * F.size(F.filter("_ends", lambda e: e < position)) + F.coalesce(F.array_contains("_ends", position), F.lit(False)).cast("int")
+    out = marked(cut, ends, "left").withColumn(name, F.when(F.col("_ends").isNull(), 0).otherwise(number)).select(*cut.columns, name)
+    return out, [*block, name]
+
+
 def _step(old: Column, new: Column, before: str, after: str) -> Column:
     return (old == before) & (new == after)
 

@@ -6,7 +6,7 @@ Each judged micro-batch is written once, split into the folders
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +16,9 @@ from pyspark.sql.streaming import DataStreamWriter
 from tiffin.operators.admission import admit_applications
 from tiffin.operators.cross_rules import check_discount_cap, check_line_restaurant
 from tiffin.operators.quality import narrow
-from tiffin.operators.rollups import discount_usage, order_totals
+from tiffin.operators.rollups import order_totals
 from tiffin.streaming.sinks import log_writer, open_log, rewrite
+from tiffin.streaming.state import BucketStore
 
 Tables = Mapping[str, DataFrame]
 
@@ -40,62 +41,92 @@ def _flag(judged: DataFrame, schema: T.StructType) -> DataFrame:
     return judged.select(*schema.names, F.col("error").isNull().alias("accepted"))
 
 
-def _named(table: DataFrame, key: str, batch: DataFrame, batch_key: str) -> DataFrame:
-    """The stored rows that the batch names: the table is scanned, not shuffled, for a small batch."""
-    return narrow(table, batch.select(F.col(batch_key).alias(key)), [key])
+#: The key by which a batch looks up each stored table.
+REFERENCES = {"food_order": "ID", "food_item": "ID", "contain": "FOID", "apply_for": "FOID"}
 
 
-def _written(table: DataFrame, key: str, batch: DataFrame, batch_key: str, path: str) -> DataFrame:
-    """As ``_named``, written out, so that a join with them is a plain one that AQE can split by a hot key."""
-    return rewrite(_named(table, key, batch, batch_key), path)
+def keep_references(spark: SparkSession, t: Tables, path: str, names: Sequence[str],
+                    buckets: int = 64) -> dict[str, BucketStore]:
+    """Stored tables laid out by key under ``path``, once: from then on a batch reads the buckets of its own keys."""
+    return {name: BucketStore(f"{path}/{name}", t[name].schema, [REFERENCES[name]], buckets).open(spark, t[name])
+            for name in names}
 
 
-def _totals(t: Tables, batch: DataFrame) -> DataFrame:
-    return order_totals(narrow(t["contain"], batch, ["FOID"]), t["food_item"])
+def _named(t: Tables, name: str, batch: DataFrame, batch_key: str, kept: Mapping[str, BucketStore]) -> DataFrame:
+    """The rows of a stored table that the batch names: from its buckets, or by a scan where it is not kept in such."""
+    key = REFERENCES[name]
+    if name in kept:
+        return kept[name].near(batch, [batch_key])
+    return narrow(t[name], batch.select(F.col(batch_key).alias(key)), [key])
 
 
-def guard_lines(lines: DataFrame, t: Tables, path: str, checkpoint: str) -> DataStreamWriter:
-    """Lines whose item is of another restaurant than their order are refused."""
+def guard_lines(lines: DataFrame, t: Tables, path: str, checkpoint: str,
+                kept: Mapping[str, BucketStore] | None = None) -> DataStreamWriter:
+    """Lines whose item is of another restaurant than their order are refused.
+
+    ``kept`` (``keep_references``) holds tables that need not be scanned for every batch."""
 
     def settle(batch: DataFrame, _: int) -> DataFrame:
-        judged = check_line_restaurant(
-            batch, _written(t["food_order"], "ID", batch, "FOID", f"{path}-orders"),
-            _written(t["food_item"], "ID", batch, "FIID", f"{path}-items"), t["category"])
-        return _flag(judged, LINES)
+        # written out, so that the joins with them are plain ones that AQE can split by a hot key
+        orders = rewrite(_named(t, "food_order", batch, "FOID", kept or {}), f"{path}-orders")
+        items = rewrite(_named(t, "food_item", batch, "FIID", kept or {}), f"{path}-items")
+        return _flag(check_line_restaurant(batch, orders, items, t["category"]), LINES)
 
     return log_writer(lines, path, checkpoint, settle, partition_by=["accepted"])
 
 
-def guard_applications(applications: DataFrame, t: Tables, path: str, checkpoint: str) -> DataStreamWriter:
+def _totals(t: Tables, batch: DataFrame, kept: Mapping[str, BucketStore]) -> DataFrame:
+    return order_totals(_named(t, "contain", batch, "FOID", kept), t["food_item"])
+
+
+def guard_applications(applications: DataFrame, t: Tables, path: str, checkpoint: str,
+                       kept: Mapping[str, BucketStore] | None = None) -> DataStreamWriter:
     """Applications over the discount cap are refused."""
 
     def settle(batch: DataFrame, _: int) -> DataFrame:
-        return _flag(check_discount_cap(batch, t["discount_from_restaurant"], _totals(t, batch)), APPLICATIONS)
+        return _flag(check_discount_cap(batch, t["discount_from_restaurant"], _totals(t, batch, kept or {})), APPLICATIONS)
 
     return log_writer(applications, path, checkpoint, settle, partition_by=["accepted"])
 
 
-def admission(applications: DataFrame, t: Tables, path: str, checkpoint: str,
-              stored: bool = True) -> DataStreamWriter:
+USED = T.StructType([T.StructField("DFRcode", T.StringType()), T.StructField("n", T.LongType())])
+TAKEN = T.StructType([T.StructField("DFRcode", T.StringType()), T.StructField("FOID", T.LongType())])
+
+
+def admission(applications: DataFrame, t: Tables, path: str, checkpoint: str, stored: bool = True,
+              kept: Mapping[str, BucketStore] | None = None, buckets: int = 64) -> DataStreamWriter:
     """Applications are admitted while their discount has uses left, batch after batch.
 
     What earlier batches admitted raises the used counts and holds the keys, as do
     the applications in ``t`` unless ``stored`` is false (then ``t`` need not hold
-    any); the batch itself is ordered by ``seq``.
+    any); the batch itself is ordered by ``seq``.  Counts lie by code in
+    ``{path}-used``, pairs by order in ``{path}-taken``: a batch reads and rewrites
+    the buckets of its own codes and orders.
     """
-    # the folder of an admitted batch, empty, so that the first batch finds a log to read
-    open_log(applications.sparkSession, path, APPLICATIONS, "accepted=true")
+    spark = applications.sparkSession
+    open_log(spark, path, APPLICATIONS, "accepted=true")
+    counts = BucketStore(f"{path}-used", USED, ["DFRcode"], buckets).open(spark)
+    pairs = BucketStore(f"{path}-taken", TAKEN, ["FOID"], buckets).open(spark)
 
     def settle(batch: DataFrame, batch_id: int) -> DataFrame:
-        earlier = (read_judged(batch.sparkSession, path, APPLICATIONS)
-                   .filter((F.col("batch_id") < batch_id) & F.col("accepted")))
-        used = discount_usage(t["discount_from_restaurant"], earlier)
-        taken = earlier.select("DFRcode", "FOID")
+        own = batch.sparkSession
+        for store in (counts, pairs):
+            store.prune(own, batch_id)
+        asked = rewrite(batch, f"{path}-asked")
+        codes, orders = counts.touched(asked), pairs.touched(asked)
+        used, taken = counts.read(own, codes, batch_id), pairs.read(own, orders, batch_id)
+        discounts = t["discount_from_restaurant"].join(used.select(F.col("DFRcode").alias("code"), "n"), "code", "left").withColumn(
+            "used_Count", F.col("used_Count") + F.coalesce("n", F.lit(0))).drop("n")
+        existing = narrow(taken, asked, ["FOID"])
         if stored:
-            taken = taken.unionByName(t["apply_for"].select("DFRcode", "FOID"))
-        judged = admit_applications(batch, used, _named(t["food_order"], "ID", batch, "FOID"), _totals(t, batch),
-                                    existing=taken,
-                                    stage=lambda df: rewrite(df, f"{path}-stage"))
+            existing = existing.unionByName(_named(t, "apply_for", asked, "FOID", kept or {}).select("DFRcode", "FOID"))
+        judged = rewrite(admit_applications(
+            asked, discounts, _named(t, "food_order", asked, "FOID", kept or {}), _totals(t, asked, kept or {}),
+            existing=existing, stage=lambda df: rewrite(df, f"{path}-stage")), f"{path}-judged")
+        new = judged.filter(F.col("error").isNull()).select("DFRcode", "FOID")
+        more = new.groupBy("DFRcode").agg(F.count(F.lit(1)).alias("n"))
+        counts.write(batch_id, used.unionByName(more).groupBy("DFRcode").agg(F.sum("n").alias("n")), codes)
+        pairs.write(batch_id, taken.unionByName(new), orders)
         return _flag(judged, APPLICATIONS)
 
     return log_writer(applications, path, checkpoint, settle, partition_by=["accepted"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +39,13 @@ def latest(log: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def log_writer(stream: DataFrame, path: str, checkpoint: str, settle: Settle | None = None,
-               mode: str = "append", partition_by: Sequence[str] = ()) -> DataStreamWriter:
-    """Write every micro-batch, after ``settle``, to its own ``batch_id`` folder."""
+               mode: str = "append", partition_by: Sequence[str] = (),
+               trigger: Mapping[str, object] | None = None) -> DataStreamWriter:
+    """Write every micro-batch, after ``settle``, to its own ``batch_id`` folder.
+
+    ``trigger`` holds the arguments of the writer's trigger, for example
+    ``{"processingTime": "1 minute"}``; by default the stream ends when it has read what is there.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = settle(batch, batch_id) if settle else batch
@@ -51,7 +56,7 @@ def log_writer(stream: DataFrame, path: str, checkpoint: str, settle: Settle | N
 
     return (stream.writeStream.outputMode(mode)
             .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
+            .trigger(**(trigger or {"availableNow": True}))
             .foreachBatch(write))
 
 
