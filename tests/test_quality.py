@@ -99,19 +99,47 @@ def test_load_rows(spark, seed):
     assert added == {42: "new", 46: "next"}
     assert {r["seq"]: r["error"] for r in rejects.collect()} == {
         2: "price_positive", 3: "foreign_key_categoryID", 4: "not_null"}
-    with pytest.raises(Exception, match="food_item: "):
-        loading.load_rows(seed, "food_item", rows, strict=True)[0].collect()
+    with pytest.raises(loading.LoadRefused, match="food_item: "):
+        loading.load_rows(seed, "food_item", rows, strict=True)
     fine = rows.filter("seq IN (1, 5)")
     assert loading.load_rows(seed, "food_item", fine, strict=True)[0].count() == 43
 
 
+def test_a_strict_load_is_judged_while_its_rows_are_written(spark, seed, tmp_path):
+    writes = []
+
+    def stage(df):
+        path = f"{tmp_path}/{len(writes)}"
+        df.write.parquet(path)
+        writes.append(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    rows = spark.createDataFrame(
+        [(1, "a", 0, 3), (2, "b", 5, 99), (3, "c", -1, 99), (4, "d", 9, 3)], "seq long, name string, price int, categoryID long")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("strict", "strict")
+    try:
+        with pytest.raises(loading.LoadRefused) as told:
+            loading.load_rows(seed, "food_item", rows, strict=True, stage=stage)
+        during = set(jobs.getJobIdsForGroup("strict"))
+        spark.sparkContext.setJobGroup("again", "again")
+        spark.read.parquet(writes[0]).count()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert told.value.refused == {"price_positive": 2, "foreign_key_categoryID": 1}
+    assert len(writes) == 1 and during  # nothing ran after the one write
+
+
 def test_load_rows_with_a_given_key(spark, seed):
     rows = spark.createDataFrame([(1, 3, 1, 2), (2, 3, 5, 2), (3, 3, 5, 9), (4, 99, 5, 9)],
                                  "seq long, FOID long, FIID long, quantity int")
     table, rejects = loading.load_rows(seed, "contain", rows)
     assert table.count() == 63
     assert {r["seq"]: r["error"] for r in rejects.collect()} == {
-        1: "unique_FOID_FIID", 3: "unique_FOID_FIID", 4: "foreign_key_FOID"}
+        1: "key_FOID_FIID", 3: "key_FOID_FIID", 4: "foreign_key_FOID"}
+    with pytest.raises(loading.LoadRefused) as told:
+        loading.load_rows(seed, "contain", rows.filter("seq < 4"), strict=True)
+    assert told.value.refused == {"key_FOID_FIID": 2}
 
 
 def test_csv_rows(spark, tmp_path):
@@ -132,8 +160,10 @@ def test_clustered_tables_are_sorted_by_key(spark, seed, tmp_path):
     publish(spark, {"contain": seed["contain"]}, str(tmp_path), 1, clustered=True)
     table = open_latest(spark, str(tmp_path))["contain"]
     assert table.count() == 62
-    rows = [(r["FOID"], r["FIID"]) for r in table.coalesce(1).collect()] if table.rdd.getNumPartitions() == 1 else []
-    assert rows == sorted(rows)
+    parts = table.withColumn("part", F.spark_partition_id()).collect()
+    for part in {r["part"] for r in parts}:
+        rows = [(r["FOID"], r["FIID"]) for r in parts if r["part"] == part]
+        assert rows and rows == sorted(rows)
 
 
 def test_lookup(spark, seed):

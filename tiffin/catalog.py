@@ -14,8 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiffin.functions import rules, text
-from tiffin.operators import admission, cross_rules, quality, rollups
+from tiffin.functions import lookups, rules, text
+from tiffin.operators import admission, cross_rules, maintained, quality, rollups
 from tiffin.plans import cascade, changes, reports
 from tiffin.session import durable, name_local_dir, shared_dir
 from tiffin.sources import loading, tables, testdata
@@ -26,8 +26,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # ---------------------------------------------------------------- reports
 
-def _report(report: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
-    return lambda spark, sf: report(testdata.load(spark, sf))
+def _report(report: Callable[[dict[str, DataFrame]], DataFrame], load: Callable = testdata.load) -> Query:
+    return lambda spark, sf: report(load(spark, sf))
 
 
 def restaurant_categories(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,7 +36,7 @@ def restaurant_categories(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def refine_orders(spark: SparkSession, sf: str) -> DataFrame:
-    report = reports.orders_with_discounts(testdata.load(spark, sf))
+    report = reports.orders_with_discounts(testdata.load_by_priority(spark, sf))
     return reports.refine(report, status="delivered", rating=3, sort_key="TotalDiscount", ascending=False)
 
 
@@ -46,28 +46,54 @@ def refine_orders_by_name(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def count_items(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.count_items(count_requests(spark, sf), testdata.load(spark, sf))
+
+
+def count_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Each part asks for its category, under a good, a malformed or an unknown restaurant name."""
     part = testdata.raw(spark, sf, "part")
     category = testdata.category_id()
-    requests = part.select(
+    return part.select(
         F.col("p_partkey").alias("seq"),
         F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).when(F.col("p_size") % 5 == 0, "Nowhere Town")
         .otherwise(testdata.restaurant_name()).alias("restaurant_name"),
         F.when(F.col("p_size") % 7 == 0, -category).when(F.col("p_size") % 11 == 0, category + 10)
         .otherwise(category).alias("category_id"))
-    return reports.count_items(requests, testdata.load(spark, sf))
 
 
 def categorize_items(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.categorize_items(level_requests(spark, sf), testdata.load(spark, sf))
+
+
+def level_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Each part asks for the level of its name, some with a malformed restaurant or item name."""
-    requests = testdata.raw(spark, sf, "part").select(
+    return testdata.raw(spark, sf, "part").select(
         F.col("p_partkey").alias("seq"),
         F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).otherwise(testdata.restaurant_name())
         .alias("restaurant_name"),
         F.when(F.col("p_size") % 5 == 0, F.concat("p_name", F.lit("/x")))
         .when(F.col("p_size") % 7 == 0, F.concat("p_name", F.lit("#1"))).otherwise(F.col("p_name"))
         .alias("food_name"))
-    return reports.categorize_items(requests, testdata.load(spark, sf))
+
+
+def count_food_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """The counts by the SQL function over a whole table of requests; a refused request has none."""
+    lookups.register_lookups(spark, testdata.load(spark, sf), strict=False)
+    return spark.sql("SELECT seq, count_food(restaurant_name, category_id) AS total_food FROM {asked}", asked=count_requests(spark, sf))
+
+
+def categorize_food_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """The levels by the SQL function over a whole table of requests."""
+    lookups.register_lookups(spark, testdata.load(spark, sf), strict=False)
+    return spark.sql("SELECT seq, categorize_food(restaurant_name, food_name) AS price_level FROM {asked}",
+                     asked=level_requests(spark, sf))
+
+
+def price_levels_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """The items of every restaurant with their level, by the table function."""
+    t = testdata.load(spark, sf)
+    lookups.register_lookups(spark, t, strict=False)
+    return spark.sql("SELECT r.ID AS RID, l.ID, l.name, l.price, l.price_level FROM {r} r, LATERAL price_levels_of(r.name) l", r=t["restaurant"])
 
 
 def resolve_category(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,7 +140,7 @@ def price_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def application_requests(orders: DataFrame) -> DataFrame:
-    """Applications of all discounted orders; urgent ones apply once more with a code that may be
+    """Applications of all orders; urgent ones apply once more with a code that may be
     unknown, high ones repeat their application."""
     first = testdata.applications(orders).withColumn("seq", F.col("FOID") * 2)
     again = orders.filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select(
@@ -359,7 +385,7 @@ def update_items(spark: SparkSession, sf: str) -> DataFrame:
     requests = item_requests(spark, sf)
     wanted = testdata.raw(spark, sf, "orders").select(
         F.col("o_orderkey").alias("seq"), (F.col("o_custkey") * 2).alias("ID"))
-    change = changes.update_items(t["food_item"], t["category"], requests.join(wanted, "seq"))
+    change = changes.update_items(t["food_item"], t["category"], requests.join(wanted, "seq"), stage=durable)
     return _outcome(change.table, change.rejects, ["ID", "name", "price", "categoryID"])
 
 
@@ -378,21 +404,50 @@ def _removed(result: cascade.CascadeResult, rejects: DataFrame | None = None) ->
         F.lit("request").alias("table"), F.col("seq").cast("string").alias("key"), "error"))
 
 
-def delete_items(spark: SparkSession, sf: str) -> DataFrame:
-    requests = testdata.raw(spark, sf, "orders").select(
+def item_deletions(spark: SparkSession, sf: str) -> DataFrame:
+    return testdata.raw(spark, sf, "orders").select(
         F.col("o_orderkey").alias("seq"), (F.col("o_custkey") * 4).alias("ID"))
-    done = changes.delete_items(testdata.load(spark, sf), requests, stage=durable)
-    return _removed(done.cascade, done.rejects)
 
 
-def delete_orders(spark: SparkSession, sf: str) -> DataFrame:
+def order_deletions(spark: SparkSession, sf: str) -> DataFrame:
     """Each pair of events asks twice for one order; every other order, and some that do not exist."""
-    requests = testdata.raw(spark, sf, "events").select(
+    return testdata.raw(spark, sf, "events").select(
         F.col("event_id").alias("seq"), (F.shiftright("event_id", 1) * 4).alias("ID"))
-    done = changes.delete_orders(testdata.load(spark, sf), requests, stage=durable)
+
+
+def delete_items(spark: SparkSession, sf: str) -> DataFrame:
+    done = changes.delete_items(testdata.load(spark, sf), item_deletions(spark, sf), stage=durable)
+    return _removed(done.cascade, done.rejects)
+
+
+def delete_orders(spark: SparkSession, sf: str) -> DataFrame:
+    done = changes.delete_orders(testdata.load(spark, sf), order_deletions(spark, sf), stage=durable)
     return _removed(done.cascade, done.rejects)
 
 
+def maintained_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored order totals after items changed their price and items and orders were deleted, by the changes alone."""
+    t = testdata.load(spark, sf)
+    stored = durable(maintained.stored_totals(t["contain"], t["food_item"]))
+    wanted = testdata.raw(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), (F.col("o_custkey") * 2).alias("ID"))
+    change = changes.update_items(t["food_item"], t["category"], item_requests(spark, sf).join(wanted, "seq"), stage=durable)
+    lines = [done.cascade.deleted["contain"] for done in (
+        changes.delete_items(t, item_deletions(spark, sf), stage=durable),
+        changes.delete_orders(t, order_deletions(spark, sf), stage=durable))]
+    moved = maintained.total_changes(t, removed=lines[0].unionByName(lines[1]), items=change.table, stage=durable)
+    return maintained.merged(stored, moved, "FOID", ["total", "lines"], "lines", stage=durable)
+
+
+def maintained_usage(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored counts of applications after orders were deleted and the exchange of codes brought new ones."""
+    t = testdata.load(spark, sf)
+    stored = durable(t["apply_for"].groupBy("DFRcode").agg(F.count(F.lit(1)).alias("n")))
+    gone = changes.delete_orders(t, order_deletions(spark, sf), stage=durable).cascade.deleted["apply_for"]
+    added = testdata.raw(spark, sf, "orders").select(
+        F.concat(F.lit("DIS_"), (F.col("o_orderkey") % 7).cast("string")).alias("DFRcode"), F.col("o_orderkey").alias("FOID"))
+    return maintained.merged(stored, maintained.usage_changes(gone, added), "DFRcode", ["n"], "n", stage=durable)
+
+
 def add_accounts(spark: SparkSession, sf: str) -> DataFrame:
     """Events register their user; errors ask for a name in use; passwords have 5 to 9 bytes."""
     t = testdata.load(spark, sf)
@@ -450,13 +505,13 @@ def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
     """Customers in debt leave with their orders, lines, applications and points."""
     debtors = testdata.raw(spark, sf, "customer").filter(F.col("c_acctbal") < 0).select(
         (F.col("c_custkey") + testdata.CUSTOMER_SHIFT).alias("ID"))
-    return _removed(cascade.cascade_delete(testdata.load(spark, sf), "customer", debtors))
+    return _removed(cascade.cascade_delete(testdata.load(spark, sf), "customer", debtors, stage=durable))
 
 
 def retire_discounts(spark: SparkSession, sf: str) -> DataFrame:
     t = testdata.load(spark, sf)
     t["discount_from_restaurant"] = rollups.discount_usage(t["discount_from_restaurant"], t["apply_for"])
-    return _removed(changes.retire_discounts(t))
+    return _removed(changes.retire_discounts(t, stage=durable))
 
 
 def load_defaults_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -495,17 +550,28 @@ def text_formats_sql(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- streams
 
+def _shuffled(spark: SparkSession, sf: str, name: str, key: str, count: int = 3) -> DataFrame:
+    """A table as a stream of micro-batches that rows are dealt to by a hash of ``key``, whatever their time."""
+    table = testdata.raw(spark, sf, name)
+    path = _folder(spark, f"source-{name}")
+    files = max(2, table.rdd.getNumPartitions())
+    for i in range(count):
+        table.filter(F.pmod(F.xxhash64(key), F.lit(count)) == i).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def _in_batches(spark: SparkSession, sf: str, name: str, by: str, count: int = 3) -> DataFrame:
-    """A table as a stream of micro-batches: its rows in order of ``by``, a file for each third."""
+    """A table as a stream of micro-batches: its rows in order of ``by``, as many files for each third as a scan has tasks."""
     table = testdata.raw(spark, sf, name)
     path = _folder(spark, f"source-{name}")
     ends = table.agg(F.percentile_approx(F.col(by).cast("timestamp").cast("double") if by == "ts" else F.col(by).cast("double"),
                                          [i / count for i in range(1, count)], 10_000).alias("ends")).first().ends
     place = F.col(by).cast("timestamp").cast("double") if by == "ts" else F.col(by).cast("double")
     part = sum((F.when(place > end, 1).otherwise(0) for end in ends), F.lit(0))
+    files = max(2, table.rdd.getNumPartitions())
     for i in range(count):
-        table.filter(part == i).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        table.filter(part == i).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 _BY = {"events": "ts", "lineitem": "l_orderkey", "orders": "o_orderkey"}
@@ -515,6 +581,11 @@ def _stream(spark: SparkSession, sf: str, name: str, several: bool) -> DataFrame
     return _in_batches(spark, sf, name, _BY[name]) if several else testdata.raw_stream(spark, sf, name)
 
 
+def _buckets(spark: SparkSession) -> int:
+    """As many buckets for kept state as a shuffle has partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tiffin-{name}-{uuid.uuid4().hex}"
 
@@ -536,7 +607,17 @@ def stream_points(spark: SparkSession, sf: str, several: bool = False) -> DataFr
 def stream_points_from_snapshots(spark: SparkSession, sf: str, several: bool = False) -> DataFrame:
     path = _folder(spark, "snapshots")
     snapshots = testdata.status_snapshots(_stream(spark, sf, "events", several))
-    sinks.drain(maintenance.points_from_snapshot_stream(snapshots, path, f"{path}/checkpoint"))
+    sinks.drain(maintenance.points_from_snapshot_stream(snapshots, path, f"{path}/checkpoint", buckets=_buckets(spark)))
+    return maintenance.points_so_far(spark, path)
+
+
+def stream_points_late(spark: SparkSession, sf: str) -> DataFrame:
+    """Points from order states that arrive in any order, each of them twice."""
+    path = _folder(spark, "late")
+    states = testdata.status_snapshots(_shuffled(spark, sf, "events", "event_id"))
+    again = testdata.status_snapshots(_shuffled(spark, sf, "events", "ts"))
+    sinks.drain(maintenance.points_from_snapshot_stream(
+        states.unionByName(again), path, f"{path}/checkpoint", buckets=_buckets(spark)))
     return maintenance.points_so_far(spark, path)
 
 
@@ -555,23 +636,27 @@ def stream_usage(spark: SparkSession, sf: str, several: bool = False) -> DataFra
 
 def stream_rejects(spark: SparkSession, sf: str, several: bool = False) -> DataFrame:
     path = _folder(spark, "lines")
-    lines = testdata.contain_raw(_stream(spark, sf, "lineitem", several))
-    sinks.drain(guards.guard_lines(lines, testdata.load(spark, sf), f"{path}/log", f"{path}/checkpoint"))
+    lines, t = testdata.contain_raw(_stream(spark, sf, "lineitem", several)), testdata.load(spark, sf)
+    kept = guards.keep_references(spark, t, f"{path}/kept", ["food_order"], _buckets(spark)) if several else None
+    sinks.drain(guards.guard_lines(lines, t, f"{path}/log", f"{path}/checkpoint", kept))
     return guards.read_judged(spark, f"{path}/log", guards.LINES).drop("batch_id")
 
 
 def stream_discount_rejects(spark: SparkSession, sf: str, several: bool = False) -> DataFrame:
     path = _folder(spark, "applications")
-    applied = application_requests(_stream(spark, sf, "orders", several))
-    sinks.drain(guards.guard_applications(applied, testdata.load(spark, sf), f"{path}/log", f"{path}/checkpoint"))
+    applied, t = application_requests(_stream(spark, sf, "orders", several)), testdata.load(spark, sf)
+    kept = guards.keep_references(spark, t, f"{path}/kept", ["contain"], _buckets(spark)) if several else None
+    sinks.drain(guards.guard_applications(applied, t, f"{path}/log", f"{path}/checkpoint", kept))
     return guards.read_judged(spark, f"{path}/log", guards.APPLICATIONS).drop("batch_id")
 
 
 def stream_admission(spark: SparkSession, sf: str, several: bool = False) -> DataFrame:
     path = _folder(spark, "admission")
-    applied = application_requests(_stream(spark, sf, "orders", several))
+    applied, t = application_requests(_stream(spark, sf, "orders", several)), testdata.load(spark, sf)
+    kept = guards.keep_references(spark, t, f"{path}/kept", ["contain", "food_order"], _buckets(spark)) if several else None
     # the stored applications are the same orders' own and are left out
-    sinks.drain(guards.admission(applied, testdata.load(spark, sf), f"{path}/log", f"{path}/checkpoint", stored=False))
+    sinks.drain(guards.admission(applied, t, f"{path}/log", f"{path}/checkpoint", stored=False, kept=kept,
+                                 buckets=_buckets(spark)))
     return guards.read_judged(spark, f"{path}/log", guards.APPLICATIONS).drop("batch_id", "accepted")
 
 
@@ -583,12 +668,12 @@ def _several(query: Callable[..., DataFrame]) -> Query:
 # ---------------------------------------------------------------- reports and look-ups with parameters
 
 def orders_with_discounts_of_customer(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.orders_with_discounts(testdata.load(spark, sf), customer_id=testdata.CUSTOMER_SHIFT + 4)
+    return reports.orders_with_discounts(testdata.load_by_priority(spark, sf), customer_id=testdata.CUSTOMER_SHIFT + 4)
 
 
 def orders_with_several_discounts(spark: SparkSession, sf: str) -> DataFrame:
     """High orders apply a second discount, their customer's own; discounts of one kind are added up."""
-    t = testdata.load(spark, sf)
+    t = testdata.load_by_priority(spark, sf)
     second = testdata.raw(spark, sf, "orders").filter(F.col("o_orderpriority") == "2-HIGH").select(
         F.concat(F.lit("DIS_"), (F.col("o_orderkey") % 7).cast("string")).alias("DFRcode"),
         F.col("o_orderkey").alias("FOID"))
@@ -616,7 +701,7 @@ def lookup_items_listed(spark: SparkSession, sf: str) -> DataFrame:
 def load_items_csv(spark: SparkSession, sf: str) -> DataFrame:
     """The item requests as CSV files, loaded with rejects."""
     path = _folder(spark, "csv")
-    item_requests(spark, sf).select("name", "price", "image", "categoryID").coalesce(4).write.option("header", True).option(
+    item_requests(spark, sf).select("name", "price", "image", "categoryID").write.option("header", True).option(
         "nullValue", "\\N").csv(path)
     t = testdata.load(spark, sf)
     rows = loading.read_csv_rows(spark, path, "food_item", ["name", "price", "image", "categoryID"], "\\N")
@@ -635,6 +720,17 @@ def load_items_strict(spark: SparkSession, sf: str) -> DataFrame:
     return table.select("ID", "name", "price", "categoryID")
 
 
+def load_items_refused(spark: SparkSession, sf: str) -> DataFrame:
+    """A strict load of all item requests: it is refused, and tells how many rows each rule refused."""
+    rows = item_requests(spark, sf).drop("image")
+    try:
+        loading.load_rows(testdata.load(spark, sf), "food_item", rows, strict=True, stage=durable)
+        refused = {}
+    except loading.LoadRefused as told:
+        refused = told.refused
+    return spark.createDataFrame(list(refused.items()), "rule string, refused long")
+
+
 def _prepared(query: Query) -> Query:
     """Name a staging folder first where a local session has none."""
     @functools.wraps(query)
@@ -649,13 +745,16 @@ QUERIES: dict[str, Query] = {
     "restaurant_categories": restaurant_categories,
     "category_directory": _report(reports.category_directory),
     "customer_directory": _report(reports.customer_directory),
-    "orders_with_discounts": _report(reports.orders_with_discounts),
+    "orders_with_discounts": _report(reports.orders_with_discounts, testdata.load_by_priority),
     "orders_by_category": _report(reports.orders_by_category),
     "item_counts": _report(reports.item_counts),
     "count_items": count_items,
     "price_levels": _report(reports.price_levels),
     "price_stats": price_stats,
     "categorize_items": categorize_items,
+    "count_food_sql": count_food_sql,
+    "categorize_food_sql": categorize_food_sql,
+    "price_levels_sql": price_levels_sql,
     "resolve_category": resolve_category,
     "refine_orders": refine_orders,
     "refine_orders_by_name": refine_orders_by_name,
@@ -690,6 +789,8 @@ QUERIES: dict[str, Query] = {
     "update_items_by_name": update_items_by_name,
     "delete_items": delete_items,
     "delete_orders": delete_orders,
+    "maintained_totals": maintained_totals,
+    "maintained_usage": maintained_usage,
     "add_accounts": add_accounts,
     "add_customers": add_customers,
     "delete_accounts": delete_accounts,
@@ -701,6 +802,7 @@ QUERIES: dict[str, Query] = {
     "text_formats_sql": text_formats_sql,
     "stream_points": stream_points,
     "stream_points_from_snapshots": stream_points_from_snapshots,
+    "stream_points_late": stream_points_late,
     "stream_order_cost": stream_order_cost,
     "stream_usage": stream_usage,
     "stream_rejects": stream_rejects,
@@ -721,5 +823,6 @@ QUERIES: dict[str, Query] = {
     "lookup_items_listed": lookup_items_listed,
     "load_items_csv": load_items_csv,
     "load_items_strict": load_items_strict,
+    "load_items_refused": load_items_refused,
 }
 QUERIES = {name: _prepared(query) for name, query in QUERIES.items()}

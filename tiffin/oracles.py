@@ -46,14 +46,17 @@ t_line_raw AS (
   SELECT l_orderkey AS FOID, l_partkey AS FIID, CAST(l_quantity AS INT) AS quantity FROM lineitem),
 t_line AS (SELECT FOID, FIID, CAST(sum(quantity) AS INT) AS quantity FROM t_line_raw GROUP BY ALL),
 t_apply AS (
+  SELECT 'DIS_' || (o_custkey >> 4) AS DFRcode, o_orderkey AS FOID FROM orders),
+t_apply_some AS (
   SELECT 'DIS_' || (o_custkey >> 4) AS DFRcode, o_orderkey AS FOID FROM orders
   WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')),
 t_use AS (
-  SELECT DISTINCT o_custkey + 1000 AS CID, 'DIS_' || (o_custkey >> 4) AS DFRcode FROM orders
-  WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')),
+  SELECT DISTINCT o_custkey + 1000 AS CID, 'DIS_' || (o_custkey >> 4) AS DFRcode FROM orders),
 t_points AS (
   SELECT 'EXC_' || o_orderkey AS code, CAST(o_custkey % 90 * 1000 + 10000 AS INT) AS value, o_custkey + 1000 AS CID,
-         o_orderkey AS FOID FROM orders
+         o_orderkey AS FOID FROM orders),
+t_points_some AS (
+  SELECT t_points.* FROM t_points JOIN orders ON FOID = o_orderkey
   WHERE o_orderpriority IN ('3-MEDIUM', '4-NOT SPECIFIED')),
 t_total AS (
   SELECT FOID, CAST(sum(CAST(price AS BIGINT) * quantity) AS BIGINT) AS total
@@ -66,8 +69,8 @@ t_report AS (
          CAST(coalesce(p.value, 0) AS BIGINT) AS ExchangePointDiscount,
          CAST(coalesce(r.value, 0) AS BIGINT) + CAST(coalesce(p.value, 0) AS BIGINT) AS TotalDiscount
   FROM t_order o LEFT JOIN t_total ON t_total.FOID = o.ID
-  LEFT JOIN (SELECT FOID, value FROM t_apply JOIN t_dfr ON DFRcode = code) r ON r.FOID = o.ID
-  LEFT JOIN t_points p ON p.FOID = o.ID
+  LEFT JOIN (SELECT FOID, value FROM t_apply_some JOIN t_dfr ON DFRcode = code) r ON r.FOID = o.ID
+  LEFT JOIN t_points_some p ON p.FOID = o.ID
   WHERE r.FOID IS NOT NULL OR p.FOID IS NOT NULL),
 t_by_category AS (
   SELECT categoryID, o.ID AS OrderID, order_time_stamp AS OrderTime, rating, c.name AS CustomerName,
@@ -290,6 +293,38 @@ judged AS (
   FROM asked a LEFT JOIN named n ON n.rname = a.restaurant_name AND n.name = a.food_name)
 SELECT seq, restaurant_name, food_name, CASE WHEN error IS NULL THEN price_level END AS price_level, error
 FROM judged""",
+    "count_food_sql": f""",
+asked AS (
+  SELECT ID AS seq, CASE WHEN p_size % 3 = 0 THEN p_brand WHEN p_size % 5 = 0 THEN 'Nowhere Town' ELSE rname END
+         AS restaurant_name,
+         CASE WHEN p_size % 7 = 0 THEN -categoryID WHEN p_size % 11 = 0 THEN categoryID + 10 ELSE categoryID END
+         AS category_id FROM t_item),
+judged AS (
+  SELECT *, CASE WHEN category_id < 0 THEN 'Category ID must be positive'
+                 WHEN NOT regexp_matches(restaurant_name, '{rules.RESTAURANT_NAME}')
+                 THEN 'Wrong restaurant format name!'
+                 WHEN restaurant_name NOT IN (SELECT name FROM t_restaurant)
+                 THEN 'Restaurant does not exist!' END AS error FROM asked)
+SELECT seq,
+       CASE WHEN error IS NULL THEN (SELECT count(*) FROM t_item i WHERE i.categoryID = j.category_id
+                                     AND i.rname = j.restaurant_name) END AS total_food
+FROM judged j""",
+    "categorize_food_sql": f""",
+asked AS (
+  SELECT ID AS seq, CASE WHEN p_size % 3 = 0 THEN p_brand ELSE rname END AS restaurant_name,
+         CASE WHEN p_size % 5 = 0 THEN name || '/x' WHEN p_size % 7 = 0 THEN name || '#1' ELSE name END AS food_name
+  FROM t_item),
+named AS (SELECT rname, name, count(*) AS same, min(price_level) AS price_level FROM t_level GROUP BY rname, name),
+judged AS (
+  SELECT a.*, n.price_level,
+         CASE WHEN NOT regexp_matches(restaurant_name, '{rules.RESTAURANT_NAME}') THEN 'Wrong restaurant format name!'
+              WHEN NOT regexp_matches(food_name, '{rules.ITEM_NAME}') THEN 'Invalid food name'
+              WHEN same IS NULL THEN 'Food item does not exist in the restaurant!'
+              WHEN same > 1 THEN 'more than one food item has this name' END AS error
+  FROM asked a LEFT JOIN named n ON n.rname = a.restaurant_name AND n.name = a.food_name)
+SELECT seq, CASE WHEN error IS NULL THEN price_level END AS price_level
+FROM judged""",
+    "price_levels_sql": "SELECT r.ID AS RID, l.ID, l.name, price, price_level FROM t_level l JOIN t_restaurant r ON r.name = rname",
     "resolve_category": """,
 asked AS (SELECT ID AS seq, rname AS restaurant, CASE WHEN p_size % 4 = 0 THEN lower(p_type) ELSE p_type END AS category
           FROM t_item)
@@ -399,6 +434,19 @@ judged AS (
 gone_order AS (SELECT ID FROM judged WHERE good)
 SELECT *, CAST(NULL AS VARCHAR) AS error FROM (""" + _ORDER_TREE.format(or_points="") + """)
 UNION ALL SELECT 'request', CAST(seq AS VARCHAR), 'Order not found' FROM judged WHERE NOT good""",
+    "maintained_totals": """,
+gone_item AS (SELECT DISTINCT ID * 2 AS ID FROM t_item_request),
+gone_order AS (SELECT DISTINCT (event_id >> 1) * 4 AS ID FROM events),
+priced AS (
+  SELECT i.ID, coalesce(u.price, i.price) AS price FROM t_item i LEFT JOIN (
+    SELECT * FROM t_update WHERE error IS NULL QUALIFY row_number() OVER (PARTITION BY ID ORDER BY seq DESC) = 1) u ON i.ID = u.ID)
+SELECT FOID, CAST(sum(CAST(price AS BIGINT) * quantity) AS BIGINT) AS total, count(*) AS lines
+FROM t_line JOIN priced ON FIID = priced.ID
+WHERE FIID NOT IN (SELECT ID FROM gone_item) AND FOID NOT IN (SELECT ID FROM gone_order) GROUP BY FOID""",
+    "maintained_usage": """
+SELECT DFRcode, count(*) AS n FROM (
+  SELECT DFRcode FROM t_apply WHERE FOID NOT IN (SELECT (event_id >> 1) * 4 FROM events)
+  UNION ALL SELECT 'DIS_' || o_orderkey % 7 FROM orders) GROUP BY DFRcode""",
     "add_accounts": """,
 asked AS (
   SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0')
@@ -463,6 +511,12 @@ judged AS (
 SELECT ID, name, price, categoryID, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS error FROM t_item
 UNION ALL SELECT ID, name, price, categoryID, NULL, NULL FROM judged WHERE error IS NULL
 UNION ALL SELECT NULL, name, price, categoryID, seq, error FROM judged WHERE error IS NOT NULL""",
+    "load_items_refused": """,
+judged AS (
+  SELECT CASE WHEN NOT (price > 0) THEN 'price_positive'
+              WHEN categoryID NOT IN (SELECT ID FROM t_category) THEN 'foreign_key_categoryID' END AS rule
+  FROM t_item_request)
+SELECT rule, count(*) AS refused FROM judged WHERE rule IS NOT NULL GROUP BY rule""",
     "text_formats": """
 SELECT ID, strftime(order_time_stamp, '%Y-%m-%d %H:%M:%S') AS at,
        replace(format('{:,}', CID * delivery_fee), ',', '.') || chr(160) || '₫' AS amount,
@@ -475,6 +529,7 @@ SELECT ID, email, regexp_matches(email, '{rules.EMAIL}') AS good_email,
        CAST(CASE WHEN ID % 3 = 0 THEN 5 ELSE ID % 3 END AS INT) AS stars FROM t_bad_customer""",
     "stream_points": "SELECT * FROM t_change_points",
     "stream_points_from_snapshots": "SELECT * FROM t_snapshot_points",
+    "stream_points_late": "SELECT * FROM t_snapshot_points",
     "stream_order_cost": """
 SELECT ID, coalesce(total + delivery_fee, 0) AS orderCost FROM t_order LEFT JOIN t_total ON FOID = ID""",
     "stream_usage": """
@@ -489,7 +544,7 @@ SELECT * FROM t_report WHERE OrderID IN (SELECT ID FROM t_order WHERE CID = 1004
     "orders_with_several_discounts": """,
 given AS (
   SELECT FOID, value FROM (
-    SELECT DFRcode, FOID FROM t_apply UNION ALL
+    SELECT DFRcode, FOID FROM t_apply_some UNION ALL
     SELECT 'DIS_' || o_orderkey % 7, o_orderkey FROM orders WHERE o_orderpriority = '2-HIGH') a
   JOIN t_dfr ON DFRcode = code),
 sums AS (SELECT FOID, CAST(sum(value) AS BIGINT) AS value FROM given GROUP BY FOID)
@@ -499,7 +554,7 @@ SELECT o.ID AS OrderID, Payment_method, address AS OrderAddress, order_status AS
        coalesce(r.value, 0) AS RestaurantDiscount, CAST(coalesce(p.value, 0) AS BIGINT) AS ExchangePointDiscount,
        coalesce(r.value, 0) + CAST(coalesce(p.value, 0) AS BIGINT) AS TotalDiscount
 FROM t_order o LEFT JOIN t_total ON t_total.FOID = o.ID
-LEFT JOIN sums r ON r.FOID = o.ID LEFT JOIN t_points p ON p.FOID = o.ID
+LEFT JOIN sums r ON r.FOID = o.ID LEFT JOIN t_points_some p ON p.FOID = o.ID
 WHERE r.FOID IS NOT NULL OR p.FOID IS NOT NULL""",
     "orders_of_category": """
 SELECT OrderID, OrderTime, rating, CustomerName, TotalItems, OrderStatus, TotalRevenue

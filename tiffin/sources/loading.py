@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tiffin.contracts import TABLES
@@ -52,14 +52,37 @@ def assign_ids(df: DataFrame, base: Column | int, order_by: str, key: str = "ID"
             .drop("_rank"))
 
 
+class LoadRefused(ValueError):
+    """A strict load that was refused; ``refused`` counts its rows per rule, each under the first rule it breaks."""
+
+    def __init__(self, table: str, refused: dict[str, int]):
+        super().__init__(f"{table}: " + ", ".join(f"{name} ({n})" for name, n in refused.items()))
+        self.refused = refused
+
+
+def _settled_or_refused(table: str, rows: DataFrame, error: str, names: list[str], stage: Stage) -> DataFrame:
+    """``rows`` staged if none has an ``error``; else ``LoadRefused`` with what was counted while they were written."""
+    counts = [F.count_if(F.col(error) == name).alias(f"n{i}") for i, name in enumerate(names)]
+    seen = Observation()
+    watched = rows.observe(seen, *counts)
+    written = stage(watched)
+    found = rows.agg(*counts).first().asDict() if written is watched else seen.get
+    refused = {name: found[f"n{i}"] for i, name in enumerate(names) if found[f"n{i}"]}
+    if refused:
+        raise LoadRefused(table, refused)
+    return rows if written is watched else written
+
+
 def load_rows(tables: Tables, table: str, rows: DataFrame, order_by: str = "seq",
               strict: bool = False, stage: Stage = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """``(table with the accepted rows, rejects)`` for a bulk insert into one table.
 
     ``rows`` carry ``order_by``, a unique integer.  Row rules, key, unique columns
     and foreign keys decide row by row; the source system would undo a whole
-    multi-row statement, so ``strict`` raises ``ValueError`` before it returns if any row is refused.
-    ``stage=durable`` judges the rows once where both results are written.
+    multi-row statement, so ``strict`` raises ``LoadRefused`` before it returns if any row is refused.
+    ``stage=durable`` judges the rows once where both results are written; the refused rows of each
+    rule are then counted while the rows are written, so ``strict`` needs no further job to decide.
+    Keys are settled among rows that pass all other rules.
     """
     contract = TABLES[table]
     stored = tables[table]
@@ -74,20 +97,18 @@ def load_rows(tables: Tables, table: str, rows: DataFrame, order_by: str = "seq"
     for i, fk in enumerate(contract.foreign):
         judged = exists_in(judged, tables[fk.parent], {fk.column: fk.parent_column}, f"_fk{i}", unique=True)
         ladder.append((F.col(fk.column).isNotNull() & ~F.col(f"_fk{i}"), f"foreign_key_{fk.column}"))
-    judged = stage(judged.withColumn("error", first_error(*ladder)).drop(
-        *[f"_fk{i}" for i in range(len(contract.foreign))]))
+    judged = judged.withColumn("error", first_error(*ladder)).drop(*[f"_fk{i}" for i in range(len(contract.foreign))])
+    judged = _settled_or_refused(table, judged, "error", [name for _, name in ladder], stage) if strict else stage(judged)
     valid = judged.filter(F.col("error").isNull()).drop("error")
     invalid = judged.filter(F.col("error").isNotNull())
     if keysets:
         kinds = ["key" if list(k) == list(contract.key) else "unique" for k in keysets]
-        settled = first_come(valid, stored, keysets, order_by,
-                             [f"{kind}_{'_'.join(k)}" for kind, k in zip(kinds, keysets)])
+        names = [f"{kind}_{'_'.join(k)}" for kind, k in zip(kinds, keysets)]
+        settled = first_come(valid, stored, keysets, order_by, names)
+        if strict:
+            settled = _settled_or_refused(table, settled, "conflict", names, stage)
         valid = settled.filter(F.col("conflict").isNull()).drop("conflict")
         invalid = invalid.unionByName(
             settled.filter(F.col("conflict").isNotNull()).withColumnRenamed("conflict", "error"))
     names = contract.schema.names
-    if strict:
-        refused = invalid.select("error").first()
-        if refused:
-            raise ValueError(f"{table}: {refused.error}")
     return stored.select(*names).unionByName(valid.select(*names)), invalid

@@ -1,7 +1,8 @@
 """The star-schema test tables seen as marketplace tables.
 
-Every derivation is a projection of whole tables; the only row filters are
-business predicates on a column (which order priorities carry which discount).
+Every derivation is a projection of whole tables: every order applies for both kinds
+of discount.  ``load_by_priority`` lets only some order priorities carry a discount, so
+that reports meet orders with one kind, both and none.
 Brands act as restaurants, brand and type as category, parts as items, orders as
 orders and line items as order lines.  Ids of customers are shifted so that they
 do not meet restaurant ids in the shared account table.
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-# Part types in id order, and which priorities use which discount.
+# Part types in id order, and which priorities carry which discount in ``load_by_priority``.
 TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 RESTAURANT_DISCOUNT_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM")
 POINT_DISCOUNT_PRIORITIES = ("3-MEDIUM", "4-NOT SPECIFIED")
@@ -70,7 +71,7 @@ def contain_raw(lineitem: DataFrame) -> DataFrame:
 
 
 def applications(orders: DataFrame) -> DataFrame:
-    return _restaurant_discounted(orders).select(
+    return orders.select(
         discount_code().alias("DFRcode"), F.col("o_orderkey").alias("FOID"))
 
 
@@ -136,22 +137,26 @@ def load(spark: SparkSession, sf_dir: str) -> MarketplaceTables:
         "food_item": lambda: _food_item(read("part")),
         "food_deliver": lambda: _food_deliver(read("supplier")),
         "food_order": lambda: _food_order(read("orders")),
-        "use": lambda: _restaurant_discounted(read("orders")).select(
+        "use": lambda: read("orders").select(
             _customer_id("o_custkey").alias("CID"), discount_code().alias("DFRcode")).distinct(),
         "contain": lambda: contain_raw(read("lineitem")).groupBy("FOID", "FIID").agg(
             F.sum("quantity").cast("int").alias("quantity")),
         "apply_for": lambda: applications(read("orders")),
-        "discount_point_apply_for": lambda: _point_discounted(read("orders")).select(
-            _point_code().alias("DFEPcode"), F.col("o_orderkey").alias("FOID")),
+        "discount_point_apply_for": lambda: _point_applications(read("orders")),
     })
 
 
-def _restaurant_discounted(orders: DataFrame) -> DataFrame:
-    return orders.filter(F.col("o_orderpriority").isin(*RESTAURANT_DISCOUNT_PRIORITIES))
+def load_by_priority(spark: SparkSession, sf_dir: str) -> MarketplaceTables:
+    """As ``load``, but only orders of some priorities carry a restaurant discount, and of some a point discount."""
+    t, orders = load(spark, sf_dir), raw(spark, sf_dir, "orders")
+    t["apply_for"] = applications(orders.filter(F.col("o_orderpriority").isin(*RESTAURANT_DISCOUNT_PRIORITIES)))
+    t["discount_point_apply_for"] = _point_applications(
+        orders.filter(F.col("o_orderpriority").isin(*POINT_DISCOUNT_PRIORITIES)))
+    return t
 
 
-def _point_discounted(orders: DataFrame) -> DataFrame:
-    return orders.filter(F.col("o_orderpriority").isin(*POINT_DISCOUNT_PRIORITIES))
+def _point_applications(orders: DataFrame) -> DataFrame:
+    return orders.select(_point_code().alias("DFEPcode"), F.col("o_orderkey").alias("FOID"))
 
 
 def _point_code() -> Column:
@@ -202,7 +207,7 @@ def _restaurant_discount(supplier: DataFrame) -> DataFrame:
 
 def _point_discount(orders: DataFrame) -> DataFrame:
     moment = F.lit("2024-12-01 00:00:00").cast("timestamp_ntz")
-    return _point_discounted(orders).select(
+    return orders.select(
         _point_code().alias("code"), moment.alias("exchange_date"),
         (moment + F.expr("INTERVAL 7 DAYS")).alias("end_date"),
         (F.col("o_custkey") % 90 * 1000 + 10000).cast("int").alias("value"),
