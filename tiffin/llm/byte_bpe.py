@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 from tiffin.llm import words as W
 
-#: Pre-tokens of up to ``SHORT`` characters that a task remembers before it starts afresh.
-REMEMBERED = 300_000
+#: Pre-tokens of up to ``SHORT`` characters that a task remembers before it starts afresh, about 200 bytes each.
+REMEMBERED = 600_000
 SHORT = 48
 #: Pre-tokens of a long text that are handled at a time.
 STEP = 50_000
@@ -190,7 +191,7 @@ class Encoder:
         out = []
         for piece, slot in zip(raw, self._vocabulary.perfect.slots(raw).tolist(), strict=True):
             found = [ids[slot]] if tokens and tokens[slot] == piece else joined_by_rank(piece, self._ranks)
-            out.append(np.array(found, dtype=np.int32).tobytes())
+            out.append(array("i", found).tobytes())
         return out
 
     def _joined(self, pieces: list[str]) -> bytes:
@@ -238,7 +239,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, columns: list[str] | None =
 
     fields = "".join(f"`{c}` {types[c]}, " for c in names)
     return docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").alias("_bpe_text")).mapInArrow(
-        run, f"{fields}ids array<int>")
+        W.lean(run), f"{fields}ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, columns: list[str] | None = None) -> DataFrame:
@@ -250,6 +251,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, columns: list[str] | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = vocabulary.by_id()
+        known = token.__getitem__
         for batch in batches:
             for begin in range(0, batch.num_rows, 200):
                 part = batch.slice(begin, 200)
@@ -257,7 +259,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, columns: list[str] | None
                 for ids in part.column(part.num_columns - 1):
                     values = ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else []
                     try:
-                        out.append(b"".join([token[i] for i in values]))
+                        out.append(b"".join(map(known, values)))
                     except KeyError:
                         out.append(None)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(out, pa.binary())],
@@ -265,4 +267,4 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, columns: list[str] | None
 
     fields = "".join(f"`{c}` {types[c]}, " for c in names)
     return encoded.select(*[F.col(f"`{c}`") for c in names], F.col("ids").alias("_bpe_ids")).mapInArrow(
-        run, f"{fields}decoded binary")
+        W.lean(run), f"{fields}decoded binary")
