@@ -121,6 +121,47 @@ def test_add_customers(spark, seed):
     assert added == {50: 0, 52: 0}
 
 
+def plain_first_come(rows):
+    """Row after row: the number of the first key already taken, None if accepted."""
+    taken, out = set(), {}
+    for seq, *keys in sorted(rows):
+        claims = [(i, k) for i, k in enumerate(keys) if k is not None]
+        hit = next((i for i, k in claims if (i, k) in taken), None)
+        if hit is None:
+            taken.update(claims)
+        out[seq] = hit
+    return out
+
+
+@pytest.mark.parametrize("fold_rows", [10_000, 3])
+def test_first_come_by_groups(spark, fold_rows):
+    rng = random.Random(fold_rows)
+    rows = [(i, rng.randrange(60), rng.choice([None, rng.randrange(60)])) for i in range(70)] + [(100 + i, 500, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "seq long, a long, b long")
+    judged = first_come(df, df.limit(0).drop("seq"), [["a"], ["b"]], names=["a", "b"], fold_rows=fold_rows)
+    names = {None: None, 0: "a", 1: "b"}
+    assert {r.seq: r.conflict for r in judged.collect()} == {s: names[h] for s, h in plain_first_come(rows).items()}
+
+
+def test_a_chain_needs_few_jobs(spark):
+    """Each of 1,000 requests shares a key with the next one, in shuffled order."""
+    order = list(range(1000))
+    random.Random(1).shuffle(order)
+    rows = [(seq, (n + 1) // 2, n // 2) for seq, n in enumerate(order)]
+    df = spark.createDataFrame(rows, "seq long, a long, b long")
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    context.setJobGroup("chain", "chain")
+    try:
+        judged = first_come(df, df.limit(0).drop("seq"), [["a"], ["b"]], names=["a", "b"])
+        found = {r.seq: r.conflict for r in judged.collect()}
+        jobs = len(tracker.getJobIdsForGroup("chain"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    names = {None: None, 0: "a", 1: "b"}
+    assert found == {s: names[h] for s, h in plain_first_come(rows).items()}
+    assert jobs < 250
+
+
 @few
 @given(st.lists(st.tuples(st.integers(0, 5), st.one_of(st.none(), st.integers(0, 5)), st.integers(0, 5)),
                 min_size=1, max_size=25))

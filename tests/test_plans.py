@@ -44,7 +44,7 @@ def test_no_cross_join_and_no_python(spark, no_broadcast, name):
 
 
 def test_scans_are_pruned_and_filters_pushed(spark):
-    t = testdata.load(spark, SF)
+    t = testdata.load_by_priority(spark, SF)
     text = plan(reports.orders_with_discounts(t))
     lines = next(l for l in text.splitlines() if "l_orderkey" in l and "FileScan" in l)
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_quantity:double>" in lines

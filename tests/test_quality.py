@@ -166,6 +166,56 @@ def test_clustered_tables_are_sorted_by_key(spark, seed, tmp_path):
         assert rows and rows == sorted(rows)
 
 
+def rows_scanned(df):
+    """Rows and the number of rows that the scan handed on."""
+    rows = df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    return rows, leaf.metrics().apply("numOutputRows").value()
+
+
+def test_a_lookup_skips_row_groups_of_an_unsorted_table(spark, tmp_path):
+    n = 200_000
+    codes = spark.range(n).select(
+        F.concat(F.lit("DIS_"), F.md5(F.col("id").cast("string"))).alias("DFRcode"), F.xxhash64("id").alias("FOID")).repartition(1)
+    publish(spark, {"apply_for": codes}, str(tmp_path), 1, row_group_bytes=1 << 20)
+    table = open_latest(spark, str(tmp_path))["apply_for"]
+    for key, value in (("DFRcode", "md5('777')"), ("FOID", "xxhash64(4321L)")):
+        wanted = spark.sql(f"SELECT {value} AS v").first().v
+        rows, read = rows_scanned(lookup(table, key, f"DIS_{wanted}" if key == "DFRcode" else wanted))
+        assert len(rows) == 1 and 0 < read <= n / 2
+    rows, read = rows_scanned(lookup(table, "DFRcode", ["DIS_no such code", "DIS_nor this"]))
+    assert rows == [] and read <= n / 2
+
+
+def test_references_are_told_by_value(spark, seed):
+    """A value that many rows name, an empty text, a null, and two columns of one table."""
+    use = spark.createDataFrame([(1, ""), (1, "gone"), (9999, "gone"), (None, "gone"), (9999, None)] + [(8888, "x")] * 300, "CID long, DFRcode string")
+    tables = {"customer": seed["customer"], "discount_from_restaurant": seed["discount_from_restaurant"], "use": use}
+    stored = {r.ID for r in seed["customer"].collect()}
+    found = quality.check_references(tables, ["use"]).groupBy("rule", "key", "detail").count().collect()
+    expected = {}
+    for cid, code in [(r.CID, r.DFRcode) for r in use.collect()]:
+        key = "|".join("NULL" if v is None else str(v) for v in (cid, code))
+        if code is not None:
+            expected["foreign_key_DFRcode", key, code] = expected.get(("foreign_key_DFRcode", key, code), 0) + 1
+        if cid is not None and cid not in stored:
+            expected["foreign_key_CID", key, str(cid)] = expected.get(("foreign_key_CID", key, str(cid)), 0) + 1
+    assert {(r.rule, r.key, r.detail): r["count"] for r in found} == expected
+    assert quality.check_references({"use": use}, ["use"]) is None
+
+
+def test_values_are_found_in_one_read_of_a_child(spark, seed):
+    seen = []
+
+    def stage(df):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df
+
+    assert quality.check_references(seed, list(seed), stage).collect() == []
+    scans = [line for line in seen[0].splitlines() if "Relation" in line and "FDID" in line]
+    assert len(scans) <= 2  # food_order as a child and as a parent
+
+
 def test_lookup(spark, seed):
     assert lookup(seed["food_item"], "ID", 7).count() == 1
     assert lookup(seed["food_item"], "ID", [7, 8, 99]).count() == 2

@@ -225,6 +225,15 @@ def q_foreign_key(spark: SparkSession, sf: str) -> DataFrame:
     return quality.check_foreign_key(t["contain"], "contain", "FIID", items, "ID")
 
 
+def q_references(spark: SparkSession, sf: str) -> DataFrame:
+    """All references of all tables after promotions left the menu and accounts of one segment were closed."""
+    t = testdata.load(spark, sf)
+    t["category"] = t["category"].filter(F.col("name") != "PROMO")
+    t["customer"] = t["customer"].filter(F.col("bank_name") != "MACHINERY")
+    t["discount_from_restaurant"] = t["discount_from_restaurant"].filter(F.col("value") > 100_000)
+    return quality.check_references(t, list(t), durable)
+
+
 def q_domain(spark: SparkSession, sf: str) -> DataFrame:
     return quality.check_domain(faulty_orders(spark, sf), "food_order")
 
@@ -249,7 +258,7 @@ def q_check_all(spark: SparkSession, sf: str) -> DataFrame:
     t["customer"] = faulty_customers(spark, sf)
     t["food_order"] = faulty_orders(spark, sf)
     t["contain"] = testdata.contain_raw(testdata.raw(spark, sf, "lineitem"))
-    return quality.check_all(t)
+    return quality.check_all(t, stage=durable)
 
 
 def q_split_valid(spark: SparkSession, sf: str) -> DataFrame:
@@ -769,6 +778,7 @@ QUERIES: dict[str, Query] = {
     "q_key": q_key,
     "q_unique": q_unique,
     "q_foreign_key": q_foreign_key,
+    "q_references": q_references,
     "q_domain": q_domain,
     "q_length": q_length,
     "q_checks": q_checks,

@@ -2,14 +2,14 @@
 
 All checks return violations ``(table, rule, key, detail)``.  Row rules of one
 table share a single scan; keys use a partial aggregate, so a value repeated by
-a third of the rows is combined before it is shuffled; foreign keys are plain
-anti joins against the stored parent, which AQE broadcasts or splits by size.
+a third of the rows is combined before it is shuffled; so do references, whose
+distinct values meet the stored parents before any row is looked at.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 from operator import or_
 
@@ -21,6 +21,7 @@ from tiffin.functions import rules
 from tiffin.operators.skew import first_per_key, spread_join
 
 Tables = Mapping[str, DataFrame]
+Stage = Callable[[DataFrame], DataFrame]
 RowRule = tuple[str, Column, Column]  # rule name, violated?, detail
 
 
@@ -141,29 +142,63 @@ def _repeated_keys(tables: Tables, checks: list[tuple[str, str, tuple[str, ...]]
                     key_text(keys).alias("key"), F.col("n").cast("string").alias("detail")))
 
 
-def check_references(tables: Tables, names: Iterable[str]) -> DataFrame | None:
+def check_references(tables: Tables, names: Iterable[str], stage: Stage = lambda df: df) -> DataFrame | None:
     """All foreign keys of the named tables whose parent is given, None if there are none.
 
-    References to one parent are checked together, so a parent is read (and, if
-    it is large, shuffled) once for all of its children.
+    Values first, rows after.  Every child is read once and gives its references, each
+    with the parent it names; they are made distinct before they are shuffled, so a value
+    that a third of the rows refer to travels once per task, and one join with the
+    keys of all parents finds the values without one.  Only then are the rows that hold
+    such a value looked up, by a join with what is usually a short list, and their keys
+    rendered as text.  ``stage=durable`` stores that list, so that its size decides the
+    join, and an empty one ends the search.
     """
-    by_parent: dict[tuple[str, str], list[tuple[str, str]]] = defaultdict(list)
+    parents: list[tuple[str, str]] = []
+    children: dict[str, list[tuple[int, str]]] = {}
     for name in names:
         for fk in TABLES[name].foreign:
             if fk.parent in tables:
-                by_parent[fk.parent, fk.parent_column].append((name, fk.column))
-    orphans = []
-    for (parent, parent_column), children in by_parent.items():
-        refs = _union([
-            tables[name].filter(F.col(column).isNotNull())
-            .select(F.lit(i).alias("_check"), F.col(column).alias("_ref"), key_text(TABLES[name].key).alias("key"))
-            for i, (name, column) in enumerate(children)])
-        lost = refs.join(tables[parent].select(F.col(parent_column).alias("_ref")), "_ref", "left_anti")
-        orphans.append(lost.select(
-            _pick([c[0] for c in children]).alias("table"),
-            _pick([f"foreign_key_{c[1]}" for c in children]).alias("rule"),
-            "key", F.col("_ref").cast("string").alias("detail")))
-    return _union(orphans) if orphans else None
+                if (fk.parent, fk.parent_column) not in parents:
+                    parents.append((fk.parent, fk.parent_column))
+                children.setdefault(name, []).append((parents.index((fk.parent, fk.parent_column)), fk.column))
+    if not children:
+        return None
+    value = [f"r.{c}" for c in _REFERENCE]
+    given = _union([tables[name].select(_reference(tables[name], i, column).alias("r")).filter("r IS NOT NULL").select(*value)
+                    for i, (name, column) in enumerate(parents)])
+    asked = _union([tables[name].select(F.explode(_references(tables[name], refs)).alias("r")).select(*value)
+                    for name, refs in children.items()])
+    # an anti join would be pushed below the union and read all parents once per child
+    lost = stage(asked.distinct().join(given.withColumn("_there", F.lit(True)), _REFERENCE, "left")
+                 .filter(F.col("_there").isNull()).drop("_there"))
+    found = []
+    for name, refs in children.items():
+        texts = [c for _, c in refs if _is_text(tables[name], c)]
+        rows = tables[name].select(*TABLES[name].key, F.explode(_references(tables[name], refs)).alias("r"))
+        found.append(rows.select("*", "r.*").drop("r").join(lost, _REFERENCE).select(
+            F.lit(name).alias("table"), F.concat(F.lit("foreign_key_"), "column").alias("rule"),
+            key_text(TABLES[name].key).alias("key"),
+            F.when(F.col("column").isin(texts), F.col("text")).otherwise(F.col("number").cast("string")).alias("detail")))
+    return _union(found)
+
+
+#: A reference: the number of its parent, and its value as a number or a text; the other is 0 or empty.
+_REFERENCE = ["parent", "number", "text"]
+
+
+def _is_text(rows: DataFrame, column: str) -> bool:
+    return rows.schema[column].dataType.typeName() == "string"
+
+
+def _reference(rows: DataFrame, parent: int, column: str) -> Column:
+    """NULL for NULL; the name of the column comes last."""
+    number, text = (F.lit(0), F.col(column)) if _is_text(rows, column) else (F.col(column), F.lit(""))
+    return F.when(F.col(column).isNotNull(), F.struct(
+        F.lit(parent).alias("parent"), number.cast("long").alias("number"), text.alias("text"), F.lit(column).alias("column")))
+
+
+def _references(rows: DataFrame, refs: Sequence[tuple[int, str]]) -> Column:
+    return F.array_compact(F.array(*[_reference(rows, parent, column) for parent, column in refs]))
 
 
 def _pick(texts: Sequence[str]) -> Column:
@@ -174,12 +209,12 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def check_all(tables: Tables, names: Iterable[str] | None = None) -> DataFrame:
+def check_all(tables: Tables, names: Iterable[str] | None = None, stage: Stage = lambda df: df) -> DataFrame:
     """All violations of the contracts of the given tables, or of those in ``names``."""
     names = [n for n in TABLES if n in tables and (names is None or n in names)]
     found = _union([violations_by_row(tables[n], n, row_rules(TABLES[n])) for n in names])
     found = found.unionByName(check_keys(tables, names))
-    orphans = check_references(tables, names)
+    orphans = check_references(tables, names, stage)
     return found if orphans is None else found.unionByName(orphans)
 
 

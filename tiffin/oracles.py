@@ -371,6 +371,16 @@ SELECT 'discount_from_restaurant' AS "table", 'valid_seven_days' AS rule, code A
 SELECT * FROM t_bad_customer_rows UNION ALL SELECT * FROM t_bad_customer_length
 UNION ALL SELECT * FROM t_bad_phone UNION ALL SELECT * FROM t_bad_order_domain
 UNION ALL SELECT * FROM t_bad_order_check UNION ALL SELECT * FROM t_bad_line_key""",
+    "q_references": """,
+gone AS (SELECT ID FROM t_customer WHERE bank_name = 'MACHINERY'),
+codes AS (SELECT code FROM t_dfr WHERE value > 100000)
+SELECT 'food_item' AS "table", 'foreign_key_categoryID' AS rule, CAST(ID AS VARCHAR) AS key, CAST(categoryID AS VARCHAR) AS detail
+FROM t_item WHERE categoryID IN (SELECT ID FROM t_category WHERE name = 'PROMO')
+UNION ALL SELECT 'food_order', 'foreign_key_CID', CAST(ID AS VARCHAR), CAST(CID AS VARCHAR) FROM t_order WHERE CID IN (SELECT ID FROM gone)
+UNION ALL SELECT 'use', 'foreign_key_CID', CID || '|' || DFRcode, CAST(CID AS VARCHAR) FROM t_use WHERE CID IN (SELECT ID FROM gone)
+UNION ALL SELECT 'discount_from_exchange_point', 'foreign_key_CID', code, CAST(CID AS VARCHAR) FROM t_points WHERE CID IN (SELECT ID FROM gone)
+UNION ALL SELECT 'use', 'foreign_key_DFRcode', CID || '|' || DFRcode, DFRcode FROM t_use WHERE DFRcode NOT IN (SELECT code FROM codes)
+UNION ALL SELECT 'apply_for', 'foreign_key_DFRcode', DFRcode || '|' || FOID, DFRcode FROM t_apply WHERE DFRcode NOT IN (SELECT code FROM codes)""",
     "q_split_valid": """
 SELECT ID, CASE WHEN phone_number IS NULL OR address IS NULL THEN 'not_null'
                 WHEN length(name) > 100 THEN 'length_name' END AS error FROM t_bad_customer""",

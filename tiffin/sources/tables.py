@@ -34,14 +34,24 @@ def lookup(df: DataFrame, key: str, ids: object) -> DataFrame:
     return df.filter(F.col(key) == ids)
 
 
-def publish(spark: SparkSession, tables: Tables, root: str, version: int, clustered: bool = False) -> None:
+def lookup_columns(name: str) -> list[str]:
+    """The columns a row of the table is looked up by: its keys and its references."""
+    contract = TABLES[name]
+    every = [*contract.key, *(c for u in contract.unique for c in u), *(fk.column for fk in contract.foreign)]
+    return list(dict.fromkeys(every))
+
+
+def publish(spark: SparkSession, tables: Tables, root: str, version: int, clustered: bool = False,
+            row_group_bytes: int | None = None) -> None:
     """Write the given tables as one version; readers switch when its manifest appears.
 
     A repeated run of the same version overwrites its own folder only, so a job
     that died half way is simply run again.  ``clustered`` orders each table by
     its primary key, which lets look-ups and joins by order or id skip row
     groups; the range bounds use the whole key, so an order with very many lines
-    is cut as well.
+    is cut as well.  Columns that order does not help (other keys, references, and all
+    of them where it is not ``clustered``) carry Bloom filters, of a size fitted to
+    their values, so that a look-up by value still skips the row groups without it.
     """
     paths = []
     for name, df in tables.items():
@@ -49,7 +59,13 @@ def publish(spark: SparkSession, tables: Tables, root: str, version: int, cluste
         if clustered:
             key = TABLES[name].key
             df = df.repartitionByRange(*key).sortWithinPartitions(*key)
-        df.write.mode("overwrite").parquet(path)
+        writer = df.write.mode("overwrite").option("parquet.bloom.filter.adaptive.enabled", "true")
+        if row_group_bytes:
+            writer = writer.option("parquet.block.size", row_group_bytes)
+        for column in lookup_columns(name):
+            if not clustered or column != TABLES[name].key[0]:
+                writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.parquet(path)
         paths.append((name, path))
     (spark.createDataFrame(paths, "name string, path string").coalesce(1)
      .write.mode("overwrite").parquet(f"{root}/manifest/version={version}"))
