@@ -1,6 +1,9 @@
 """Stages take effect one after another and agree with plain versions of what they did."""
 
+import os
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plain import plain_words
@@ -72,6 +75,36 @@ def test_run(spark, made):
     assert corpus_pipeline.run(spark, SF).count() == made[5].count()
 
 
+def test_rows_that_share_an_id(spark):
+    """Another text under the id of a near copy stays; a repeated row stays once; rows without id all stay."""
+    words, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(30))
+    rows = [(3, words), (7, words), (7, other), (8, other + " more"), (9, "alone"), (9, "alone"), (None, words), (None, words), (9, None), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(corpus_pipeline.STAGES)["near duplicates"](spark, docs, SF)
+    assert out.columns == docs.columns
+    found = sorted(texts(out), key=str)
+    assert found == sorted([(3, words), (7, other), (9, "alone"), (9, None), (None, words), (None, words)], key=str)
+
+
+def test_clashing_columns_pass_through(spark, made):
+    named = ["score", "_quality", "spans", "n_words", "n_removed", "kept_sha256", "taken", "shard"]
+    docs = made[0].limit(60)
+    for name in named:
+        docs = docs.withColumn(name, F.lit(name))
+    for title, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, docs, SF)
+        assert out.columns == docs.columns
+        if title not in ("quality classifier", "substring dedup"):
+            assert out.filter("shard <> 'shard' OR score <> 'score'").count() == 0
+
+
+def test_what_a_stage_staged_goes_with_it(spark, made, tmp_path):
+    root = spark.conf.get("spark.checkpoint.dir") + "/tiffin-stage"
+    before = set(os.listdir(root))
+    corpus_pipeline.run(spark, SF).count()
+    assert len(set(os.listdir(root)) - before) == len(corpus_pipeline.STAGES)
+
+
 def test_empty_documents(spark, made):
     docs = made[0].limit(0)
     for _, step in corpus_pipeline.STAGES:

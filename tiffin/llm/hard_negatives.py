@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tiffin.llm import words as W
+
 Stage = Callable[[DataFrame], DataFrame]
 
 BITS = 512
@@ -171,7 +173,7 @@ def _encoded(rows: DataFrame, frame: Frame) -> DataFrame:
                     [*part.columns, pa.array([c.tobytes() for c in code], pa.binary()), *map(pa.array, (align, rest, factor))],
                     names=[*part.schema.names, "code", "align", "rest", "factor"])
 
-    return rows.mapInArrow(run, "vec_id long, label int, vec array<int>, code binary, align double, rest double, factor double")
+    return rows.mapInArrow(W.lean(run), "vec_id long, label int, vec array<int>, code binary, align double, rest double, factor double")
 
 
 _FIELDS = ("_shard", "_asked", "vec_id", "label", "vec", "code", "align", "rest", "factor", "positives")
@@ -224,7 +226,7 @@ def _met(index: DataFrame, visits: DataFrame, shards: int, frame: Frame, answer:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
     names = [f.split()[0] for f in schema.split(", ")]
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(W.lean(run), schema)
 
 
 def mine(rows: DataFrame, anchors: DataFrame, stage: Stage, positives: int = 5, k: int = 10, low: int = 30, high: int = 90,

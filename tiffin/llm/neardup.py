@@ -86,7 +86,7 @@ def sketch(shingles: np.ndarray, t: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int = 5, bands: int = 32, rows: int = 4) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): set size, a 128-bit key of the set, band keys, one byte and one bit per coordinate."""
+    """Per row of ``docs`` (doc_id, text): a hash of the text, set size, a 128-bit key of the set, band keys, one byte and one bit per coordinate."""
     t = bands * rows
     if t & (t - 1):
         raise ValueError("bands * rows must be a power of two")
@@ -108,14 +108,14 @@ def sketches(docs: DataFrame, shingle: int = 5, bands: int = 32, rows: int = 4)
             single = iter(np.packbits(low & 1, axis=1))
             low = iter(low)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
+                batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
                 W.lists(W.signed(banded.ravel()), np.where(full, bands, 0), pa.int64()),
                 pa.array([next(low).tobytes() if f else b"" for f in full], pa.binary()),
                 pa.array([next(single).tobytes() if f else b"" for f in full], pa.binary())],
-                names=["doc_id", "n_shingles", "set_key", "bands", "sketch", "bits"])
+                names=["doc_id", "text_key", "n_shingles", "set_key", "bands", "sketch", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary, bits binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(
+        W.lean(run), "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>, sketch binary, bits binary")
 
 
 def full_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -128,7 +128,7 @@ def full_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
                 [batch.column(0), W.lists(W.signed(np.concatenate(sets)), counts, pa.int64())],
                 names=["doc_id", "shingles"])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, shingles array<long>")
+        W.lean(run), "doc_id long, shingles array<long>")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -241,9 +241,12 @@ def _blocks(rows: DataFrame, blocks: Column, key: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, stage: Stage, shingle: int = 5, percent: int = 75, bands: int = 32,
-                    rows: int = 4, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+                    rows: int = 4, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES,
+                    text_key: str | None = None) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (smallest doc_id reachable over links) and ``kept``, per row.
 
+    ``text_key`` names one more column, the ``xxhash64`` of the row's text, which tells rows of one id apart.
+
     Links are pairs with 100 * intersection >= percent * union, confirmed on full sets.
     """
     rows_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -261,7 +264,7 @@ def near_duplicates(docs: DataFrame, stage: Stage, shingle: int = 5, percent: in
         F.ceil(2 * F.col("n") / F.lit(block_rows))).cast("int"), "bucket")
     forest = stage(grouped.select("group", "side", "node", "n_shingles", "sketch")
                    .repartition("group").sortWithinPartitions("group")
-                   .mapInArrow(lambda it: _forest(it, least_bits, percent), "a long, b long"))
+                   .mapInArrow(W.lean(lambda it: _forest(it, least_bits, percent)), "a long, b long"))
     family = components(forest, stage)
     family = stage(family.unionByName(family.select(F.col("component").alias("node"), "component").distinct())
                    .toDF("node", "family"))
@@ -279,13 +282,14 @@ def near_duplicates(docs: DataFrame, stage: Stage, shingle: int = 5, percent: in
             2 * F.col("n") / F.lit(block_rows), F.col("total") / F.lit(block_shingles)))).cast("int"), "family")
     links = stage(met.select("group", "side", "node", "n_shingles", "sketch", "shingles")
                   .repartition("group").sortWithinPartitions("group")
-                  .mapInArrow(lambda it: _links(it, least_equal, percent), "a long, b long"))
+                  .mapInArrow(W.lean(lambda it: _links(it, least_equal, percent)), "a long, b long"))
     final = components(links, stage)
 
     joined = classes.join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     joined = stage(joined)
-    return (every.select("doc_id", "n_shingles", "set_key").join(joined, "set_key", "left").select(
-        "doc_id", "n_shingles",
+    more = [F.col("text_key").alias(text_key)] if text_key else []
+    return (every.select("doc_id", "text_key", "n_shingles", "set_key").join(joined, "set_key", "left").select(
+        "doc_id", *more, "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))

@@ -17,6 +17,7 @@ from __future__ import annotations
 import codecs
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -26,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tiffin.llm import words as W
+
 Stage = Callable[[DataFrame], DataFrame]
 
-#: Words whose ids a worker remembers before it starts afresh.
-REMEMBERED = 800_000
+#: Words and parts whose ids a worker remembers before it starts afresh, about 130 bytes each.
+REMEMBERED = 600_000
 GROUP_ITEMS = 50_000
 #: White space that the tokenizer drops wherever it stands, so ids of the parts between are independent.
 _BREAKS = re.compile(r"[ \t\n\r]+")
@@ -60,15 +63,15 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
         self._normalize = self._tokenizer.normalizer.normalize_str
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self._ids: dict[str, bytes] = {"": b""}
         self._letters: dict[str, bytes] = {}
         self._marks = {mark: self._whole(mark) for mark in ",."}
 
     def _whole(self, part: str) -> bytes:
-        return np.array(self._tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self._tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
 
     def _word(self, letters: str) -> bytes | None:
         """Ids of one word of Latin letters, None if it may be anything else to the pre-tokenizer."""
@@ -80,12 +83,12 @@ class Encoder:
             if not plain.isascii() and (not plain.isalpha() or max(plain) >= "\u0250"):
                 return None
             mapped = codecs.charmap_decode(plain.encode(), "strict", _BYTE_CHARACTERS)[0]
-            found = self._letters[plain] = np.array([t.id for t in self._model.tokenize(mapped)], dtype="<u4").tobytes()
+            found = self._letters[plain] = array("I", [t.id for t in self._model.tokenize(mapped)]).tobytes()
         return found
 
     def _learn(self, parts: list[str]) -> None:
-        if len(self._ids) + len(self._letters) > 2 * REMEMBERED:
-            self._forget()
+        if len(self._ids) + len(self._letters) > REMEMBERED:
+            self.forget()
         for part in parts:
             mark = self._marks.get(part[-1])
             found = self._word(part if mark is None else part[:-1])
@@ -117,6 +120,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2,
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         made = encoder(tokenizer)
+        W.remember("packing", made.forget)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
@@ -141,7 +145,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2,
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids binary" if keep_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(W.lean(run, "packing"), schema)
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from tiffin.llm import (
     ann,
     byte_bpe,
@@ -23,6 +22,7 @@ from tiffin.llm import (
     quality_ranker,
     repair,
     sharding,
+    stages,
     substrings,
     token_counts,
     toxicity,
@@ -145,7 +145,7 @@ def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
 
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """All stages of the corpus pipeline."""
-    return corpus_pipeline.run(spark, sf)
+    return stages.run(spark, sf)
 
 
 def _prepared(query: Query) -> Query:

@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tiffin.llm import words as W
+
 Stage = Callable[[DataFrame], DataFrame]
 
 #: A stretch has at most two to this power rows, a summary as many parts.
@@ -315,7 +317,7 @@ def _summaries(stretches: DataFrame) -> DataFrame:
     kinds = [number] * 4 + [text] * 4 + [number, pa.list_(number), pa.list_(number)]
     fields = "conv_id long, _block long, _start long, code string, _first boolean, _last boolean"
     return stretches.mapInArrow(
-        run, f"{fields}, {_COUNTS}, audit string, edits string, cost long, costs array<long>, ranks array<long>")
+        W.lean(run), f"{fields}, {_COUNTS}, audit string, edits string, cost long, costs array<long>, ranks array<long>")
 
 
 def _parts(frame: pd.DataFrame) -> list[tuple[list[int], list[int]]]:
@@ -368,7 +370,7 @@ def _finished(open_ones: DataFrame) -> DataFrame:
                 names=["conv_id", "_block", "audit", "edits", "cost"])
 
     return open_ones.select("conv_id", "_block", "code", "_last", "entry", "leave").mapInArrow(
-        run, "conv_id long, _block long, audit string, edits string, cost long")
+        W.lean(run), "conv_id long, _block long, audit string, edits string, cost long")
 
 
 def solve(rows: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
@@ -462,7 +464,7 @@ def report(rows: DataFrame, stage: Stage) -> DataFrame:
     names = ["conv_id", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
     kinds = [pa.int64()] * 6 + [pa.string()] * 2
     ended = both.repartition("conv_id").sortWithinPartitions("conv_id", "_block").mapInArrow(
-        run, "conv_id long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string")
+        W.lean(run), "conv_id long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string")
     turns = placed.groupBy(F.col("conv_id").alias("_conv")).agg(
         F.coalesce(F.max("turn") - F.min("turn") + 1 - F.countDistinct("turn"), F.lit(0)).alias("gaps"))
     return ended.join(turns, ended["conv_id"].eqNullSafe(turns["_conv"])).drop("_conv")

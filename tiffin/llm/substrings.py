@@ -80,7 +80,7 @@ def describe(docs: DataFrame, width: int = 50, seed_words: int = 8) -> DataFrame
     source = docs.filter("doc_id IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("_skm_doc"), F.xxhash64("text").alias("_skm_text"),
         F.col("text").alias("_skm_body"))
-    return source.mapInArrow(run, _DESCRIPTIONS)
+    return source.mapInArrow(W.lean(run), _DESCRIPTIONS)
 
 
 def _pack(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -215,18 +215,18 @@ def covered_windows(docs: DataFrame, stage: Stage, width: int = 50, seed_words:
     bodies = docs.filter("doc_id IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("_skm_doc"), F.xxhash64("text").alias("_skm_text"), "text")
     packed = stage(wanted.join(bodies, ["_skm_doc", "_skm_text"]).select("text", "wanted", "_skm_doc").mapInArrow(
-        lambda it: _pack(it, width), "minimiser long, k1 long, k2 long, doc long, packed binary")
+        W.lean(lambda it: _pack(it, width)), "minimiser long, k1 long, k2 long, doc long, packed binary")
         .join(sizes, "minimiser").dropDuplicates(["minimiser", "k1", "k2"]))
 
     columns = ["minimiser", "k1", "k2", "doc", "packed"]
     normal = (packed.filter(F.col("count") <= hot).select(columns)
               .repartition("minimiser").sortWithinPartitions("minimiser")
-              .mapInArrow(lambda it: _sort_buckets(it, width), "k1 long, k2 long, doc long, least array<long>"))
+              .mapInArrow(W.lean(lambda it: _sort_buckets(it, width)), "k1 long, k2 long, doc long, least array<long>"))
     results = [stretches.join(sizes, "minimiser", "left_anti")
                .select("k1", "k2", F.col("_skm_doc").alias("doc"), F.lit(None).cast("array<long>").alias("least")), normal]
     if not packed.filter(F.col("count") > hot).isEmpty():
         windows = stage(packed.filter(F.col("count") > hot).select(columns).mapInArrow(
-            lambda it: _unpack_hot(it, width), "k1 long, k2 long, doc long, at int, high long, low long"))
+            W.lean(lambda it: _unpack_hot(it, width)), "k1 long, k2 long, doc long, at int, high long, low long"))
         least = stage(windows.groupBy("high", "low").agg(F.min("doc").alias("least")))
         results.append(windows.join(least, ["high", "low"]).groupBy("k1", "k2", "doc").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("at", "least"))), lambda w: w["least"]).alias("least")))
@@ -264,13 +264,14 @@ def remove_repeats(docs: DataFrame, stage: Stage, width: int = 50, seed_words: i
     A word goes if some window that covers it also starts in a document with a smaller
     ``doc_id``; windows are those of the input.  Where nothing goes the text stays as it
     is, else the kept words are joined by one space.  ``kept_sha256`` always hashes the
-    joined words.  ``stage`` keeps intermediate tables, see ``tiffin.session.Stage``.
+    joined words.  The three results replace columns of their names.  ``stage`` keeps
+    intermediate tables, see ``tiffin.session.Stage``.
     """
     hits = covered_windows(docs, stage, width, seed_words, hot).groupBy("_skm_doc", "_skm_text").agg(
         F.collect_list(F.struct("at", "n", "hits")).alias("_skm_hits"))
     keyed = docs.withColumns({"_skm_doc": F.col("doc_id").cast("long"), "_skm_text": F.xxhash64("text")})
     joined = keyed.join(hits, ["_skm_doc", "_skm_text"], "left").drop("_skm_doc", "_skm_text")
-    kept = [c for c in docs.columns]
+    kept = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,6 +297,6 @@ def remove_repeats(docs: DataFrame, stage: Stage, width: int = 50, seed_words: i
                     [*arrays, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())],
                     names=[*kept, "n_words", "n_removed", "kept_sha256"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
     return joined.select(*[F.col(f"`{c}`") for c in kept], "_skm_hits").mapInArrow(
-        run, f"{fields}, n_words long, n_removed long, kept_sha256 string")
+        W.lean(run), f"{fields}, n_words long, n_removed long, kept_sha256 string")

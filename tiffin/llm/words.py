@@ -7,9 +7,10 @@ not depend on the batch or on the table; only a single longer text enlarges it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-@lru_cache(maxsize=16)
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of ``base`` and of its inverse modulo 2**64."""
     def run(factor: int) -> np.ndarray:
@@ -43,13 +43,52 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return run(base), run(pow(base, -1, 1 << 64))
 
 
+_known_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cached for sizes up to the next power of two; a very long text is not kept."""
-    room = 1 << max(int(size - 1).bit_length(), 12)
-    made = _powers(base, room) if room <= 4 * CHUNK_BYTES else _powers.__wrapped__(base, size)
+    """The longest powers so far are kept for each base, up to twice a chunk; those for a very long text are not."""
+    made = _known_powers.get(base)
+    if made is None or len(made[0]) < size:
+        room = 1 << max(int(size - 1).bit_length(), 12)
+        made = _powers(base, room if room <= 2 * CHUNK_BYTES else size)
+        if room <= 2 * CHUNK_BYTES:
+            _known_powers[base] = made
     return made[0][:size], made[1][:size]
 
 
+_forgetting: dict[str, Callable[[], None]] = {}
+
+
+def remember(owner: str, forget: Callable[[], None]) -> None:
+    """What an operator keeps in a worker between its tasks goes when another operator's task begins there."""
+    _forgetting[owner] = forget
+
+
+def begin_task(owner: str) -> None:
+    for name in [n for n in _forgetting if n != owner]:
+        _forgetting.pop(name)()
+
+
+def end_task() -> None:
+    """Give freed memory back to the system, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator], owner: str = "") -> Callable[[Iterator], Iterator]:
+    """``run`` as an Arrow task that leaves no more memory behind than its operator asks to ``remember``."""
+    def task(batches: Iterator) -> Iterator:
+        from tiffin.llm import words
+        words.begin_task(owner)
+        try:
+            yield from run(batches)
+        finally:
+            words.end_task()
+    return task
+
+
 @dataclass
 class Words:
     """Words of several documents: word i is ``data[starts[i]:ends[i]]``; document d
