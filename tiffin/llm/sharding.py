@@ -143,7 +143,9 @@ def communication_matrix(sizes: DataFrame, stage: Stage, shards: int, seed: int,
 
 def shuffle_into_shards(df: DataFrame, stage: Stage, shards: int = 16, seed: int = 7, group: int = GROUP,
                         slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """All rows and columns of ``df`` with ``shard`` (0 ..) and ``slot`` (gapless from 0 in each shard)."""
+    """All rows and columns of ``df`` with ``shard`` (0 ..) and ``slot`` (gapless from 0 in each shard),
+    which replace columns of their names."""
+    df = df.drop("shard", "slot")
     low = F.lit((1 << 33) - 1)
     local = stage(df.withColumn("_shard_key", F.xxhash64(F.lit(seed), F.lit("local"), F.monotonically_increasing_id()))
                   .sortWithinPartitions("_shard_key")
