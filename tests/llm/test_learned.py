@@ -1,7 +1,10 @@
 """Classifiers by held-out accuracy, the tagger's marginals by enumeration, neighbours by brute force."""
 
+import collections
 import itertools
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -49,12 +52,12 @@ def test_quality_edges(spark, documents, rows):
     made = rows("", None, "x", "long " * 20_000, "x")
     table = documents([*made, (None, "x", *[None] * 6)])
     ranker = quality_ranker.train(table, spark.createDataFrame([(1, 1)], "doc_id long, label int"))
-    out = quality_ranker.score(table.drop("score"), ranker).collect()
+    out = quality_ranker.score(table, ranker).collect()
     assert len(out) == 6 and all(r.score == 1 for r in out) and "shard" in out[0]
     both = quality_ranker.train(table, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, label int"))
-    scores = [(r.text, r.score) for r in quality_ranker.score(table.drop("score"), both).collect()]
+    scores = [(r.text, r.score) for r in quality_ranker.score(table, both).collect()]
     assert len({s for t, s in scores if t == "x"}) == 1 and len({s for t, s in scores if not t}) == 1
-    assert quality_ranker.score(documents([], 1).drop("score"), both).count() == 0
+    assert quality_ranker.score(documents([], 1), both).count() == 0
 
 
 def test_features_do_not_depend_on_the_chunk():
@@ -111,22 +114,150 @@ def test_toxic_words_are_learned_and_placed(spark):
     assert spans and sum(s in insults for s in spans) >= 0.95 * len(spans)
 
 
+def flat(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), dtype=np.uint8), np.append(0, np.cumsum([len(r) for r in raw]))
+
+
+def taught(texts, toxic):
+    out = []
+    for i, text in enumerate(texts):
+        found, tokens = toxicity.token_features(*flat([text]))
+        if len(found.starts):
+            family = toxicity._smallest_run(found.hashes(), found.first, np.array([0]))
+            out.append(toxicity.Taught(toxic, int(family.view(np.int64)[0]), tokens))
+    return out
+
+
+def plain_telling(toxic, clean):
+    """Words and beginnings by their text, counted once per group of texts that share their least run of four words."""
+    def parts(text):
+        found = [w.lower() for w in re.findall(r"[A-Za-z\x80-\U0010ffff]+", text)]
+        return {kind: {w.encode()[:n] if n else w.encode() for w in found} for kind, n in enumerate((0, 4, 5))}
+
+    counts, families = [], []
+    for texts, bad in ((toxic, True), (clean, False)):
+        own = {}
+        for text, doc in zip([t for t in texts if re.search(r"[A-Za-z\x80-\U0010ffff]", t)], taught(texts, bad), strict=True):
+            group = own.setdefault(doc.family, {0: set(), 1: set(), 2: set()})
+            for kind, some in parts(text).items():
+                group[kind] |= some
+        count = collections.Counter((kind, x) for group in own.values() for kind, some in group.items() for x in some)
+        counts.append(count)
+        families.append(len(own))
+    share = max(families[0], 1) / max(sum(families), 2)
+    tried = sum(n >= 2 for n in counts[0].values())
+    least = max(3, math.ceil(math.log(max(tried, 2)) / -math.log(share)))
+    return {x for x, n in counts[0].items() if n >= least and counts[1][x] <= 0.02 * n}
+
+
+def test_telling_features_equal_counting_texts():
+    rng = random.Random(9)
+    plain = ["".join(x) for x in itertools.product("bcdfgk", "aeiou", "lrst")]
+    toxic, clean = [], []
+    for i in range(260):
+        words = [rng.choice(plain) + rng.choice(["", "mun", "tor"]) for _ in range(rng.randrange(3, 15))]
+        (toxic if i % 3 == 0 else clean).append(" ".join(words + [rng.choice(["Blimpo", "blimpert", "zarkast"])] * (i % 3 == 0)))
+    toxic += [toxic[0]] * 20 + ["", "12 !!"]
+    found = set(toxicity.telling_features([*taught(toxic, True), *taught(clean, False)]).tolist())
+    expected = set()
+    for kind, text in plain_telling(toxic, clean):
+        _, tokens = toxicity.token_features(*flat([text.decode()]))
+        expected.add(int(tokens[kind, 0]))
+    assert expected and found == expected
+
+
+def test_portions_teach_like_one(monkeypatch):
+    rng = random.Random(10)
+    texts = [" ".join(rng.choice(["lo", "ma", "ne", "po", "ru"]) + rng.choice("xyz") for _ in range(9)) for _ in range(80)]
+    docs = [*taught([t + " blimpo" for t in texts[:30]], True), *taught(texts[30:], False)]
+    one = toxicity.fit(docs, rounds=8)
+    monkeypatch.setattr(toxicity, "FIT_TOKENS", 50)
+    many = toxicity.fit(docs, rounds=8)
+    assert np.array_equal(one.features, many.features) and np.allclose(one.weights, many.weights, atol=1e-5)
+    assert np.allclose(one.transition, many.transition) and abs(one.bias - many.bias) < 1e-6
+
+
+def test_what_teaches_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "some plain words " * (1 + i % 3) + ("blimpo" if i % 2 else "")) for i in range(60)] * 3 + [
+        (1, "another text of the first")] * 500, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, label int")
+    chosen = quality_ranker.sampled(docs, labels, {0: 10, 1: 10}).collect()
+    assert len(chosen) == 20 == len({r.doc_id for r in chosen})
+    assert toxicity.numbered(quality_ranker.sampled(docs, labels, {0: 10, 1: 10})).count() == 20
+    assert toxicity.train(docs, labels, most_bytes=10).features.size == 0
+
+
+def plain_quality_features(text):
+    """The features of one text, byte by byte and word by word."""
+    data = text.encode()
+    size, some = len(data), max(len(data), 1)
+    kind = quality_ranker._KIND
+    out = np.zeros(quality_ranker.BINS)
+    for a, b in zip(data, data[1:]):
+        out[quality_ranker._PAIR_BIN[kind[a] * 64 + kind[b]]] += 1
+    words = data.split()
+    lengths = [len(w) for w in words]
+    several = max(len(words), 1)
+    mean = sum(lengths) / several
+    spread = max(sum(n * n for n in lengths) / several - mean ** 2, 0) ** 0.5
+    again = sum(a == b for a, b in zip(words, words[1:]))
+    different = len(set(words))
+    share = lambda low, high: sum(low <= kind[b] <= high for b in data) / some
+    lines = sum(kind[b] == 6 for b in data) + 1
+    return [*np.sqrt(out / some), math.log1p(size) / 10, math.log1p(len(words)) / 10, mean / 10, spread / 10, different / several,
+            4 * again / several, math.log1p(len(words) / lines) / 5, math.log1p(len(words) / max(different, 1)),
+            2 * share(2, 2), 2 * share(3, 3), 4 * share(7, 63), float(size == 0)]
+
+
+def test_quality_features_equal_counting():
+    texts = ["One two  two.\n", "", "A!", "é ü 12 日本", "w " * 300, "A-Z, a.z; 0-9\n\n\tx"]
+    found = quality_ranker.features(*flat(texts))
+    for text, row in zip(texts, found, strict=True):
+        assert np.allclose(row, plain_quality_features(text))
+
+
+def test_preferences_are_at_their_best():
+    """Along every direction the penalised likelihood falls: compared with plain gradient ascent."""
+    rng = np.random.default_rng(8)
+    differences = rng.normal(0.4, 1, (300, 5))
+    weights, decay = quality_ranker.fit_preferences(differences, decay=1e-2), 1e-2
+    plain = np.zeros(5)
+    for _ in range(20_000):
+        plain += 0.5 * (differences.T @ (1 - 1 / (1 + np.exp(-differences @ plain))) / len(differences) - decay * plain)
+    assert np.allclose(weights, plain, atol=1e-4)
+
+
+def test_the_threshold_is_a_quantile_of_labelled_scores():
+    rng = np.random.default_rng(9)
+    bad, good = rng.normal(0, 1, 40), rng.normal(2, 1, 160)
+    for share, strictness in ((0.2, 1.0), (0.2, 0.99), (0.5, 0.9)):
+        ranker = quality_ranker._calibrated(np.ones(1), bad, good, share, strictness)
+        weighed = sorted([(s, share / 40) for s in bad] + [(s, (1 - share) / 160) for s in good])
+        total, at = 0.0, 0
+        while total + weighed[at][1] < strictness * share - 1e-12:
+            total += weighed[at][1]
+            at += 1
+        assert abs(ranker.threshold - (weighed[at][0] + weighed[at + 1][0]) / 2) < 1e-9
+        assert abs(ranker.score(np.array([[ranker.threshold]]))[0] - 0.3) < 1e-9
+
+
 def test_every_clean_document_of_the_sample_teaches():
     other = ["".join(x) for x in itertools.product("bcdfgk", "aeiou", "lr")]
     toxic = [f"plain blimpo words {other[i]}" for i in range(10)]
     clean = [f"plain words {x}" for x in other[10:50]] + [f"plain words and rompo {x}" for x in other[50:]]
-    tagger = toxicity.fit(toxic, clean)
-    found, tokens = toxicity.token_features(*toxicity._bytes(["blimpo rompo"]))
+    tagger = toxicity.fit([*taught(toxic, True), *taught(clean, False)])
+    _, tokens = toxicity.token_features(*flat(["blimpo rompo"]))
     weights = tagger.table()[tokens]
     assert weights[0, 0] > 0 > weights[0, 1]
 
 
 def test_toxicity_edges(spark, documents, rows):
-    table = documents([*rows("", None, "x", "12 !!", "long " * 20_000), (None, "x", *[None] * 6)]).drop("score")
+    table = documents([*rows("", None, "x", "12 !!", "long " * 20_000), (None, "x", *[None] * 6)])
     tagger = toxicity.train(table, spark.createDataFrame([(1, 1)], "doc_id long, label int"))
     out = toxicity.tag(table, tagger).collect()
     assert len(out) == 6 and all(r.score < 0.01 and r.spans == [] for r in out)
-    assert toxicity.tag(documents([], 1).drop("score"), tagger).count() == 0
+    assert toxicity.tag(documents([], 1), tagger).count() == 0
 
 
 def brute(vectors, k):

@@ -11,8 +11,9 @@ counts as toxic if its word or one of its beginnings occurs in so many toxic doc
 and in (nearly) no clean ones, that less than one such feature would be expected by
 chance among all of them.  Counts and weights are fitted on the same documents, at most
 ``sample`` toxic and four times as many clean ones, the first in order of a hash of
-their id: documented bounds, whatever the size of the tables.  Every document is tagged
-over its whole text.
+their id, and ``most_bytes`` of text: documented bounds, whatever the size of the tables.
+Texts become feature numbers in tasks and do not reach the driver.  Every document is
+tagged over its whole text.
 
 The chain of a whole chunk of documents is one chain that starts anew at each document.
 Steps of the ratio toxic/clean are fractional-linear maps, so the chain is cut into rows
@@ -37,6 +38,8 @@ from tiffin.llm import words as W
 from tiffin.llm.quality_ranker import sampled
 
 SAMPLE = 1000
+#: Bytes of the texts that teach; their tokens reach the driver as six numbers of four bytes each.
+MOST_BYTES = 24_000_000
 #: Bits of the hashed number of each kind of feature: word, two beginnings, ending, word before, word after.
 BITS = (22, 18, 18, 18, 18, 18)
 KINDS = len(BITS)
@@ -146,13 +149,6 @@ def _firsts(found: W.Words) -> np.ndarray:
     return first
 
 
-def _bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    raw = [(t or "").encode() for t in texts]
-    offsets = np.zeros(len(raw) + 1, dtype=np.int64)
-    np.cumsum([len(r) for r in raw], out=offsets[1:])
-    return np.frombuffer(b"".join(raw), dtype=np.uint8), offsets
-
-
 def _smallest_run(hashes: np.ndarray, first: np.ndarray, full: np.ndarray, width: int = 4) -> np.ndarray:
     """The smallest hash of ``width`` words in a row of each non-empty document, of all its words if it has fewer."""
     none = np.iinfo(np.uint64).max
@@ -165,90 +161,149 @@ def _smallest_run(hashes: np.ndarray, first: np.ndarray, full: np.ndarray, width
     return np.where(least == none, W.stretches(hashes, first[full], first[full + 1], W.BASES[0]), least)
 
 
-def telling_features(toxic: list[str | None], clean: list[str | None]) -> np.ndarray:
-    """Numbers of words and beginnings that mark toxic documents more often than chance allows.
+@dataclass
+class Taught:
+    """A document of the sample: its label, its family and the feature numbers of its tokens (kinds in rows)."""
 
-    Documents whose smallest hash of four words in a row is the same are taken for copies of one another and count once.
-    """
-    counts, families = [], []
-    for texts in (toxic, clean):
-        seen: list[np.ndarray] = []
-        known: dict[int, int] = {}
-        for begin in range(0, len(texts), 200):
-            found, tokens = token_features(*_bytes(texts[begin:begin + 200]))
-            hashes = found.hashes()
+    toxic: bool
+    family: int
+    tokens: np.ndarray
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``doc_id, label, family, tokens`` of ``rows`` (doc_id, text, label): feature numbers as bytes, kind by kind.
+
+    The family is the smallest hash of four words in a row, which copies share; documents without words are left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in W.chunks(batches):
+            found, tokens = token_features(data, offsets)
             full = np.flatnonzero(np.diff(found.first))
             if not len(full):
                 continue
-            family = [known.setdefault(h, len(known)) for h in _smallest_run(hashes, found.first, full).tolist()]
-            owner = np.repeat(np.array(family, dtype=np.int64), np.diff(found.first)[full])
-            seen += [np.unique(owner << 32 | kind) for kind in tokens[:3]]
-        pairs = np.unique(np.concatenate(seen)) if seen else np.zeros(0, dtype=np.int64)
-        counts.append(np.bincount(pairs & 0xFFFFFFFF, minlength=FEATURES))
-        families.append(len(known))
+            family = _smallest_run(found.hashes(), found.first, full)
+            cut = [tokens[:, found.first[i]:found.first[i + 1]].tobytes() for i in full.tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(full)), batch.column(2).take(pa.array(full)), pa.array(W.signed(family)), pa.array(cut, pa.binary())],
+                names=["doc_id", "label", "family", "tokens"])
+
+    return rows.select("doc_id", "text", "label").mapInArrow(W.lean(run), "doc_id long, label int, family long, tokens binary")
+
+
+def telling_features(taught: list[Taught]) -> np.ndarray:
+    """Numbers of words and beginnings that mark toxic documents more often than chance allows.
+
+    Documents of one family are taken for copies of one another and count once.
+    """
+    counts, families = [], []
+    for toxic in (True, False):
+        own: dict[int, list[np.ndarray]] = {}
+        for doc in taught:
+            if doc.toxic == toxic:
+                own.setdefault(doc.family, []).append(doc.tokens[:3].ravel())
+        count = np.zeros(FEATURES, dtype=np.int32)
+        for parts in own.values():
+            count[np.unique(np.concatenate(parts))] += 1
+        counts.append(count)
+        families.append(len(own))
     share = max(families[0], 1) / max(sum(families), 2)
     tried = int((counts[0] >= 2).sum())
     least = max(3, int(np.ceil(np.log(max(tried, 2)) / -np.log(share))))
     return np.flatnonzero((counts[0] >= least) & (counts[1] <= 0.02 * counts[0]))
 
 
-def fit(toxic: list[str | None], clean: list[str | None], rounds: int = 40, decay: float = 0.1) -> Tagger:
-    """Maximise the likelihood of the token labels by scaled gradient steps."""
+#: Tokens whose forward and backward values are held at a time.
+FIT_TOKENS = 200_000
+
+
+def _portions(taught: list[Taught]) -> Iterator[list[Taught]]:
+    """The documents in order, about ``FIT_TOKENS`` tokens at a time."""
+    part, size = [], 0
+    for doc in taught:
+        part.append(doc)
+        size += doc.tokens.shape[1]
+        if size >= FIT_TOKENS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def fit(taught: list[Taught], rounds: int = 40, decay: float = 0.1) -> Tagger:
+    """Maximise the likelihood of the token labels by scaled gradient steps, summed over portions of the documents."""
     marks = np.zeros(FEATURES, dtype=bool)
-    marks[telling_features(toxic, clean)] = True
-    texts, parts = toxic + clean, []
-    for begin in range(0, len(texts), 200):  # keeps only what the fit needs of all of them
-        found, some = token_features(*_bytes(texts[begin:begin + 200]))
-        parts.append((some, _firsts(found), found.document() + begin < len(toxic)))
-    tokens, first, bad = (np.concatenate(p, axis=-1) for p in zip(*parts, strict=True))
-    truth = bad & marks[tokens[:3]].any(axis=0)
-    if not truth.any():
-        return untaught()
+    marks[telling_features(taught)] = True
     seen = np.zeros(FEATURES, dtype=bool)
-    seen[tokens] = True
+    for doc in taught:
+        seen[doc.tokens] = True
     used = np.flatnonzero(seen)
     place = np.zeros(FEATURES, dtype=np.int32)
-    place[used] = np.arange(len(used))
-    local = place[tokens]
-    del tokens, parts
+    place[used] = np.arange(len(used), dtype=np.int32)
+    parts, pair = [], np.zeros((2, 2))
+    for some in _portions(taught):
+        tokens = np.concatenate([doc.tokens for doc in some], axis=1)
+        first = np.zeros(tokens.shape[1], dtype=bool)
+        first[np.cumsum([0, *(doc.tokens.shape[1] for doc in some[:-1])])] = True
+        bad = np.repeat([doc.toxic for doc in some], [doc.tokens.shape[1] for doc in some])
+        truth = bad & marks[tokens[:3]].any(axis=0)
+        inside = ~first[1:]
+        np.add.at(pair, (truth[:-1][inside].astype(int), truth[1:][inside].astype(int)), 1)
+        parts.append((place[tokens], first, truth))
+    if not any(truth.any() for *_, truth in parts):
+        return untaught()
     weights, sums = np.zeros(len(used)), np.full(len(used), 1e-3)
     bias, bias_sum = -3.0, 1e-3
-    transition, pair_sum, pair = np.zeros((2, 2)), np.full((2, 2), 1e-3), np.zeros((2, 2))
-    inside = ~first[1:]
-    np.add.at(pair, (truth[:-1][inside].astype(int), truth[1:][inside].astype(int)), 1)
+    transition, pair_sum = np.zeros((2, 2)), np.full((2, 2), 1e-3)
     for _ in range(rounds):
-        x, forward, backward = ratios(sum(weights[kind] for kind in local) + bias, first, transition)
-        both = np.minimum(forward * backward, 1e30)
-        miss = truth - both / (1 + both)
-        gradient = sum(np.bincount(kind, weights=miss, minlength=len(used)) for kind in local) - decay * weights
-        a, ahead = np.exp(transition), x[1:] * backward[1:]
-        pairs = (a[0, 0], a[0, 1] * ahead, forward[:-1] * a[1, 0], forward[:-1] * a[1, 1] * ahead)
-        total = sum(pairs)
-        expected = np.array([(p / total)[inside].sum() for p in pairs]).reshape(2, 2)
+        gradient, missed, expected = -decay * weights, 0.0, np.zeros((2, 2))
+        a = np.exp(transition)
+        for local, first, truth in parts:
+            x, forward, backward = ratios(sum(weights[kind] for kind in local) + bias, first, transition)
+            both = np.minimum(forward * backward, 1e30)
+            miss = truth - both / (1 + both)
+            for kind in local:
+                gradient += np.bincount(kind, weights=miss, minlength=len(used))
+            ahead, inside = x[1:] * backward[1:], ~first[1:]
+            pairs = (a[0, 0], a[0, 1] * ahead, forward[:-1] * a[1, 0], forward[:-1] * a[1, 1] * ahead)
+            total = sum(pairs)
+            expected += np.array([(p / total)[inside].sum() for p in pairs]).reshape(2, 2)
+            missed += miss.sum()
         sums += gradient ** 2
         weights += 0.7 * gradient / np.sqrt(sums)
-        bias_sum += miss.sum() ** 2
-        bias += 0.3 * miss.sum() / np.sqrt(bias_sum)
+        bias_sum += missed ** 2
+        bias += 0.3 * missed / np.sqrt(bias_sum)
         pair_sum += (pair - expected) ** 2
         transition += 0.2 * (pair - expected) / np.sqrt(pair_sum)
     kept = np.abs(weights) > 1e-3
     return Tagger(used[kept].astype(np.int32), weights[kept].astype(np.float32), float(bias), transition)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7, rounds: int = 40) -> Tagger:
-    """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, label; 1: toxic)."""
-    rows = sorted((r.doc_id, r.label, r.text or "") for r in
-                  sampled(docs, labels, {1: sample, 0: 4 * sample}, seed).toLocalIterator())
-    toxic, clean = ([text for _, known, text in rows if known == label] for label in (1, 0))
-    if not toxic or not clean:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7, rounds: int = 40,
+          most_bytes: int = MOST_BYTES) -> Tagger:
+    """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, label; 1: toxic).
+
+    Of the documents ``sampled`` chooses those teach, in order of a hash of their id, whose texts have ``most_bytes``
+    together; the sizes of all of them are looked at first.  Tokens become feature numbers in tasks."""
+    rows = sampled(docs, labels, {1: sample, 0: 4 * sample}, seed).withColumn("turn", F.xxhash64(F.lit(seed), "doc_id"))
+    last, total = None, 0
+    for r in sorted(rows.select("turn", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).collect()):
+        total += r["size"]
+        if total > most_bytes:
+            break
+        last = r.turn
+    if last is None:
+        return untaught()
+    found = numbered(rows.filter(F.col("turn") <= last)).orderBy("doc_id", "label").select("label", "family", "tokens").toArrow()
+    taught = [Taught(label == 1, family, np.frombuffer(tokens, dtype=np.int32).reshape(KINDS, -1)) for label, family, tokens in zip(
+        *(found.column(n).to_pylist() for n in ("label", "family", "tokens")), strict=True)]
+    if len({doc.toxic for doc in taught}) < 2:
         return untaught()
-    return fit(toxic, clean, rounds)
+    return fit(taught, rounds)
 
 
 def tag(docs: DataFrame, tagger: Tagger, columns: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
     """``columns`` of every row of ``docs`` (default: all), its ``score`` and its ``spans``: code point
-    ranges ``start, end`` of runs of tokens at or above the threshold."""
-    names = columns or docs.columns
+    ranges ``start, end`` of runs of tokens at or above the threshold.  They replace columns of their names."""
+    names = [c for c in (columns or docs.columns) if c not in ("score", "spans")]
     types = dict(docs.dtypes)
     place = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
@@ -276,4 +331,4 @@ def tag(docs: DataFrame, tagger: Tagger, columns: list[str] | None = None, thres
 
     fields = ", ".join(f"`{c}` {types[c]}" for c in names)
     return docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").alias("_tag_text")).mapInArrow(
-        run, f"{fields}, score double, spans array<struct<start: long, end: long>>")
+        W.lean(run), f"{fields}, score double, spans array<struct<start: long, end: long>>")
