@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tiffin.functions import lookups, rules, text
 from tiffin.operators import admission, cross_rules, maintained, quality, rollups
-from tiffin.plans import cascade, changes, reports
+from tiffin.plans import bucketed, cascade, changes, reports
 from tiffin.session import durable, name_local_dir, shared_dir
 from tiffin.sources import loading, tables, testdata
 from tiffin.streaming import guards, maintenance, sinks
@@ -76,6 +76,12 @@ def level_requests(spark: SparkSession, sf: str) -> DataFrame:
         .alias("food_name"))
 
 
+def categorize_items_collated(spark: SparkSession, sf: str) -> DataFrame:
+    """Restaurants named in capitals and items in small letters, compared without case and accents."""
+    asked = level_requests(spark, sf).withColumns({"restaurant_name": F.upper("restaurant_name"), "food_name": F.lower("food_name")})
+    return reports.categorize_items(asked, testdata.load(spark, sf), collation="UNICODE_CI_AI")
+
+
 def count_food_sql(spark: SparkSession, sf: str) -> DataFrame:
     """The counts by the SQL function over a whole table of requests; a refused request has none."""
     lookups.register_lookups(spark, testdata.load(spark, sf), strict=False)
@@ -434,6 +440,23 @@ def delete_orders(spark: SparkSession, sf: str) -> DataFrame:
     return _removed(done.cascade, done.rejects)
 
 
+def items_in_place(spark: SparkSession, sf: str) -> DataFrame:
+    """Items and lines kept in buckets, after items changed and others were deleted in place."""
+    t = testdata.load(spark, sf)
+    kept = bucketed.keep_tables(spark, t, _folder(spark, "buckets"), ["food_item", "contain"], _buckets(spark))
+    wanted = testdata.raw(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), (F.col("o_custkey") * 2).alias("ID"))
+    change = changes.update_items(t["food_item"], t["category"], item_requests(spark, sf).join(wanted, "seq"), stage=durable)
+    moved = durable(bucketed.changed_rows(t["food_item"], change.table, "food_item"))
+    bucketed.upsert_rows(kept["food_item"], "food_item", moved, 0)
+    now = testdata.load(spark, sf)
+    now.update(bucketed.read_tables(spark, kept))
+    done = changes.delete_items(now, item_deletions(spark, sf), stage=durable)
+    bucketed.apply_deletion(kept, done.cascade, 1)
+    left = bucketed.read_tables(spark, kept)
+    return left["food_item"].select("ID", "price", F.lit(None).cast("long").alias("FOID")).unionByName(
+        left["contain"].select(F.col("FIID").alias("ID"), F.col("quantity").alias("price"), "FOID"))
+
+
 def maintained_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Stored order totals after items changed their price and items and orders were deleted, by the changes alone."""
     t = testdata.load(spark, sf)
@@ -761,6 +784,7 @@ QUERIES: dict[str, Query] = {
     "price_levels": _report(reports.price_levels),
     "price_stats": price_stats,
     "categorize_items": categorize_items,
+    "categorize_items_collated": categorize_items_collated,
     "count_food_sql": count_food_sql,
     "categorize_food_sql": categorize_food_sql,
     "price_levels_sql": price_levels_sql,
@@ -799,6 +823,7 @@ QUERIES: dict[str, Query] = {
     "update_items_by_name": update_items_by_name,
     "delete_items": delete_items,
     "delete_orders": delete_orders,
+    "items_in_place": items_in_place,
     "maintained_totals": maintained_totals,
     "maintained_usage": maintained_usage,
     "add_accounts": add_accounts,

@@ -292,6 +292,21 @@ judged AS (
               WHEN same > 1 THEN 'more than one food item has this name' END AS error
   FROM asked a LEFT JOIN named n ON n.rname = a.restaurant_name AND n.name = a.food_name)
 SELECT seq, restaurant_name, food_name, CASE WHEN error IS NULL THEN price_level END AS price_level, error
+FROM judged""",
+    "categorize_items_collated": f""",
+asked AS (
+  SELECT ID AS seq, upper(CASE WHEN p_size % 3 = 0 THEN p_brand ELSE rname END) AS restaurant_name,
+         lower(CASE WHEN p_size % 5 = 0 THEN name || '/x' WHEN p_size % 7 = 0 THEN name || '#1' ELSE name END) AS food_name
+  FROM t_item),
+named AS (SELECT upper(rname) AS rname, lower(name) AS name, count(*) AS same, min(price_level) AS price_level FROM t_level GROUP BY ALL),
+judged AS (
+  SELECT a.*, n.price_level,
+         CASE WHEN NOT regexp_matches(restaurant_name, '{rules.RESTAURANT_NAME}') THEN 'Wrong restaurant format name!'
+              WHEN NOT regexp_matches(food_name, '{rules.ITEM_NAME}') THEN 'Invalid food name'
+              WHEN same IS NULL THEN 'Food item does not exist in the restaurant!'
+              WHEN same > 1 THEN 'more than one food item has this name' END AS error
+  FROM asked a LEFT JOIN named n ON n.rname = a.restaurant_name AND n.name = a.food_name)
+SELECT seq, restaurant_name, food_name, CASE WHEN error IS NULL THEN price_level END AS price_level, error
 FROM judged""",
     "count_food_sql": f""",
 asked AS (
@@ -444,6 +459,13 @@ judged AS (
 gone_order AS (SELECT ID FROM judged WHERE good)
 SELECT *, CAST(NULL AS VARCHAR) AS error FROM (""" + _ORDER_TREE.format(or_points="") + """)
 UNION ALL SELECT 'request', CAST(seq AS VARCHAR), 'Order not found' FROM judged WHERE NOT good""",
+    "items_in_place": """,
+gone_item AS (SELECT DISTINCT ID * 2 AS ID FROM t_item_request),
+priced AS (
+  SELECT i.ID, coalesce(u.price, i.price) AS price FROM t_item i LEFT JOIN (
+    SELECT * FROM t_update WHERE error IS NULL QUALIFY row_number() OVER (PARTITION BY ID ORDER BY seq DESC) = 1) u ON i.ID = u.ID)
+SELECT ID, price, CAST(NULL AS BIGINT) AS FOID FROM priced WHERE ID NOT IN (SELECT ID FROM gone_item)
+UNION ALL SELECT FIID, quantity, FOID FROM t_line WHERE FIID NOT IN (SELECT ID FROM gone_item)""",
     "maintained_totals": """,
 gone_item AS (SELECT DISTINCT ID * 2 AS ID FROM t_item_request),
 gone_order AS (SELECT DISTINCT (event_id >> 1) * 4 AS ID FROM events),

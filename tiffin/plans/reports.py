@@ -179,8 +179,8 @@ def _folded(name: Column, collation: str | None) -> Column:
     return F.collate(name, collation) if collation else name
 
 
-def price_levels(t: Tables, restaurant: str | None = None, key: str = "name") -> DataFrame:
-    """``(rname, ID, name, price, price_level)`` of every item, or of one restaurant's.
+def price_levels(t: Tables, restaurant: str | None = None, key: str = "name", collation: str | None = None) -> DataFrame:
+    """``(rname, ID, name, price, price_level)`` of every item, or of one restaurant's (its name compared by ``collation``).
 
     High: at least half way from the average to the maximum; Low: at most half
     way from the average to the minimum; High is tested first.  The statistics
@@ -189,7 +189,7 @@ def price_levels(t: Tables, restaurant: str | None = None, key: str = "name") ->
     """
     places = t["restaurant"]
     if restaurant is not None:
-        places = places.filter(F.col("name") == restaurant)
+        places = places.filter(_folded(F.col("name"), collation) == restaurant)
     group = "rname" if key == "name" else "RID"
     stats = price_stats(t["food_item"], t["category"], places, key)
     items = items_by_restaurant(t["food_item"], t["category"], places)
@@ -204,14 +204,16 @@ def _level() -> Column:
             .otherwise("Medium"))
 
 
-def categorize_items(requests: DataFrame, t: Tables) -> DataFrame:
+def categorize_items(requests: DataFrame, t: Tables, collation: str | None = None) -> DataFrame:
     """``requests (restaurant_name, food_name)`` with ``price_level``, or ``error`` and no level.
 
-    A name carried by several items of the restaurant is an error.
+    A name carried by several items of the restaurant is an error; with ``collation`` so are names that it holds equal.
     """
-    named = (price_levels(t).groupBy(F.col("rname").alias("restaurant_name"), F.col("name").alias("food_name"))
+    names = {"_restaurant": "restaurant_name", "_food": "food_name"}
+    named = (price_levels(t).groupBy(_folded(F.col("rname"), collation).alias("_restaurant"), _folded(F.col("name"), collation).alias("_food"))
              .agg(F.count(F.lit(1)).alias("_same"), F.min("price_level").alias("price_level")))
-    joined = spread_join(requests, named, ["restaurant_name", "food_name"], "left", requests.columns)
+    asked = requests.withColumns({k: _folded(F.col(c), collation) for k, c in names.items()})
+    joined = spread_join(asked, named, list(names), "left", requests.columns)
     error = rules.first_error(
         (rules.bad_restaurant_name(F.col("restaurant_name")), rules.MSG_RESTAURANT_NAME),
         (rules.bad_item_name(F.col("food_name")), rules.MSG_ITEM_NAME),
