@@ -39,7 +39,7 @@ def test_matrix_adds_up(spark, stage, group):
 def test_shards_are_exact_and_slots_gapless(documents, rows, stage):
     made = rows(*[f"t{i}" for i in range(101)], None, "", "w " * 5000)
     table = documents([*made, *[made[5]] * 50, (None, None, *[None] * 6)], 5)
-    out = sharding.shuffle_into_shards(table.drop("shard"), stage, 4, slice_rows=10).collect()
+    out = sharding.shuffle_into_shards(table, stage, 4, slice_rows=10).collect()
     assert Counter(r.doc_id for r in out) == Counter([*(m[0] for m in made), *[6] * 50, None])
     counts = Counter(r.shard for r in out)
     assert max(counts.values()) - min(counts.values()) <= 1 and set(counts) == {0, 1, 2, 3}
@@ -56,7 +56,7 @@ def test_every_row_reaches_every_shard_alike(spark, stage):
 
 
 def test_sharding_of_an_empty_table(documents, stage):
-    assert sharding.shuffle_into_shards(documents([], 1).drop("shard"), stage, 4).count() == 0
+    assert sharding.shuffle_into_shards(documents([], 1), stage, 4).count() == 0
 
 
 def plain_targets(sizes, weights, share, cap):

@@ -58,8 +58,9 @@ class Encoder:
     pre-tokenizer, so its normalised letters go straight to the library's model.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         from tokenizers import Tokenizer
+        self._most = remembered or REMEMBERED
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
         self._normalize = self._tokenizer.normalizer.normalize_str
@@ -87,7 +88,7 @@ class Encoder:
         return found
 
     def _learn(self, parts: list[str]) -> None:
-        if len(self._ids) + len(self._letters) > REMEMBERED:
+        if len(self._ids) + len(self._letters) > self._most:
             self.forget()
         for part in parts:
             mark = self._marks.get(part[-1])
@@ -110,16 +111,19 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, remembered: int) -> Encoder:
+    return Encoder(path, remembered)
 
 
-def pieces(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
-    """``doc_id, start, length, ids_crc32, doc_tokens`` per piece (and ``ids``), cut every ``length`` tokens."""
+def pieces(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, keep_ids: bool = False,
+           remembered: int = REMEMBERED) -> DataFrame:
+    """``doc_id, start, length, ids_crc32, doc_tokens`` per piece (and ``ids``), cut every ``length`` tokens.
+
+    A worker remembers the ids of at most ``remembered`` words and parts, about 130 bytes each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        made = encoder(tokenizer)
+        made = encoder(tokenizer, remembered)
         W.remember("packing", made.forget)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:

@@ -94,7 +94,7 @@ def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
 def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Sequences of at most 4096 tokens by first-fit decreasing."""
     docs = _table(spark, sf, "documents").select("doc_id", "text")
-    made = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    made = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=1_600_000)
     return packing.pack(made, Stage(spark))
 
 
