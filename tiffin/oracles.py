@@ -607,7 +607,7 @@ UNION ALL
 SELECT (SELECT max(ID) FROM t_item) + row_number() OVER (ORDER BY seq), name, price, categoryID
 FROM t_item_request WHERE name <> '' AND price > 0 AND categoryID IN (SELECT ID FROM t_category)""",
 }
-_BODIES |= {f"{name}_batches": body for name, body in _BODIES.items() if name.startswith("stream_")}
+_BODIES |= {f"{name}_batches": body for name, body in _BODIES.items() if name.startswith("stream_") and not name.endswith("_late")}
 
 # Requests are taken one after another: each step looks at the keys given out so far.
 _ADD_CUSTOMERS = """,
