@@ -77,3 +77,22 @@ def test_query_equals_the_library(spark, plain):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_stretches_between_spaces_are_encoded_once_a_worker(vocabulary, plain, monkeypatch):
+    """Texts cut at spaces give the library's ids, and a second task of the worker joins nothing again."""
+    rng = random.Random(5)
+    parts = ["blimpoq", "it's", "'s", "zzqy,", "¿qué?", "\x1cq", "12ab", "x" * 60]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", " ", " ", "  ", "\n", " \n ", "\t", "\n\n ", " "])
+                     for _ in range(rng.randrange(12))) for _ in range(300)]
+    texts += [" " + t for t in texts[:50]]
+    calls = []
+    real = byte_bpe.joined_by_rank
+    monkeypatch.setattr(byte_bpe, "joined_by_rank", lambda piece, ranks: calls.append(piece) or real(piece, ranks))
+    for _ in range(2):  # as two tasks of one worker
+        found = byte_bpe._worker_encoder(vocabulary).encode_all(texts)
+        assert [f.tolist() for f in found] == [plain.encode_ordinary(t) for t in texts]
+        short = [c for c in calls if len(c.decode()) <= byte_bpe.SHORT]
+        assert len(short) == len(set(short)) > 0
+    other = byte_bpe.Vocabulary.build({bytes([b]): b for b in range(256)}, r"\w \w|.")
+    assert byte_bpe.Encoder(other).encode("a b c").tolist() == list(b"a b c")

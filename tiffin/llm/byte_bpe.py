@@ -8,8 +8,9 @@ tier: the bytes of any other pre-token form a linked list, and a heap of neighbo
 lowest rank first and leftmost among equals, says which pair joins next.
 
 The vocabulary and its hash are made once on the driver and travel with the job (about a
-megabyte); texts never leave their partition and nothing is shuffled.  A task remembers
-the ids of at most ``REMEMBERED`` short pre-tokens and forgets them when it ends.
+megabyte); texts never leave their partition and nothing is shuffled.  A worker remembers
+the ids of about ``REMEMBERED`` short pre-tokens and words, from task to task, and forgets
+them when another operator's task begins in it.
 
 Rows: a null or empty text has no ids and decodes to no bytes.  Long texts are split in
 steps, so a task holds the ids of one text, not all its pre-tokens.  Repeated rows are
@@ -19,7 +20,9 @@ encoded one by one; empty tables give none.  A column named like a result is rep
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
+import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,9 +35,12 @@ from pyspark.sql import functions as F
 
 from tiffin.llm import words as W
 
-#: Pre-tokens of up to ``SHORT`` characters that a task remembers before it starts afresh, about 200 bytes each.
+#: Pre-tokens and words of up to ``SHORT`` characters that a worker remembers before it starts afresh, about 200 bytes each.
 REMEMBERED = 600_000
 SHORT = 48
+#: The pattern after which texts can be cut at spaces: white space joins the next pre-token only as one space before it.
+SPACE_LED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BEFORE_OTHERS = re.compile(r" (?=\S)")
 #: Pre-tokens of a long text that are handled at a time.
 STEP = 50_000
 _TRIES = 64
@@ -148,12 +154,13 @@ def joined_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 @dataclass
 class Vocabulary:
-    """Tokens and ids by slot of the perfect hash, and the pattern of pre-tokens."""
+    """Tokens and ids by slot of the perfect hash, the pattern of pre-tokens, and a name that tells vocabularies apart."""
 
     tokens: list[bytes]
     ids: list[int]
     perfect: PerfectHash
     pattern: str
+    name: str
 
     @classmethod
     def build(cls, ranks: dict[bytes, int], pattern: str) -> Vocabulary:
@@ -162,7 +169,8 @@ class Vocabulary:
         by_slot = [b""] * len(keys)
         for key, slot in zip(keys, perfect.slots(keys).tolist(), strict=True):
             by_slot[slot] = key
-        return cls(by_slot, [ranks[k] for k in by_slot], perfect, pattern)
+        name = hashlib.sha256(repr((pattern, [(k, ranks[k]) for k in keys])).encode()).hexdigest()
+        return cls(by_slot, [ranks[k] for k in by_slot], perfect, pattern, name)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Vocabulary:
@@ -175,14 +183,25 @@ class Vocabulary:
 
 
 class Encoder:
-    """Ids of texts; remembers short pre-tokens, at most ``REMEMBERED``."""
+    """Ids of texts; remembers short pre-tokens and what stands between spaces, about ``REMEMBERED`` together.
+
+    With the pattern ``SPACE_LED`` a pre-token begins at every space that other than white space follows, and
+    nothing before such a space or behind it changes what the pattern finds on the other side.  So texts are cut
+    there, and a stretch that was met before is neither matched nor encoded again.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         import regex
         self._pieces = regex.compile(vocabulary.pattern)
+        self._cut = vocabulary.pattern == SPACE_LED
         self._vocabulary = vocabulary
         self._ranks = dict(zip(vocabulary.tokens, vocabulary.ids, strict=True))
-        self._known: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self._alone: dict[str, bytes] = {"": b""}
+        self._spaced: dict[str, bytes] = {}  # by what follows a space; the ids are those with the space
+        self._long: list[tuple[dict[str, bytes], str]] = []
 
     def _look_up(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pre-tokens: those that are tokens by the perfect hash, others by joining."""
@@ -194,27 +213,86 @@ class Encoder:
             out.append(array("i", found).tobytes())
         return out
 
-    def _joined(self, pieces: list[str]) -> bytes:
-        known = self._known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            new = list(dict.fromkeys(p for p in pieces if p not in known))
-        fresh = dict(zip(new, self._look_up(new), strict=True))
-        out = b"".join([known.get(p) or fresh[p] for p in pieces])
-        if len(known) + len(fresh) > REMEMBERED:
-            known.clear()
-        known.update((p, i) for p, i in fresh.items() if len(p) <= SHORT)
-        return out
-
-    def encode(self, text: str) -> np.ndarray:
-        if len(text) <= STEP:
-            return np.frombuffer(self._joined(self._pieces.findall(text)), dtype=np.int32)
+    def _keep(self, store: dict[str, bytes], key: str, ids: bytes) -> None:
+        store[key] = ids
+        if len(key) > SHORT:
+            self._long.append((store, key))
+
+    def _place(self, piece: str) -> tuple[dict[str, bytes], str]:
+        """Where the ids of a pre-token are remembered."""
+        if piece[0] == " " and not piece[1:2].isspace() and len(piece) > 1:
+            return self._spaced, piece[1:]
+        return self._alone, piece
+
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pre-tokens; all that are new are looked up together."""
+        places = [self._place(p) for p in pieces]
+        new = {p: place for p, place in zip(pieces, places, strict=True) if place[1] not in place[0]}
+        for (store, key), ids in zip(new.values(), self._look_up(list(new)), strict=True):
+            self._keep(store, key, ids)
+        return [store[key] for store, key in places]
+
+    def _learn(self, alone: list[str], spaced: list[str]) -> None:
+        """Ids of new stretches, those of ``spaced`` with a space before them."""
+        found = [*map(self._pieces.findall, alone), *(self._pieces.findall(f" {s}") for s in spaced)]
+        ids = self._joined([p for pieces in found for p in pieces])
+        at = 0
+        for i, pieces in enumerate(found):
+            store, key = (self._alone, alone[i]) if i < len(alone) else (self._spaced, spaced[i - len(alone)])
+            self._keep(store, key, b"".join(ids[at:at + len(pieces)]))
+            at += len(pieces)
+
+    def _tidy(self) -> None:
+        """Forget what is long, and start afresh when too much is remembered."""
+        for store, key in self._long:
+            store.pop(key, None)
+        self._long.clear()
+        if len(self._alone) + len(self._spaced) > REMEMBERED:
+            self.forget()
+
+    def _in_steps(self, text: str) -> bytes:
         found = self._pieces.finditer(text)
         parts = []
         while pieces := [m.group() for m in islice(found, STEP)]:
-            parts.append(self._joined(pieces))
-        return np.frombuffer(b"".join(parts), dtype=np.int32)
+            parts.append(b"".join(self._joined(pieces)))
+            self._tidy()
+        return b"".join(parts)
+
+    def _known(self, stretches: list[str]) -> bytes:
+        return self._alone[stretches[0]] + b"".join(map(self._spaced.__getitem__, stretches[1:]))
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; a long one, or any with another pattern, is taken in steps."""
+        out: list[bytes] = [b""] * len(texts)
+        missed = {}
+        for i, text in enumerate(texts):
+            if not self._cut or len(text) > STEP:
+                out[i] = self._in_steps(text)
+                continue
+            try:
+                out[i] = self._known(text.split(" "))
+            except KeyError:  # something new, or white space after a space
+                missed[i] = _BEFORE_OTHERS.split(text)
+        self._learn(list(dict.fromkeys(s[0] for s in missed.values() if s[0] not in self._alone)),
+                    list(dict.fromkeys(p for s in missed.values() for p in s[1:] if p not in self._spaced)))
+        for i, stretches in missed.items():
+            out[i] = self._known(stretches)
+        self._tidy()
+        return [np.frombuffer(ids, dtype=np.int32) for ids in out]
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def _worker_encoder(vocabulary: Vocabulary) -> Encoder:
+    """The encoder of this worker, which keeps what it remembers from task to task of one vocabulary."""
+    if vocabulary.name not in _encoders:
+        _encoders.clear()
+        _encoders[vocabulary.name] = Encoder(vocabulary)
+    return _encoders[vocabulary.name]
 
 
 def _kept(docs: DataFrame, results: tuple[str, ...], columns: list[str] | None) -> list[str]:
@@ -227,11 +305,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, columns: list[str] | None =
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        from tiffin.llm import byte_bpe
+        encoder = byte_bpe._worker_encoder(vocabulary)
+        W.remember("byte_bpe", byte_bpe._encoders.clear)
         for batch, data, offsets in W.chunks(batches, "_bpe_text"):
             base = (offsets - offsets[0]).tolist()
             whole = data.tobytes()
-            made = [encoder.encode(whole[a:b].decode()) for a, b in zip(base[:-1], base[1:], strict=True)]
+            made = encoder.encode_all([whole[a:b].decode() for a, b in zip(base[:-1], base[1:], strict=True)])
             ids = np.concatenate(made) if made else np.zeros(0, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(len(names))), W.lists(ids, np.array([len(m) for m in made]), pa.int32())],
@@ -239,7 +319,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, columns: list[str] | None =
 
     fields = "".join(f"`{c}` {types[c]}, " for c in names)
     return docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").alias("_bpe_text")).mapInArrow(
-        W.lean(run), f"{fields}ids array<int>")
+        W.lean(run, "byte_bpe"), f"{fields}ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, columns: list[str] | None = None) -> DataFrame:
@@ -251,20 +331,28 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, columns: list[str] | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = vocabulary.by_id()
-        known = token.__getitem__
+        none = max(token, default=-1) + 1
+        table = pa.array([token.get(i, b"") for i in range(none + 1)], pa.large_binary())
+        known = np.zeros(none + 1, dtype=bool)
+        known[list(token)] = True
         for batch in batches:
             for begin in range(0, batch.num_rows, 200):
                 part = batch.slice(begin, 200)
-                out: list[bytes | None] = []
-                for ids in part.column(part.num_columns - 1):
-                    values = ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else []
-                    try:
-                        out.append(b"".join(map(known, values)))
-                    except KeyError:
-                        out.append(None)
+                rows = part.column(part.num_columns - 1)
+                counts = np.array(rows.value_lengths().fill_null(0), dtype=np.int64)
+                flat = rows.flatten()
+                ids = np.array(flat.fill_null(-1), dtype=np.int64)
+                ids[(ids < 0) | (ids > none)] = none
+                ends = np.append(0, np.cumsum(counts))
+                lost = np.append(0, np.cumsum(~known[ids]))
+                taken = table.take(pa.array(ids))
+                at = np.frombuffer(taken.buffers()[1], dtype=np.int64)[taken.offset:][ends] if len(ids) else ends
+                whole = taken.buffers()[2].to_pybytes() if len(ids) else b""
+                out = [whole[a:b] if sound else None for a, b, sound in zip(
+                    at[:-1].tolist(), at[1:].tolist(), (lost[ends[1:]] == lost[ends[:-1]]).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(out, pa.binary())],
                                                  names=[*names, "decoded"])
 
     fields = "".join(f"`{c}` {types[c]}, " for c in names)
     return encoded.select(*[F.col(f"`{c}`") for c in names], F.col("ids").alias("_bpe_ids")).mapInArrow(
-        W.lean(run), f"{fields}decoded binary")
+        W.lean(run, "byte_bpe"), f"{fields}decoded binary")
