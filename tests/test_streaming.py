@@ -238,3 +238,9 @@ def test_compacted_log_reads_the_same(spark, tmp_path):
     whole = sinks.latest(sinks.read_log(spark, path, schema), ["k"])
     short = sinks.latest(sinks.read_log_after(spark, target, path, schema, 2), ["k"])
     assert bag(whole) == bag(short) == [(0, 0), (1, 11), (2, 22), (3, 33)]
+
+
+def test_kept_references_hold_the_columns_a_guard_reads(spark, tables, tmp_path):
+    kept = guards.keep_references(spark, tables, f"{tmp_path}/kept", ["food_order", "contain"], 8, {"food_order": ["ID"]})
+    assert kept["food_order"].read_all(spark).columns == ["ID"] and kept["contain"].schema == tables["contain"].schema
+    assert bag(kept["food_order"].read_all(spark)) == bag(tables["food_order"].select("ID"))

@@ -669,7 +669,7 @@ def stream_usage(spark: SparkSession, sf: str, several: bool = False) -> DataFra
 def stream_rejects(spark: SparkSession, sf: str, several: bool = False) -> DataFrame:
     path = _folder(spark, "lines")
     lines, t = testdata.contain_raw(_stream(spark, sf, "lineitem", several)), testdata.load(spark, sf)
-    kept = guards.keep_references(spark, t, f"{path}/kept", ["food_order"], _buckets(spark)) if several else None
+    kept = guards.keep_references(spark, t, f"{path}/kept", ["food_order"], _buckets(spark), {"food_order": ["ID", "RID"]}) if several else None
     sinks.drain(guards.guard_lines(lines, t, f"{path}/log", f"{path}/checkpoint", kept))
     return guards.read_judged(spark, f"{path}/log", guards.LINES).drop("batch_id")
 
@@ -685,7 +685,7 @@ def stream_discount_rejects(spark: SparkSession, sf: str, several: bool = False)
 def stream_admission(spark: SparkSession, sf: str, several: bool = False) -> DataFrame:
     path = _folder(spark, "admission")
     applied, t = application_requests(_stream(spark, sf, "orders", several)), testdata.load(spark, sf)
-    kept = guards.keep_references(spark, t, f"{path}/kept", ["contain", "food_order"], _buckets(spark)) if several else None
+    kept = guards.keep_references(spark, t, f"{path}/kept", ["contain", "food_order"], _buckets(spark), {"food_order": ["ID"]}) if several else None
     # the stored applications are the same orders' own and are left out
     sinks.drain(guards.admission(applied, t, f"{path}/log", f"{path}/checkpoint", stored=False, kept=kept,
                                  buckets=_buckets(spark)))

@@ -46,10 +46,13 @@ REFERENCES = {"food_order": "ID", "food_item": "ID", "contain": "FOID", "apply_f
 
 
 def keep_references(spark: SparkSession, t: Tables, path: str, names: Sequence[str],
-                    buckets: int = 64) -> dict[str, BucketStore]:
-    """Stored tables laid out by key under ``path``, once: from then on a batch reads the buckets of its own keys."""
-    return {name: BucketStore(f"{path}/{name}", t[name].schema, [REFERENCES[name]], buckets).open(spark, t[name])
-            for name in names}
+                    buckets: int = 64, columns: Mapping[str, Sequence[str]] | None = None) -> dict[str, BucketStore]:
+    """Stored tables laid out by key under ``path``, once: from then on a batch reads the buckets of its own keys.
+
+    ``columns`` names those a guard reads of a wide table, its key among them; the others are neither shuffled nor written."""
+    kept = {name: t[name].select(*columns[name]) if name in (columns or {}) else t[name] for name in names}
+    return {name: BucketStore(f"{path}/{name}", rows.schema, [REFERENCES[name]], buckets).open(spark, rows)
+            for name, rows in kept.items()}
 
 
 def _named(t: Tables, name: str, batch: DataFrame, batch_key: str, kept: Mapping[str, BucketStore]) -> DataFrame:
