@@ -47,3 +47,16 @@ def test_usage(spark, seed):
     new = spark.createDataFrame([("NEW", 1), ("NEW", 2)], applied.schema)
     out = maintained.merged(count(applied), maintained.usage_changes(gone, new), "DFRcode", ["n"], "n")
     assert bag(out) == bag(count(applied.subtract(gone).unionByName(new)))
+
+
+def test_removed_keys_and_lines_are_staged_once(spark, seed):
+    """``stage`` gets the removed keys and their lines, so that they are not computed for each reader."""
+    staged = []
+    removed = seed["contain"].filter("FOID % 3 = 0").select("FOID", "FIID")
+    moved = maintained.total_changes(seed, removed=removed.unionByName(removed), items=seed["food_item"].withColumn(
+        "price", F.col("price") + 1), stage=lambda df: staged.append(df) or df)
+    assert [sorted(df.columns) for df in staged[:2]] == [["FIID", "FOID"], ["FIID", "FOID", "quantity"]]
+    assert staged[0].count() == staged[1].count() == removed.count()
+    now = seed["food_item"].withColumn("price", F.col("price") + 1)
+    out = maintained.merged(totals(seed["contain"], seed["food_item"]), moved, "FOID", ["total", "lines"], "lines")
+    assert bag(out) == bag(totals(seed["contain"].filter("FOID % 3 <> 0"), now))

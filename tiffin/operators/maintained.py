@@ -39,20 +39,21 @@ def total_changes(before: Tables, removed: DataFrame | None = None, added: DataF
     ``before`` are the tables as they were.  ``removed`` (FOID, FIID) are keys of lines that went, at the old price;
     ``added`` lines (FOID, FIID, quantity) that came, at the new one.  ``items`` (ID, price) are the changed items with
     their new price: the lines that stay with them move by the difference.  An item that went with its lines need not
-    be among ``items``.
+    be among ``items``.  Removed keys and their lines are read more than once; ``stage=durable`` writes them once.
     """
     lines, old = before["contain"], before["food_item"].select("ID", "price")
     price = lambda df: df.select(F.col("ID").alias("FIID"), F.col("price").cast("long").alias("_price"))
     parts = []
     if removed is not None:
-        gone = lines.join(removed.select("FOID", "FIID").distinct(), ["FOID", "FIID"], "left_semi")
+        removed = stage(removed.select("FOID", "FIID").distinct())
+        gone = stage(lines.join(removed, ["FOID", "FIID"], "left_semi"))
         parts.append(_summed(gone, price(narrow(old.withColumnRenamed("ID", "FIID"), gone, ["FIID"]).withColumnRenamed("FIID", "ID")), -1, -1))
     if items is not None:
         moved = stage(old.withColumnRenamed("price", "_old").join(
             items.select("ID", F.col("price").alias("_new")), "ID").filter("_old <> _new"))
         stay = narrow(lines, moved.select(F.col("ID").alias("FIID")), ["FIID"])
         if removed is not None:
-            stay = stay.join(removed.select("FOID", "FIID").distinct(), ["FOID", "FIID"], "left_anti")
+            stay = stay.join(removed, ["FOID", "FIID"], "left_anti")
         difference = moved.select(F.col("ID").alias("FIID"), (F.col("_new").cast("long") - F.col("_old")).alias("_price"))
         parts.append(_summed(stay, difference, 1, 0))
     if added is not None:
