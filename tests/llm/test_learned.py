@@ -300,3 +300,27 @@ def test_recall(spark, stage, shard_rows):
         assert len(mine) == 20
         hit += len(set(true) & set(mine))
     assert hit >= 0.9 * 20 * 30
+
+
+def test_every_labelled_row_teaches_preferences(spark, monkeypatch):
+    """Rows of all groups: the fit and the threshold equal those of all pairs and scores taken together."""
+    for name, value in (("GROUP_ROWS", 40), ("LEAST_OTHER", 5), ("RANGES", 3), ("FEW_SCORES", 4)):
+        monkeypatch.setattr(quality_ranker, name, value)
+    rng = random.Random(4)
+    labels = [int(rng.random() < 0.9) for _ in range(300)]
+    texts = [prose(rng) + f" {i}" if good or i % 2 else noisy(rng, prose(rng)) for i, good in enumerate(labels)]
+    docs, known = labelled(spark, texts, labels)
+    counts = {label: labels.count(label) for label in (0, 1)}
+    groups = [(r.place, *(quality_ranker._rows(b) for b in (r.bad, r.good)))
+              for r in quality_ranker._dealt(docs, known, counts, 7).collect()]
+    assert len(groups) > 3 and sum(len(good) for *_, good in groups) == counts[1]
+    features = quality_ranker.features(*flat(texts)).astype(np.float32).astype(float)
+    bad, good = (features[[x == label for x in labels]] for label in (0, 1))
+    assert {r.tobytes() for _, part, _ in groups for r in part} == {r.tobytes() for r in bad}
+    assert {r.tobytes() for *_, part in groups for r in part} == {r.tobytes() for r in good}
+    weights = quality_ranker.fit_preferences(np.concatenate([
+        quality_ranker._pairs(b, g, quality_ranker.PAIRS, 7 + place) for place, b, g in groups if len(b) and len(g)]))
+    ranker = quality_ranker.train(docs, known)
+    assert np.allclose(ranker.weights, weights, atol=1e-5)
+    plain = quality_ranker._calibrated(np.array(ranker.weights), bad @ ranker.weights, good @ ranker.weights, counts[0] / 300, 0.99)
+    assert abs(ranker.threshold - plain.threshold) < 1e-6
