@@ -96,3 +96,37 @@ def test_stretches_between_spaces_are_encoded_once_a_worker(vocabulary, plain, m
         assert len(short) == len(set(short)) > 0
     other = byte_bpe.Vocabulary.build({bytes([b]): b for b in range(256)}, r"\w \w|.")
     assert byte_bpe.Encoder(other).encode("a b c").tolist() == list(b"a b c")
+
+
+def test_new_stretches_of_a_chunk_are_matched_and_joined_together(vocabulary, plain, monkeypatch):
+    """One match for all new stretches that follow a space; heaps of short pre-tokens are begun as arrays."""
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern, self.matched = pattern, 0
+
+        def findall(self, text):
+            self.matched += 1
+            return self.pattern.findall(text)
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abehinorstéß日.,'\x1c") for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
+    texts = ["".join(w + rng.choice([" ", " ", "  ", "\n", " \n"]) for w in words[at:at + 300]) for at in range(0, 3000, 300)]
+    one_by_one = []
+    real = byte_bpe.joined_by_rank
+    monkeypatch.setattr(byte_bpe, "joined_by_rank", lambda piece, ranks: one_by_one.append(piece) or real(piece, ranks))
+    encoder = byte_bpe.Encoder(vocabulary)
+    encoder._pieces = Counted(encoder._pieces)
+    assert [f.tolist() for f in encoder.encode_all(texts)] == [plain.encode_ordinary(t) for t in texts]
+    assert encoder._pieces.matched <= len(texts) + 1
+    assert all(len(p) > byte_bpe.TOGETHER for p in one_by_one)
+
+
+def test_joined_together_equals_one_by_one():
+    """Overlapping pairs, ranks that do not follow length, and bytes without a rank."""
+    rng = random.Random(11)
+    ranks = {bytes([b]): b for b in range(256)} | {b"aa": 300, b"aaa": 256, b"ab": 257, b"ba": 258, b"aba": 299}
+    pieces = [bytes(rng.choice(b"aab") for _ in range(rng.randrange(90))) for _ in range(byte_bpe.BATCH + 500)]
+    assert byte_bpe.Joiner(ranks).joined(pieces) == [byte_bpe.joined_by_rank(p, ranks) for p in pieces]
+    assert byte_bpe.Joiner({b"a": 0, b"ab": 1}).joined([b"aab"] * 100) == [[0, 1]] * 100
+    with pytest.raises(KeyError):
+        byte_bpe.Joiner({b"a": 0, b"ab": 1}).joined([b"ba"] * 100)

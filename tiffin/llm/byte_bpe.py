@@ -5,7 +5,8 @@ encoded by itself.  First tier: a minimal perfect hash gives each token of the v
 its own slot, so one probe and one comparison tell whether a pre-token is a token as it
 stands; the distinct pre-tokens of a chunk of texts are hashed together as arrays.  Second
 tier: the bytes of any other pre-token form a linked list, and a heap of neighbouring pairs,
-lowest rank first and leftmost among equals, says which pair joins next.
+lowest rank first and leftmost among equals, says which pair joins next; the first pairs of
+all pre-tokens of a chunk are ranked together as arrays.
 
 The vocabulary and its hash are made once on the driver and travel with the job (about a
 megabyte); texts never leave their partition and nothing is shuffled.  A worker remembers
@@ -26,7 +27,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,13 @@ SHORT = 48
 #: The pattern after which texts can be cut at spaces: white space joins the next pre-token only as one space before it.
 SPACE_LED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BEFORE_OTHERS = re.compile(r" (?=\S)")
+_BEFORE_SPACE = re.compile(r" (?!\S)")
 #: Pre-tokens of a long text that are handled at a time.
 STEP = 50_000
+#: Pre-tokens of up to ``TOGETHER`` bytes have their heaps begun together, ``BATCH`` at a time; arrays do not pay for a ``FEW``.
+TOGETHER = 63
+BATCH = 4096
+FEW = 64
 _TRIES = 64
 _STEP_HASH = W.U64(0x9E3779B97F4A7C15)
 
@@ -111,47 +117,86 @@ class PerfectHash:
         return np.where(shift < 0, -shift - 1, self._places(two, np.maximum(shift, 0), self.size))
 
 
-def joined_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def _merged(piece: bytes, ranks: dict[bytes, int], heap: list[int], ids: list[int], width: int) -> list[int]:
     """Ids of one pre-token: the neighbouring pair of lowest rank joins, leftmost first, until none has a rank.
 
-    A heap entry is one number: the rank, then where the pair begins and ends.
+    A heap entry is one number: the rank, then where the pair begins and ends, ``width`` bits each.
+    The heap has the pairs of neighbouring bytes and ``ids`` the bytes' own ids; both are used up.
     """
     size, rank_of, push, pop = len(piece), ranks.get, heapq.heappush, heapq.heappop
-    width = size.bit_length()
-    after = list(range(1, size + 1))
-    before = list(range(-1, size - 1))
-    heap = []
-    for i in range(size - 1):
-        rank = rank_of(piece[i:i + 2])
-        if rank is not None:
-            heap.append((rank << width | i) << width | i + 2)
+    after = [*range(1, size + 1), -1]  # -1: joined another, or the end
+    before = [*range(-1, size)]
     heapq.heapify(heap)
     mask = (1 << width) - 1
     while heap:
         entry = pop(heap)
         end, i = entry & mask, entry >> width & mask
         middle = after[i]
-        if middle < 0 or middle == size or after[middle] != end:
+        if after[middle] != end:
             continue  # one of the two has joined another since
-        after[i], after[middle] = end, -1
+        after[i], after[middle], before[end] = end, -1, i
+        ids[i] = entry >> 2 * width
         if end < size:
-            before[end] = i
             far = after[end]
             rank = rank_of(piece[i:far])
             if rank is not None:
                 push(heap, (rank << width | i) << width | far)
-        left = before[i]
-        if left >= 0:
+        if i:
+            left = before[i]
             rank = rank_of(piece[left:end])
             if rank is not None:
                 push(heap, (rank << width | left) << width | end)
-    out, i = [], 0
-    while i < size:
-        out.append(ranks[piece[i:after[i]]])
-        i = after[i]
+    return [found for found, end in zip(ids, after[:size], strict=True) if end >= 0]
+
+
+def joined_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one pre-token, whose bytes are looked up one by one."""
+    size, rank_of = len(piece), ranks.get
+    width = size.bit_length()
+    heap = []
+    for i in range(size - 1):
+        rank = rank_of(piece[i:i + 2])
+        if rank is not None:
+            heap.append((rank << width | i) << width | i + 2)
+    out = _merged(piece, ranks, heap, [rank_of(piece[i:i + 1]) for i in range(size)], width)
+    if None in out:
+        raise KeyError(f"a byte of {piece!r} has no rank")
     return out
 
 
+class Joiner:
+    """Ids of many pre-tokens: the heaps of those of up to ``TOGETHER`` bytes are begun as arrays, the others one by one."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self._ranks = ranks
+        self._one = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
+        self._two = np.full(1 << 16, -1, dtype=np.int64)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self._two[token[0] << 8 | token[1]] = rank
+
+    def joined(self, pieces: list[bytes]) -> list[list[int]]:
+        short = [p for p in pieces if 0 < len(p) <= TOGETHER]
+        if len(short) < FEW or self._one.min() < 0:
+            return [joined_by_rank(p, self._ranks) for p in pieces]
+        made = chain.from_iterable(self._begun(short[at:at + BATCH]) for at in range(0, len(short), BATCH))
+        return [next(made) if 0 < len(p) <= TOGETHER else joined_by_rank(p, self._ranks) for p in pieces]
+
+    def _begun(self, pieces: list[bytes]) -> Iterator[list[int]]:
+        width = TOGETHER.bit_length()
+        flat = np.frombuffer(b"".join(pieces), dtype=np.uint8).astype(np.int64)
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        begins = np.append(0, ends)
+        place = np.arange(len(flat)) - np.repeat(begins[:-1], np.diff(begins))
+        rank = np.append(self._two[flat[:-1] << 8 | flat[1:]], -1)
+        rank[ends - 1] = -1  # the next byte is another piece's
+        at = np.flatnonzero(rank >= 0)
+        entries = ((rank[at] << width | place[at]) << width | place[at] + 2).tolist()
+        heaps, ids, bounds = np.searchsorted(at, begins).tolist(), self._one[flat].tolist(), begins.tolist()
+        for k, piece in enumerate(pieces):
+            yield _merged(piece, self._ranks, entries[heaps[k]:heaps[k + 1]], ids[bounds[k]:bounds[k + 1]], width)
+
+
 @dataclass
 class Vocabulary:
     """Tokens and ids by slot of the perfect hash, the pattern of pre-tokens, and a name that tells vocabularies apart."""
@@ -195,7 +240,7 @@ class Encoder:
         self._pieces = regex.compile(vocabulary.pattern)
         self._cut = vocabulary.pattern == SPACE_LED
         self._vocabulary = vocabulary
-        self._ranks = dict(zip(vocabulary.tokens, vocabulary.ids, strict=True))
+        self._joiner = Joiner(dict(zip(vocabulary.tokens, vocabulary.ids, strict=True)))
         self.forget()
 
     def forget(self) -> None:
@@ -207,11 +252,13 @@ class Encoder:
         """Ids of distinct pre-tokens: those that are tokens by the perfect hash, others by joining."""
         raw = [p.encode() for p in pieces]
         tokens, ids = self._vocabulary.tokens, self._vocabulary.ids
-        out = []
-        for piece, slot in zip(raw, self._vocabulary.perfect.slots(raw).tolist(), strict=True):
-            found = [ids[slot]] if tokens and tokens[slot] == piece else joined_by_rank(piece, self._ranks)
-            out.append(array("i", found).tobytes())
-        return out
+        found = [[ids[slot]] if tokens and tokens[slot] == piece else None
+                 for piece, slot in zip(raw, self._vocabulary.perfect.slots(raw).tolist(), strict=True)]
+        joined = iter(self._joiner.joined([p for p, one in zip(raw, found, strict=True) if one is None]))
+        found = [one or next(joined) for one in found]
+        flat = array("i", chain.from_iterable(found)).tobytes()
+        ends = [4 * end for end in accumulate(map(len, found))]
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def _keep(self, store: dict[str, bytes], key: str, ids: bytes) -> None:
         store[key] = ids
@@ -226,21 +273,31 @@ class Encoder:
 
     def _joined(self, pieces: list[str]) -> list[bytes]:
         """Ids of pre-tokens; all that are new are looked up together."""
-        places = [self._place(p) for p in pieces]
-        new = {p: place for p, place in zip(pieces, places, strict=True) if place[1] not in place[0]}
-        for (store, key), ids in zip(new.values(), self._look_up(list(new)), strict=True):
-            self._keep(store, key, ids)
-        return [store[key] for store, key in places]
+        ids, new = {}, {}
+        for piece in dict.fromkeys(pieces):
+            store, key = place = self._place(piece)
+            known = store.get(key)
+            if known is None:
+                new[piece] = place
+            else:
+                ids[piece] = known
+        for (piece, (store, key)), made in zip(new.items(), self._look_up(list(new)), strict=True):
+            ids[piece] = made
+            self._keep(store, key, made)
+        return [ids[p] for p in pieces]
 
     def _learn(self, alone: list[str], spaced: list[str]) -> None:
-        """Ids of new stretches, those of ``spaced`` with a space before them."""
-        found = [*map(self._pieces.findall, alone), *(self._pieces.findall(f" {s}") for s in spaced)]
-        ids = self._joined([p for pieces in found for p in pieces])
-        at = 0
-        for i, pieces in enumerate(found):
-            store, key = (self._alone, alone[i]) if i < len(alone) else (self._spaced, spaced[i - len(alone)])
-            self._keep(store, key, b"".join(ids[at:at + len(pieces)]))
-            at += len(pieces)
+        """Ids of new stretches, those of ``spaced`` with a space before them, which are matched as one text."""
+        pieces = [p for s in alone for p in self._pieces.findall(s)]
+        pieces += self._pieces.findall("".join([f" {s}" for s in spaced]))
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        sizes = [*map(len, alone), *(len(s) + 1 for s in spaced)]
+        bounds = np.searchsorted(ends, np.cumsum(sizes, dtype=np.int64), side="right").tolist()
+        ids, begin = self._joined(pieces), 0
+        for i, (stretch, end) in enumerate(zip([*alone, *spaced], bounds, strict=True)):
+            self._keep(self._alone if i < len(alone) else self._spaced, stretch,
+                       ids[begin] if end - begin == 1 else b"".join(ids[begin:end]))
+            begin = end
 
     def _tidy(self) -> None:
         """Forget what is long, and start afresh when too much is remembered."""
@@ -258,25 +315,21 @@ class Encoder:
             self._tidy()
         return b"".join(parts)
 
-    def _known(self, stretches: list[str]) -> bytes:
-        return self._alone[stretches[0]] + b"".join(map(self._spaced.__getitem__, stretches[1:]))
-
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; a long one, or any with another pattern, is taken in steps."""
         out: list[bytes] = [b""] * len(texts)
-        missed = {}
+        cut: dict[int, list[str]] = {}
         for i, text in enumerate(texts):
             if not self._cut or len(text) > STEP:
                 out[i] = self._in_steps(text)
-                continue
-            try:
-                out[i] = self._known(text.split(" "))
-            except KeyError:  # something new, or white space after a space
-                missed[i] = _BEFORE_OTHERS.split(text)
-        self._learn(list(dict.fromkeys(s[0] for s in missed.values() if s[0] not in self._alone)),
-                    list(dict.fromkeys(p for s in missed.values() for p in s[1:] if p not in self._spaced)))
-        for i, stretches in missed.items():
-            out[i] = self._known(stretches)
+            else:
+                cut[i] = _BEFORE_OTHERS.split(text) if _BEFORE_SPACE.search(text) else text.split(" ")
+        alone, spaced = self._alone, self._spaced
+        firsts = [stretches.pop(0) for stretches in cut.values()]
+        self._learn(list(dict.fromkeys(s for s in firsts if s not in alone)),
+                    list(dict.fromkeys(s for stretches in cut.values() for s in stretches if s not in spaced)))
+        for first, (i, stretches) in zip(firsts, cut.items(), strict=True):
+            out[i] = alone[first] + b"".join(map(spaced.__getitem__, stretches))
         self._tidy()
         return [np.frombuffer(ids, dtype=np.int32) for ids in out]
 
