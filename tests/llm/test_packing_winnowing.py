@@ -41,6 +41,33 @@ def test_remembered_ids_equal_whole_texts(monkeypatch):
         assert np.frombuffer(ids, dtype="<u4").tolist() == plain.encode(text or "", add_special_tokens=False).ids
 
 
+def test_plain_letters_and_marks_equal_whole_texts():
+    letters = [chr(c) for c in range(0x180) if chr(c).isalpha()]
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    rng = random.Random(2)
+    texts = [*(form.format(c) for c in letters for form in ("{0}", "x{0}{0}Y", "{0}!!", "{0}'s", "{0}\u0301", "\u0301{0}")),
+             *(f"Ab{a}{b} {a}{b}" for a in marks for b in marks),
+             *("".join(rng.choice([*letters, *marks, *" \n\t12\u0308\u0338日"]) for _ in range(rng.randint(1, 40))) for _ in range(3000))]
+    plain = Tokenizer.from_file(TOKENIZER)
+    for text, ids in zip(texts, packing.Encoder(TOKENIZER).encode(texts), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def test_a_word_is_learned_once_in_any_case_and_with_any_marks():
+    encoder = packing.Encoder(TOKENIZER)
+    list(encoder.encode(["Word word, WORD!! word... wOrd", "ÉTÉ Été, été!!"]))
+    assert len(encoder._ids) == 6  # nothing, two words, three runs of marks
+
+
+def test_ids_do_not_depend_on_texts_taken_together(monkeypatch):
+    texts = ["", "one two", None, "two ", " three", "", "x" * 50, "one", None]
+    monkeypatch.setattr(packing, "TOGETHER", 9)
+    apart = list(packing.Encoder(TOKENIZER, 2).encode(texts))
+    monkeypatch.undo()
+    assert apart == list(packing.Encoder(TOKENIZER).encode(texts))
+    assert list(packing.Encoder(TOKENIZER).encode([])) == [] and list(packing.Encoder(TOKENIZER).encode([None, " \n"])) == [b"", b""]
+
+
 @pytest.mark.parametrize("group_items", [50_000, 5])
 def test_pieces_and_sequences(documents, rows, stage, group_items):
     made = rows(*ODD, *["some words here " * k for k in range(60)])

@@ -15,7 +15,6 @@ Empty tables give no pieces.
 from __future__ import annotations
 
 import codecs
-import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -24,6 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +33,15 @@ Stage = Callable[[DataFrame], DataFrame]
 
 #: Words and parts whose ids a worker remembers before it starts afresh, about 130 bytes each.
 REMEMBERED = 600_000
+#: Bytes of text whose parts are looked up together.
+TOGETHER = 1 << 22
 GROUP_ITEMS = 50_000
 #: White space that the tokenizer drops wherever it stands, so ids of the parts between are independent.
-_BREAKS = re.compile(r"[ \t\n\r]+")
+_IN_PART = np.ones(256, dtype=bool)
+_IN_PART[[0x20, 0x09, 0x0A, 0x0D]] = False
+#: Letters that stay as they are but for their case when normalised, and ASCII marks behind them: a word to the
+#: pre-tokenizer and, where there are marks, one more.
+_PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
 
 def _byte_characters() -> str:
@@ -53,9 +59,10 @@ class Encoder:
     """Ids of texts by a ``tokenizers`` file with a byte-level pre-tokenizer that drops white space.
 
     Parts between white space are encoded by the library once and remembered, since no
-    token spans white space; ids are those of the whole text.  A part made of Latin
-    letters, with a comma or full stop behind it at most, is one or two words to the
-    pre-tokenizer, so its normalised letters go straight to the library's model.
+    token spans white space; ids are those of the whole text.  The distinct parts of some
+    megabytes of text are found as arrays; of those that are plain letters with marks
+    behind them, the lower-case letters and the marks are looked up apart.  A word of
+    Latin letters goes straight to the library's model.
     """
 
     def __init__(self, path: str, remembered: int | None = None):
@@ -67,9 +74,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self._ids: dict[str, bytes] = {"": b""}
-        self._letters: dict[str, bytes] = {}
-        self._marks = {mark: self._whole(mark) for mark in ",."}
+        self._ids: dict[bytes, bytes] = {b"": b""}
 
     def _whole(self, part: str) -> bytes:
         return array("I", self._tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
@@ -79,35 +84,59 @@ class Encoder:
         if not letters.isalpha():
             return None
         plain = letters.lower() if letters.isascii() else self._normalize(letters)
-        found = self._letters.get(plain)
+        if not plain.isascii() and (not plain.isalpha() or max(plain) >= "\u0250"):
+            return None
+        mapped = codecs.charmap_decode(plain.encode(), "strict", _BYTE_CHARACTERS)[0]
+        return array("I", [t.id for t in self._model.tokenize(mapped)]).tobytes()
+
+    def _learn(self, raw: bytes) -> bytes:
+        part = raw.decode()
+        letters = part[:-1] if part[-1] in ",." else part
+        found = self._word(letters)
         if found is None:
-            if not plain.isascii() and (not plain.isalpha() or max(plain) >= "\u0250"):
-                return None
-            mapped = codecs.charmap_decode(plain.encode(), "strict", _BYTE_CHARACTERS)[0]
-            found = self._letters[plain] = array("I", [t.id for t in self._model.tokenize(mapped)]).tobytes()
+            found = self._whole(part)
+        elif letters != part:
+            found += self._whole(part[-1])
+        self._ids[raw] = found
         return found
 
-    def _learn(self, parts: list[str]) -> None:
-        if len(self._ids) + len(self._letters) > self._most:
+    def _known(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of distinct parts."""
+        found = list(map(self._ids.get, parts))
+        if len(self._ids) > self._most:
             self.forget()
-        for part in parts:
-            mark = self._marks.get(part[-1])
-            found = self._word(part if mark is None else part[:-1])
-            self._ids[part] = self._whole(part) if found is None else found if mark is None else found + mark
+        return [self._learn(part) if ids is None else ids for part, ids in zip(parts, found, strict=True)]
+
+    def _look_up(self, parts: pa.Array) -> pa.Array:
+        """Ids of distinct parts, of plain letters and the marks behind them apart."""
+        cut = pc.extract_regex(parts, _PLAIN)
+        letters = pc.coalesce(pc.utf8_lower(pc.struct_field(cut, "letters")), parts)
+        marks = pc.coalesce(pc.struct_field(cut, "marks"), pa.scalar("", parts.type))
+        ids = []
+        for some in (letters.dictionary_encode(), marks.dictionary_encode()):
+            found = self._known(some.dictionary.cast(pa.large_binary()).to_pylist())
+            ids.append(pa.array(found, pa.large_binary()).take(some.indices))
+        return pc.binary_join_element_wise(*ids, pa.scalar(b"", pa.large_binary()))
+
+    def encode_together(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each of the UTF-8 texts that lie one after another in ``data``."""
+        parts = W.split(data, offsets, word_bytes=_IN_PART)
+        if not len(parts.starts):
+            return [b""] * (len(offsets) - 1)
+        ends = np.append(0, np.cumsum(parts.ends - parts.starts))
+        flat = pa.Array.from_buffers(pa.large_string(), len(ends) - 1, [
+            None, pa.py_buffer(ends), pa.py_buffer(parts.data[_IN_PART[parts.data]])])
+        coded = flat.dictionary_encode()
+        taken = self._look_up(coded.dictionary).take(coded.indices)
+        at = np.frombuffer(taken.buffers()[1], dtype=np.int64)[taken.offset:][parts.first].tolist()
+        whole = memoryview(taken.buffers()[2])
+        return [bytes(whole[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        for text in texts:
-            parts = _BREAKS.split(text or "")
-            try:
-                known = self._ids
-                yield b"".join([known[p] for p in parts])
-            except KeyError:
-                self._learn(list({p for p in parts if p not in known}))
-                known = self._ids
-                if any(p not in known for p in parts):  # it began afresh
-                    self._learn(list({p for p in parts if p not in known}))
-                yield b"".join([known[p] for p in parts])
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
+        for _, data, offsets in W.chunks(iter([batch]), limit=TOGETHER):
+            yield from self.encode_together(data, offsets)
 
 
 @lru_cache(maxsize=2)
@@ -126,27 +155,25 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2,
         made = encoder(tokenizer, remembered)
         W.remember("packing", made.forget)
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
-                rows, at, size, crc, total, ids = [], [], [], [], [], []
-                for i, body in enumerate(made.encode(part.column(1).to_pylist())):
-                    body += end
-                    for start in range(0, len(body), 4 * length):
-                        cut = body[start:start + 4 * length]
-                        rows.append(i)
-                        at.append(start // 4)
-                        size.append(len(cut) // 4)
-                        crc.append(zlib.crc32(cut))
-                        total.append(len(body) // 4)
-                        if keep_ids:
-                            ids.append(cut)
-                arrays = [part.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in (at, size, crc, total))]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-                if keep_ids:
-                    arrays.append(pa.array(ids, pa.binary()))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+        for part, data, offsets in W.chunks(batches, limit=TOGETHER):
+            rows, at, size, crc, total, ids = [], [], [], [], [], []
+            for i, body in enumerate(made.encode_together(data, offsets)):
+                body += end
+                for start in range(0, len(body), 4 * length):
+                    cut = body[start:start + 4 * length]
+                    rows.append(i)
+                    at.append(start // 4)
+                    size.append(len(cut) // 4)
+                    crc.append(zlib.crc32(cut))
+                    total.append(len(body) // 4)
+                    if keep_ids:
+                        ids.append(cut)
+            arrays = [part.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in (at, size, crc, total))]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+            if keep_ids:
+                arrays.append(pa.array(ids, pa.binary()))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids binary" if keep_ids else "")
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(W.lean(run, "packing"), schema)
